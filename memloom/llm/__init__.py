@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("license_scan", "source_mix")
+MODULES = ("license_scan", "source_mix", "pii")
 
 
 def _modules():
