@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("license_scan", "source_mix", "pii")
+MODULES = ("license_scan", "source_mix", "pii", "bit_sliced")
 
 
 def _modules():
