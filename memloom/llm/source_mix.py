@@ -30,6 +30,8 @@ BUDGET = 1.5
 CAP = 2
 #: Aimed-at rows of one window partition.
 ROWS_A_RANGE = 4096
+#: The table of sources is sent to every executor only up to so many rows.
+BROADCAST_SOURCES = 10_000
 
 #: Not a space, tab, line feed, vertical tab, form feed or carriage return.
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -73,14 +75,16 @@ def targets(sized: DataFrame) -> DataFrame:
 def served(docs: DataFrame, kept: list[str]) -> DataFrame:
     """Every document with its source's figures and `_served`: the source's words up to its end, in shuffled order."""
     sized = sizes(docs).select(*(F.col(c).alias(f"k_{c}") for c in kept), "_size", "_src", "_dig", F.col("doc_id").alias("_id"))
-    per_source = targets(sizes(docs.select("doc_id", "text", "source")))
-    sized = sized.join(per_source, "_src")
+    per_source = written(targets(sizes(docs.select("doc_id", "text", "source"))), "targets")
+    few = per_source.count() <= BROADCAST_SOURCES  # beyond that, a shuffled join whose hot sources Spark splits
+    sized = sized.join(F.broadcast(per_source) if few else per_source, "_src")
     lead = F.conv(F.substring("_dig", 1, 7), 16, 10).cast("long")
     sized = sized.withColumn("_range", F.floor(lead * F.ceil(F.col("_rows") / ROWS_A_RANGE) / F.lit(16**7)).cast("long"))
     sums = sized.groupBy("_src", "_range").agg(F.sum("_size").alias("_s"))
     earlier = F.sum("_s").over(W.partitionBy("_src").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("_src", "_range", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
     inside = W.partitionBy("_src", "_range").orderBy("_dig", "_id", "_size").rowsBetween(W.unboundedPreceding, 0)
+    sized = sized.repartition("_src", "_range")
     sized = sized.withColumn("_inside", F.sum("_size").over(inside)).join(sums, ["_src", "_range"])
     return sized.withColumn("_served", F.col("_inside") + F.col("_earlier")).drop("_inside", "_earlier", "_range", "_rows")
 
