@@ -156,12 +156,12 @@ def components(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component (the one of the smallest id; of rows that share it, one)."""
+    """The documents, one of each component (the one of the smallest id; of rows that share it, one) and all without id."""
     names = docs.columns
-    found = components(docs, ("doc_id",)).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    leaders = components(docs, ("doc_id",)).where("doc_id = component_id").select("doc_id").distinct()
     order = W.partitionBy("doc_id").orderBy(*(c for c in names if c != "doc_id"))
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1 OR doc_id IS NULL").select(*names)
+    kept = docs.join(leaders, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return kept.select(*names).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
