@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K = 20
-SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE, ITERATIONS = 8192, 8, 64, 8
+SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE, ITERATIONS = 8192, 8, 256, 8
 CALIBRATION_QUERIES, TARGET_RECALL = 128, 0.97
 BLOCK_ROWS, CHUNK_QUERIES = 4096, 4096
 
@@ -121,19 +121,23 @@ def _kmeans(x: np.ndarray, rng) -> np.ndarray:
     return near
 
 
-def best(q: np.ndarray, q_id: np.ndarray, p: np.ndarray, p_id: np.ndarray, k: int) -> pd.DataFrame:
+def best(q: np.ndarray, q_id: np.ndarray, p: np.ndarray, p_id: np.ndarray, k: int, at_once: int = 256) -> pd.DataFrame:
     """The k largest inner products of each query, own id left out; p_id ascends. Near-ties of the fast product are summed anew in order."""
-    found = []
-    fast = q @ p.T if len(p) else np.zeros((len(q), 0))
-    for i in range(len(q)):
-        s = fast[i]
-        s[p_id == q_id[i]] = -np.inf
-        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-        near = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least))) & (s > -np.inf)) if np.isfinite(least) else np.flatnonzero(s > -np.inf)
-        exact = np.cumsum(p[near] * q[i], axis=1)[:, -1] if len(near) else np.zeros(0)
-        top = np.lexsort((p_id[near], -exact))[:k]
-        found.append(pd.DataFrame({"query_id": q_id[i], "vec_id": p_id[near[top]], "score": exact[top]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    out = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
+    for start in range(0, len(q) if len(p) else 0, at_once):
+        mine, ids = q[start : start + at_once], q_id[start : start + at_once]
+        fast = mine @ p.T
+        fast[p_id[None, :] == ids[:, None]] = -np.inf
+        least = np.partition(fast, len(p) - k, axis=1)[:, len(p) - k] if len(p) > k else np.full(len(mine), -np.inf)
+        slack = np.where(np.isfinite(least), 1e-9 * (1 + np.abs(least)), 0)
+        row, col = np.nonzero((fast >= (least - slack)[:, None]) & (fast > -np.inf))
+        exact = np.concatenate([np.cumsum(p[col[i : i + 8192]] * mine[row[i : i + 8192]], axis=1)[:, -1] for i in range(0, len(row), 8192)] or [np.zeros(0)])
+        order = np.lexsort((p_id[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        for name, values in (("query_id", ids[row]), ("vec_id", p_id[col]), ("score", exact)):
+            out[name].append(values[top])
+    return pd.DataFrame({name: np.concatenate(parts) for name, parts in out.items()})
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -191,20 +195,19 @@ def search(vectors: DataFrame, is_query, k: int = K, target: float = TARGET_RECA
 
     def route(batches):
         for pdf in batches:
-            out = []
             for i, v, own in zip(pdf["vec_id"], pdf["v"], pdf["own"], strict=True):
-                held = 0
+                held, seen = 0, []
                 for n, leaf in enumerate(tree.order(matrix([v], dim)[0])):
                     if n >= visits and held >= k + own:  # never short of k where the table has k
                         break
                     held += rows_of.get(leaf, 0)
-                    out += [(i, v, leaf, b) for b in range(blocks.get(leaf, 0))]
-            yield pd.DataFrame(out, columns=["query_id", "q", "leaf", "block"])
+                    seen += [(leaf, b) for b in range(blocks.get(leaf, 0))]
+                yield pd.DataFrame({"query_id": i, "leaf": [x for x, _ in seen], "block": [b for _, b in seen], "q": [v] * len(seen)})
 
     count = pd.Series(blocks).reindex(range(tree.leaves), fill_value=1).tolist()
     of_leaf = F.element_at(F.array(*(F.lit(int(c)) for c in count)), F.col("leaf").cast("int") + 1)
     points = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_leaf)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    routed = asked.mapInPandas(route, "query_id long, q array<double>, leaf long, block long").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    routed = asked.mapInPandas(route, "query_id long, leaf long, block long, q array<double>").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("vec_id")
