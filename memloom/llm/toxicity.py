@@ -177,9 +177,9 @@ def fit(sample: DataFrame) -> Chain:
         _learn(chain, list(numbers), np.array(rows), np.array(y, float), np.array(lengths))
 
     def evidence(batches):
+        known = _Known(chain)
         for pdf in batches:
-            texts = [t.encode() for t in pdf["text"]]
-            u, sizes = _evidence(chain, texts, {})
+            u, sizes = _evidence([t.encode() for t in pdf["text"]], known)
             top, mass = document_evidence(chain.marginals(u, sizes), sizes)
             yield pd.DataFrame({"top": top, "mass": mass, "toxic": pdf["toxic"].astype(float)})
 
@@ -222,19 +222,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _evidence(chain: Chain, texts: list[bytes], known: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
+class _Known(dict):
+    """Evidence by word, worked out when first asked for."""
+
+    def __init__(self, chain: Chain):
+        super().__init__()
+        self.chain = chain
+
+    def __missing__(self, word: bytes) -> float:
+        self[word] = value = float(self.chain.evidence(word))
+        return value
+
+
+def _evidence(texts: list[bytes], known: _Known) -> tuple[np.ndarray, np.ndarray]:
     """Each word's evidence, text after text, and the texts' numbers of words."""
     out, sizes = [], []
     for text in texts:
         words = WORD.findall(text.lower())
-        try:
-            u = [known[w] for w in words]
-        except KeyError:
-            for w in set(words) - known.keys():
-                known[w] = chain.evidence(w)
-            u = [known[w] for w in words]
-        out.append(np.array(u, float))
-        sizes.append(len(u))
+        out.append(np.array(list(map(known.__getitem__, words)), float))
+        sizes.append(len(words))
         if len(known) > MEMORY:
             known.clear()
     return np.concatenate(out or [np.zeros(0)]), np.array(sizes, np.int64)
@@ -262,7 +268,7 @@ def score(docs: DataFrame, chain: Chain, kept: tuple[str, ...] = ("doc_id",), wi
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches):
-        known: dict[bytes, float] = {}
+        known = _Known(chain)
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
@@ -272,7 +278,7 @@ def score(docs: DataFrame, chain: Chain, kept: tuple[str, ...] = ("doc_id",), wi
                 while order and size < 6 * BATCH_WORDS:
                     part.append(order.pop())
                     size += len(texts[part[-1]])
-                u, sizes = _evidence(chain, [texts[i] for i in part], known)
+                u, sizes = _evidence([texts[i] for i in part], known)
                 p = chain.marginals(u, sizes)
                 scores[part] = chain.score(p, sizes)
                 if with_spans:
