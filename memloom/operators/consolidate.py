@@ -28,23 +28,24 @@ def similar_links(rows: DataFrame, same: float, other: float, neighbours: int =
     """
     n = rows.count()
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
-    slim = rows.select("id", "category", "embedding").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = slim.withColumnRenamed("block", "own").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    slim = rows.select("id", "category", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asking = slim.select("id", "category", "embedding", "own", every.alias("block"), F.lit(True).alias("asks"))
+    asked = slim.select("id", "category", "embedding", every.alias("own_"), F.col("own").alias("block"), F.lit(False).alias("asks")).withColumnRenamed("own_", "own")
 
-    def nearest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "sim": [], "alike": []})
-        b = b.sort_values("id")
         x, y = np.array(a["embedding"].tolist(), float), np.array(b["embedding"].tolist(), float)
         d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
         sim = np.round(1 - d / 2, 4)
         near = np.argsort(-sim, axis=1, kind="stable")[:, :neighbours]
-        rows = np.repeat(np.arange(len(a)), near.shape[1])
-        cols = near.ravel()
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        return pd.DataFrame({"a": ids[rows], "b": others[cols], "sim": sim[rows, cols], "alike": a["category"].to_numpy()[rows] == b["category"].to_numpy()[cols]})
+        rows, cols = np.repeat(np.arange(len(a)), near.shape[1]), near.ravel()
+        same_category = a["category"].to_numpy()[rows] == b["category"].to_numpy()[cols]
+        return pd.DataFrame({"a": a["id"].to_numpy()[rows], "b": b["id"].to_numpy()[cols], "sim": sim[rows, cols], "alike": same_category})
 
-    pairs = left.groupBy("own", "block").cogroup(slim.withColumnRenamed("block", "b2").withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("b2", "block").groupBy("own", "block")).applyInPandas(nearest, "a string, b string, sim double, alike boolean")
+    pairs = asking.unionByName(asked).groupBy("own", "block").applyInPandas(nearest, "a string, b string, sim double, alike boolean")
     best = pairs.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= neighbours)
     return best.where((F.col("a") != F.col("b")) & (F.col("sim") >= F.when(F.col("alike"), F.lit(same)).otherwise(F.lit(other)))).select("a", "b", "sim")
 
@@ -98,7 +99,7 @@ def merge_or_store(existing: DataFrame, arrivals: DataFrame, threshold: float =
     importance, strength, created_at, memory_type.
     """
     columns = ["id", "agent", "namespace", "category", "memory_type", "text", "embedding", "importance", "strength", "created_at"]
-    schema = existing.select(*columns).schema.add("merged", "int")
+    schema = existing.select(*columns).schema.add("merged", "integer")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         stored = pdf[pdf["_old"]].to_dict("records")

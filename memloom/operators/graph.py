@@ -125,7 +125,8 @@ def fold_conflicts(facts: DataFrame, margin: float = 0.20) -> DataFrame:
 
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges of the given entities, seen from either end."""
-    both = edges.unionByName(edges.withColumnsRenamed({"source_id": "target_id", "target_id": "source_id"}).select(edges.columns))
+    turned = [F.col({"source_id": "target_id", "target_id": "source_id"}.get(c, c)).alias(c) for c in edges.columns]
+    both = edges.unionByName(edges.select(*turned))
     return both.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi")
 
 

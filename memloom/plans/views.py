@@ -63,4 +63,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """SQL that starts from the views named."""
     parts = [f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names]
-    return f"WITH {', '.join(parts)} {sql}" if parts else sql
+    return f"WITH {', '.join(parts)}{'' if sql.startswith(',') else ' '}{sql}" if parts else sql
