@@ -156,8 +156,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     rest = lambda acc: F.array_join(F.concat(acc["parts"], F.array(F.substr(text, acc["at"] + 1))), "")
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step, rest)
-    own = [c for c in docs.columns if c != "spans"]
-    return find(docs.select(*own)).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)).select(*own)
+    own = [F.col(f"k_{c}").alias(c) if c != "text" else F.when(F.size("spans") > 0, clean).otherwise(text).alias("text") for c in docs.columns]
+    return find(docs.select("text", *(F.col(c).alias(f"k_{c}") for c in docs.columns if c != "text"))).select(*own)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

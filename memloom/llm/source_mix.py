@@ -117,18 +117,27 @@ def cut(queue: DataFrame):
     return over.agg(F.min("e").alias("e")).first()["e"]
 
 
-def mix(docs: DataFrame, kept: list[str]) -> DataFrame:
-    """Columns `kept` of the documents with `size`, `source_size`, `target`, `copies` (times the mix holds the row) and `taken` (words)."""
+def decided(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """The queue's rows (columns `kept` with k_ in front) with `_copies`, the times that the mix holds the row."""
     queue = written(served(docs, kept), "queue")
     end = cut(queue)
     if end is None:
-        copies = F.size(_entries())
-    else:
-        source = F.struct(F.lit(end["_src"]["none"]).alias("none"), F.lit(end["_src"]["name"]).alias("name"))
-        limit = F.struct(F.lit(end["finish"]).alias("finish"), source.alias("_src"), F.lit(end["_dig"]).alias("_dig"), F.lit(end["_id"]).cast(queue.schema["_id"].dataType).alias("_id"), F.lit(end["_size"]).cast("long").alias("_size"), F.lit(end["k"]).alias("k"))
-        copies = F.size(F.filter(_entries(), lambda e: e < limit))
+        return queue.withColumn("_copies", F.size(_entries()))
+    source = F.struct(F.lit(end["_src"]["none"]).alias("none"), F.lit(end["_src"]["name"]).alias("name"))
+    limit = F.struct(F.lit(end["finish"]).alias("finish"), source.alias("_src"), F.lit(end["_dig"]).alias("_dig"), F.lit(end["_id"]).cast(queue.schema["_id"].dataType).alias("_id"), F.lit(end["_size"]).cast("long").alias("_size"), F.lit(end["k"]).alias("k"))
+    return queue.withColumn("_copies", F.size(F.filter(_entries(), lambda e: e < limit)))
+
+
+def mix(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """Columns `kept` of the documents with `size`, `source_size`, `target`, `copies` (times the mix holds the row) and `taken` (words)."""
     own = [F.col(f"k_{c}").alias(c) for c in kept]
-    return queue.select(*own, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+    return decided(docs, kept).select(*own, F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The mix itself: each document as often as it is taken."""
+    rows = decided(docs, docs.columns).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.select(*(F.col(f"k_{c}").alias(c) for c in docs.columns))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

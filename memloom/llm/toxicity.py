@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table, written
 
@@ -288,23 +289,16 @@ def score(docs: DataFrame, chain: Chain, kept: tuple[str, ...] = ("doc_id",), wi
                         spans[part[n]] = _spans(texts[part[n]], p[ends[n] - sizes[n] : ends[n]])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores), pa.array(spans, kind)], [*kept, "score", "spans"])
 
-    schema = docs.select(*kept).schema
-    for f in spark_fields():
-        schema = schema.add(f)
+    schema = StructType([*docs.select(*kept).schema.fields, *StructType.fromDDL(RESULT).fields])
     return docs.select(F.col("text").cast("string").alias("_t"), *kept).mapInArrow(run, schema)
 
 
-def spark_fields():
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(RESULT).fields
-
-
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents below the threshold."""
     chain = fit(training_sample(docs, labels))
-    names = docs.columns
-    return score(docs, chain, tuple(names), with_spans=False).where(F.col("score") < THRESHOLD).select(*names)
+    own = [f"k_{c}" for c in docs.columns]  # so that no column of the documents clashes with the score's
+    scored = score(docs.select("text", *(F.col(c).alias(k) for c, k in zip(docs.columns, own, strict=True))), chain, tuple(own), with_spans=False)
+    return scored.where(F.col("score") < THRESHOLD).select(*(F.col(k).alias(c) for c, k in zip(docs.columns, own, strict=True)))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
