@@ -13,6 +13,7 @@ from ..operators import lifecycle as L
 from ..operators import retrieval as R
 from ..operators import sessions as S
 from ..session import table
+from ..streaming import streams as ST
 from . import sqltext as Q
 from .queries import memories, query
 from .views import MEMORIES, NOW, TABLES, view
@@ -452,3 +453,33 @@ def q_export(s, d):
 def q_inverted_index(s, d):
     """K7, K8."""
     return memories(s, d).groupBy("source").agg(F.array_sort(F.collect_set("category")).alias("t")).select("source", F.substring(F.md5(F.array_join("t", ",")), 1, 16).alias("digest"), F.size("t").cast("long").alias("n"))
+
+
+# --- Streams ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT session_id AS key, count(*) AS n FROM calls GROUP BY 1", ("calls",))
+def s_request_totals(s, d):
+    """X13's batch twin at the coarsest grain."""
+    return view(s, d, "calls").groupBy(F.col("session_id").alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type, date_trunc('minute', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM calls GROUP BY 1, 2""", ("calls",))
+def s_metrics(s, d):
+    """X13 in batch: the streaming form's windows."""
+    rows = ST.request_metrics(view(s, d, "calls").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select("event_type", F.col("start").cast(dict(view(s, d, "calls").dtypes)["ts"]).alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query()
+def s_rate_limit(s, d):
+    """X3's batch twin: 3 requests an hour (held by tests against the stream)."""
+    return ST.accepted_in_batch(view(s, d, "calls").select(F.col("session_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), 3, 3600)
+
+
+@query("SELECT session_id, min(ts) AS start, count(*) AS messages FROM (SELECT *, sum(g) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS g FROM calls)) GROUP BY session_id, k", ("calls",))
+def s_sessions(s, d):
+    """X4 in batch: session windows of the streaming form."""
+    kind = dict(view(s, d, "calls").dtypes)["ts"]
+    rows = ST.session_windows(view(s, d, "calls").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select("session_id", F.col("start").cast(kind).alias("start"), "messages")
