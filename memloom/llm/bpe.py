@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import zlib
 
 import numpy as np
@@ -29,13 +30,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters after which a chunk ends.
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 12_000_000
 #: Word buckets: a few for each input partition, within these bounds.
 LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
 
@@ -67,7 +69,7 @@ def _planes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
 
 
-def _chunk_rows(chunk: str, kept: pd.DataFrame, numbers: dict[str, int], docs: list[list[int]], buckets: int):
+def _chunk_rows(chunk: str, kept: pd.DataFrame, numbers: dict[str, int], docs: list[np.ndarray], buckets: int):
     """A row for each bucket with its words in order, and one with the documents as numbers into all buckets' words."""
     words = [w.encode() for w in numbers]
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
@@ -82,7 +84,7 @@ def _chunk_rows(chunk: str, kept: pd.DataFrame, numbers: dict[str, int], docs: l
         if own:
             yield {"key": f"w{b}", "chunk": chunk, "bucket": b, "words": len(own), "crc": 0, "payload": _pack(np.array([len(w) for w in own], "<u4"), tail=joined), "rows": b""}
     lengths = np.array([len(d) for d in docs], "<u4")
-    flat = place[np.fromiter((x for d in docs for x in d), np.int64, int(lengths.sum()))] if docs else np.zeros(0, np.int64)
+    flat = place.astype("<u4")[np.concatenate(docs)]
     rows = zstandard.compress(kept.to_parquet(compression=None, index=False))
     yield {"key": f"c{chunk}", "chunk": chunk, "bucket": -1, "words": len(words), "crc": crc, "payload": _pack(lengths, _planes(flat)), "rows": rows}
 
@@ -102,7 +104,7 @@ def encode(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), ranks_path: str
             frames.append(pdf[list(kept)])
             begun = 0
             for at, text in enumerate(pdf["_text"]):
-                done.append([numbers.setdefault(w, len(numbers)) for w in find(text)])
+                done.append(np.array([numbers.setdefault(w, len(numbers)) for w in find(text)], "<u4"))
                 chars += len(text)
                 if chars >= chunk_chars:
                     frames[-1] = frames[-1].iloc[: at + 1 - begun]
@@ -150,33 +152,31 @@ def encode(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), ranks_path: str
             if r.words != len(ids_of) or r.crc != zlib.crc32(b"".join(bytes_of)):
                 raise RuntimeError("a repeated scan met its rows in another order; write the documents first")
             (lengths, planes), _ = _unpack(r.payload, "<u4", "<u1")
-            flat = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().tolist()
-            frame = pd.read_parquet(_reader(zstandard.decompress(r.rows)))
-            sizes = [len(x) for x in ids_of]
+            flat = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+            frame = pd.read_parquet(io.BytesIO(zstandard.decompress(r.rows)))
+            sizes = np.array([len(x) for x in ids_of], np.int64)
             ends = np.cumsum(lengths).tolist()
-            docs_of = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            frame["n_tokens"] = [sum([sizes[w] for w in d]) for d in docs_of]
-            frame["ids_sha256"] = [hashlib.sha256(" ".join([text_of[w] for w in d]).encode()).hexdigest() for d in docs_of]
-            frame["decoded_sha256"] = [hashlib.sha256(b"".join([bytes_of[w] for w in d])).hexdigest() for d in docs_of]
+            n, digests, decoded, ids = [], [], [], []
+            for a, b in zip([0, *ends], ends, strict=False):
+                own = flat[a:b].tolist()
+                n.append(int(sizes[flat[a:b]].sum()))
+                digests.append(hashlib.sha256(" ".join([text_of[w] for w in own]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([bytes_of[w] for w in own])).hexdigest())
+                if with_ids:
+                    ids.append([i for w in own for i in ids_of[w]])
+            frame["n_tokens"], frame["ids_sha256"], frame["decoded_sha256"] = n, digests, decoded
             if with_ids:
-                frame["ids"] = [[i for w in d for i in ids_of[w]] for d in docs_of]
+                frame["ids"] = ids
             out.append(frame[names])
         return pd.concat(out)
 
     shuffled = scanned.mapInPandas(scan, SHUFFLED).repartition("key")
     encoded = shuffled.groupBy("key").applyInPandas(encode_bucket, "key string, bucket int, payload binary")
-    schema = kept_schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("ids", "array<int>")] if with_ids else [])):
-        schema = schema.add(name, kind)
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = StructType([*kept_schema.fields, *StructType.fromDDL(added).fields])
     return shuffled.groupBy("key").cogroup(encoded.groupBy("key")).applyInPandas(reassemble, schema)
 
 
-def _reader(data: bytes):
-    import io
-
-    return io.BytesIO(data)
-
-
 def token_bytes(spark: SparkSession, ranks_path: str = RANKS) -> DataFrame:
     """The token-byte table: id and its bytes."""
     return spark.createDataFrame([(rank, token) for token, rank in load_ranks(ranks_path).items()], "id int, bytes binary")
