@@ -59,21 +59,26 @@ def top(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id"
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+#: A batch of queries is sent to every executor only up to so many rows.
+BROADCAST_QUERIES = 10_000
+
+
+def _pairs(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """All rows with a vector against a stated batch of queries of the same size of vector."""
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    return rows.where("embedding IS NOT NULL").join(F.broadcast(queries) if few else queries, F.size("embedding") == F.size("vector"))
+
+
 def knn(memories: DataFrame, queries: DataFrame, k: int, metric: str = "l2", min_score: float = 0.0) -> DataFrame:
     """V1-V3: query_id, id, score, rank. queries: query_id, vector. Filters come before the top-k, so no widening is needed.
 
     A stated batch of queries meets all rows; the batch is broadcast only up to BROADCAST_QUERIES rows, else Spark deals it.
     """
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    rows = memories.where("embedding IS NOT NULL").select("id", "embedding")
-    pairs = rows.join(F.broadcast(queries) if few else queries, F.size("embedding") == F.size("vector"))
+    pairs = _pairs(memories.select("id", "embedding"), queries.select("query_id", "vector"))
     scored = pairs.select("query_id", "id", F.round(similarity(F.col("embedding"), F.col("vector"), metric), 4).alias("score")).where(F.col("score") >= min_score)
     return top(scored, k, F.desc("score"), F.asc("id"))
 
 
-BROADCAST_QUERIES = 10_000
-
-
 def bm25(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """K2, K3: query_id, id, score, rank. queries: query_id, q. Whole-word BM25; words under three characters match nothing.
 
@@ -194,14 +199,11 @@ def within_budget(results: DataFrame, budget: int, by: str = "query_id", order:
 
 
 def cross_agent(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, each: int = 10) -> DataFrame:
-    """Each agent's hybrid ranks, merged by score. The agent is part of the query's key, so all run in one plan."""
-    agents = memories.select("agent").distinct()
-    asked = queries.join(agents).withColumn("key", F.struct("query_id", "agent"))
+    """Each agent's hybrid ranks, merged by score. The agent is part of the ranks' keys, so all run in one plan."""
     own = searchable(memories)
-    few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    vectors = asked.select(F.col("key"), "agent", "vector")
-    pairs = own.where("embedding IS NOT NULL").join(F.broadcast(vectors) if few else vectors, "agent")
-    near = top(pairs.select(F.col("key.query_id").alias("query_id"), "agent", "id", F.round(similarity(F.col("embedding"), F.col("vector")), 4).alias("s")), each * 4, F.desc("s"), F.asc("id"), by=("query_id", "agent"))
+    pairs = _pairs(own.select("id", "agent", "embedding"), queries.select("query_id", "vector"))
+    scored = pairs.select("query_id", "agent", "id", F.round(similarity(F.col("embedding"), F.col("vector")), 4).alias("s"))
+    near = top(scored, each * 4, F.desc("s"), F.asc("id"), by=("query_id", "agent"))
     pool = near.join(own.select("id", "created_at", "importance"), "id")
     ranks = pool.withColumns({
         "r2": F.row_number().over(W.partitionBy("query_id", "agent").orderBy(F.desc("created_at"), "id")),
