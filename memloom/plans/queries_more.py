@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import consolidate as C
 from ..operators import graph as G
 from ..operators import lifecycle as L
+from ..operators import pinning as PN
 from ..operators import retrieval as R
 from ..operators import sessions as S
 from ..session import table
@@ -564,3 +565,21 @@ def q_open_tasks(s, d):
     """L16, R13."""
     tasks = memories(s, d).select("id", "agent", F.col("id").alias("title"), "created_at", F.when(F.col("pinned"), "done").otherwise("open").alias("status"))
     return S.open_tasks(tasks, NOW, 720).select("agent", "id")
+
+
+@query(f"{_HYBRID}, top AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10) SELECT id, pinned OR (id IN (SELECT id FROM top) AND importance >= 0.7 AND deleted_at IS NULL) AS pinned FROM memories")
+def q_pin_critical(s, d):
+    """L13, W6."""
+    m = memories(s, d)
+    return PN.pin_critical(m, R.hybrid(m, both_queries(s, d), NOW)).select("id", "pinned")
+
+
+@query(f"""{_HYBRID}, hit AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10),
+  p AS (SELECT query_id, id, rank, text, CASE category WHEN 'decision' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS place FROM hit JOIN memories USING (id)),
+  o AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY place, rank, text ROWS UNBOUNDED PRECEDING) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY query_id, substr(text, 1, 120) ORDER BY place, rank) AS r FROM p) WHERE r = 1)
+  SELECT query_id, id, chars::BIGINT AS chars FROM o WHERE chars <= 20000""")
+def q_context(s, d):
+    """H13, R16, V7, J14."""
+    m = memories(s, d)
+    found = R.hybrid(m, both_queries(s, d), NOW).join(m.select("id", "text", F.col("category").alias("section")), "id")
+    return PN.sections(found, ["decision", "user"]).select("query_id", "id", "chars")
