@@ -1,11 +1,13 @@
 """Suffix-array dedup: exact removal of repeated 100-byte strings with a logarithmic family of suffix indexes.
 
 Which suffixes. Of every LENGTH-byte window the K-byte string with the least fingerprint (the last of equals) is its
-anchor; equal windows have equal anchors at equal places, so comparing suffixes that start at anchors loses no match.
-About one byte in 39 is an anchor.
+anchor; equal windows have equal anchors at equal places, so comparing suffixes at anchors loses no match. About one
+byte in 39 is an anchor. A window reaches at least ARM bytes beyond its anchor to one side, so an anchor has up to two
+suffixes: one from the anchor on, for the windows that reach far enough right, one from ARM bytes before it for the
+others. Both are known by their first K + ARM bytes, which seldom repeat by chance.
 
 The family. The texts come in batches by id. A batch's anchors are sorted into a suffix array, in the order of the
-fingerprint of their first K bytes (one row a bucket, packed). It is scanned side by side with every level of the
+fingerprint of their first K + ARM bytes (one row a bucket, packed). It is scanned side by side with every level of the
 family; suffixes that stand in both, or twice in the batch, are matched. Then the batch is merged with levels of its
 own size, and so on up, so a text is rewritten a logarithmic number of times. Levels hold a prefix once, with its first
 place; they are tables in the shared folder, and a merged level replaces those it came from.
@@ -32,13 +34,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, work_path
+from .common import drop_path, table, work_path
 
 LENGTH, K = 100, 24
 WINDOW = LENGTH - K + 1
+ARM = (LENGTH - K) // 2
 BATCHES = 4
-#: Anchors of a bucket, about; bytes of a scanned stretch (a power of two bounds the bits of a place).
-BUCKET_ANCHORS, STRETCH_BITS = 400_000, 21
+#: Anchors of an index bucket, about; input bytes a compared bucket stands for; bytes of a scanned stretch (as a power of two).
+BUCKET_ANCHORS, COMPARED_BYTES, STRETCH_BITS = 400_000, 2_000_000, 20
+#: Text bytes whose windows a task cuts at once.
+PORTION_BYTES = 4_000_000
+#: Windows that a task sorts at once.
+COMPARED_WINDOWS = 1_000_000
 LAST_ID = 2**63 - 1
 
 _rng = np.random.default_rng(20)
@@ -131,7 +138,8 @@ def stretches(texts: list[bytes]):
 
 
 def runs(texts: list[bytes]):
-    """Per stretch: data, sums and the anchors: owner, place in the stretch, fingerprint, first and last of its windows, shift from stretch to text."""
+    """Per stretch: data and its suffixes: owner, code (twice the anchor's place in the text, plus 1 for the left one),
+    fingerprint, first and last of its windows in the stretch, shift from stretch to text; by owner."""
     for data, owner, start in stretches(texts):
         sums = prefix_sums(data)
         at = anchors(data, sums)
@@ -139,10 +147,19 @@ def runs(texts: list[bytes]):
         at, own = at[ok], owner[ok]
         new = np.ones(len(ok), bool)
         new[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (ok[1:] != ok[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(ok)) - 1
-        q = at[first]
-        yield data, sums, own[first], q, fingerprints(sums, q, q + K), ok[first], ok[last], start[ok[first]] - ok[first]
+        begin = np.flatnonzero(new)
+        q, own, first, last = at[begin], own[begin], ok[begin], ok[np.append(begin[1:], len(ok)) - 1]
+        shift = start[first] - first
+        right, left = np.flatnonzero(last >= q - ARM), np.flatnonzero(first < q - ARM)
+        both = np.concatenate([right, left])
+        side = np.repeat([0, 1], [len(right), len(left)])
+        head = q[both] - ARM * side
+        first = np.where(side == 0, np.maximum(first[both], q[both] - ARM), first[both])
+        last = np.where(side == 0, last[both], np.minimum(last[both], q[both] - ARM - 1))
+        order = np.argsort(own[both], kind="stable")
+        h = fingerprints(sums, head, head + K + ARM)
+        code = 2 * (q + shift)[both] + side
+        yield data, own[both][order], code[order], h[order], first[order], last[order], shift[both][order]
 
 
 def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
@@ -191,8 +208,8 @@ def batch_arrays(docs: DataFrame, buckets: int) -> DataFrame:
         parts = []
         for pdf in batches:
             did = pdf["did"].to_numpy(np.int64)
-            for _, _, own, q, h, _, _, shift in runs([t or b"" for t in pdf["data"]]):
-                parts.append((h, did[own], q + shift))
+            for _, own, code, h, _, _, _ in runs([t or b"" for t in pdf["data"]]):
+                parts.append((h, did[own], code))
         if not parts:
             return
         h, did, q = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -210,7 +227,7 @@ def batch_arrays(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInPandas(scan, ROWS)
 
 
-def _scan_and_merge():
+def _scan_and_merge(parts: int):
     """For one bucket: matched places of the batch against itself and the levels; the merged level."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -248,23 +265,39 @@ def _scan_and_merge():
             told = np.where(size > 1, 1, told[first])  # met by another: its place has been given
             out.append((2, int(pdf["bucket"].iloc[0]), 0, pack(_steps(h[first]), did[first], q[first], told)))
         if matched:
-            did, q = (np.concatenate([m[i] for m in matched]) for i in (0, 1))
-            order = np.lexsort((q, did))
-            did, q = did[order], q[order]
-            cuts = [*np.flatnonzero(np.append(True, did[1:] != did[:-1])[: len(did)]).tolist(), len(did)]
-            out += [(1, -1, int(did[a]), np.unique(q[a:b]).astype("<i8").tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+            did, code = (np.concatenate([m[i] for m in matched]) for i in (0, 1))
+            out += [(1, part, 0, pack(did[rows], code[rows])) for part, rows in _by_bucket(_part_of(did, parts), parts)]
         return pd.DataFrame(out, columns=["kind", "bucket", "did", "payload"])
 
     return run
 
 
-def matched_places(docs: DataFrame, cuts: list[int], buckets: int) -> DataFrame:
-    """did, payload: places of anchors that stand more than once, from the family built over batches of ids.
+def _part_of(did: np.ndarray, parts: int) -> np.ndarray:
+    return (did.astype(np.uint64) * _BASE >> np.uint64(33)).astype(np.int64) % parts
 
-    Reads `docs` (did, data) once a batch, with a filter on the id.
+
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """did, places: a row a document of the part."""
+    pairs = [unpack(p)[0] for p in pdf["payload"]]
+    did, code = (np.concatenate([x[i] for x in pairs]) for i in (0, 1))
+    order = np.lexsort((code, did))
+    did, code = did[order], code[order]
+    new = np.append(True, (did[1:] != did[:-1]) | (code[1:] != code[:-1]))
+    did, code = did[new], code[new]
+    cuts = [*np.flatnonzero(np.append(True, did[1:] != did[:-1])).tolist(), len(did)]
+    return pd.DataFrame({"did": did[cuts[:-1]], "places": [code[a:b].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
+
+
+def matched_places(docs: DataFrame, cuts: list[int], buckets: int, parts: int) -> DataFrame:
+    """did, places: suffixes that stand more than once, from the family built over batches of ids.
+
+    Reads `docs` (did, data) once a batch, with a filter on the id. Matches travel packed by parts of the ids. A merged
+    level replaces those it came from, which are deleted.
     """
     spark = docs.sparkSession
     levels: list[tuple[int, str]] = []
+    rest = ROWS.replace("kind int, ", "")
+    read = lambda path, kind, put: spark.read.schema(rest).parquet(f"{path}/kind={kind}").where("bucket >= 0").select(F.lit(put).alias("kind"), "bucket", "did", "payload")
     matched = None
     for i, high in enumerate([*cuts, None]):
         batch = docs if i == 0 else docs.where(F.col("did") > cuts[i - 1])
@@ -274,38 +307,50 @@ def matched_places(docs: DataFrame, cuts: list[int], buckets: int) -> DataFrame:
             merged.append(levels.pop()[1])
             rank += 1
         rows = batch_arrays(batch, buckets)
-        read = lambda path, kind: spark.read.schema(ROWS).parquet(path).where("kind = 2").withColumn("kind", F.lit(kind))
-        for kind, paths in ((2, [p for _, p in levels]), (3, merged)):
+        for put, paths in ((2, [p for _, p in levels]), (3, merged)):
             for path in paths:
-                rows = rows.unionByName(read(path, kind))
+                rows = rows.unionByName(read(path, 2, put))
         path = work_path(spark, f"suffix-level-{i}")
-        rows.groupBy("bucket").applyInPandas(_scan_and_merge(), ROWS).write.parquet(path)
-        own = spark.read.schema(ROWS).parquet(path).where("kind = 1").select("did", "payload")
+        both = rows.groupBy("bucket").applyInPandas(_scan_and_merge(parts), ROWS)
+        # An empty row of each kind, so that both folders are there.
+        none = spark.createDataFrame([(k, -1, 0, pack(*[np.zeros(0, np.int64)] * (2 * k))) for k in (1, 2)], ROWS)
+        both.unionByName(none).write.partitionBy("kind").parquet(path)
+        for old in merged:
+            drop_path(spark, f"{old}/kind=2")
+        own = read(path, 1, 1)
         matched = own if matched is None else matched.unionByName(own)
         levels.append((rank, path))
-    return matched
+    return matched.groupBy("bucket").applyInPandas(_gather, "did long, places binary")
+
+
+def _portions(pdf: pd.DataFrame):
+    """The rows in portions of few bytes, so that what is worked out for them stays small."""
+    size = np.cumsum([len(x or b"") for x in pdf["data"]])
+    for _, rows in pdf.groupby(size // PORTION_BYTES):
+        yield rows
 
 
 def _cut_windows(buckets: int):
     """Matched anchors' windows with their bytes, by bucket; cuts that are equal in the task are repeats at once."""
-    width = LENGTH + WINDOW - 1
+    width = LENGTH + ARM
 
     def run(batches):
-        for pdf in batches:
-            wanted = [np.frombuffer(b"".join(x), "<i8") for x in pdf["places"]]
+        for pdf in (part for batch in batches for part in _portions(batch)):
+            wanted = [np.frombuffer(x, "<i8") for x in pdf["places"]]
             did, tid = pdf["did"].to_numpy(np.int64), pdf["tid"].to_numpy(np.int64)
             cuts, heads = [], []
-            for data, _, own, q, h, first, last, shift in runs([t or b"" for t in pdf["data"]]):
-                take = np.zeros(len(q), bool)
+            for data, own, code, h, first, last, shift in runs([t or b"" for t in pdf["data"]]):
+                take = np.zeros(len(code), bool)
                 begins = np.searchsorted(own, np.arange(len(wanted) + 1))
                 for i in np.unique(own).tolist():
                     a, b = begins[i], begins[i + 1]
-                    take[a:b] = np.isin(q[a:b] + shift[a:b], wanted[i])
-                own, q, h, first, last, shift = (x[take] for x in (own, q, h, first, last, shift))
+                    take[a:b] = np.isin(code[a:b], wanted[i])
+                own, code, h, first, last, shift = (x[take] for x in (own, code, h, first, last, shift))
                 size = last - first + LENGTH
                 at = np.minimum(first[:, None] + np.arange(width), len(data) - 1)
                 cut = np.where(np.arange(width) < size[:, None], data[at], 0).astype(np.uint8)
-                cuts.append(np.concatenate([cut, size.astype(np.uint8)[:, None], (q - first).astype(np.uint8)[:, None]], axis=1))
+                reach = (code // 2 - shift - first).astype(np.uint8)
+                cuts.append(np.concatenate([cut, size.astype(np.uint8)[:, None], reach[:, None]], axis=1))
                 heads.append((did[own], tid[own], first + shift, h, size))
             if not cuts:
                 continue
@@ -333,6 +378,26 @@ def _cut_windows(buckets: int):
 MARKS = "did long, tid long, lo long, hi long"
 
 
+def _repeats(data: np.ndarray, h, d, t, start, at) -> pd.DataFrame:
+    """Runs of windows that equal an earlier one (by id and start); their bytes decide, fingerprints only sort."""
+    order = np.lexsort((start, d, h))
+    h, d, t, start, at = h[order], d[order], t[order], start[order], at[order]
+    equal = np.zeros(len(h), bool)
+    equal[1:] = h[1:] == h[:-1]
+    span = np.arange(LENGTH)
+    for i in range(0, len(h), 65536):
+        rows = np.flatnonzero(equal[i : i + 65536]) + i
+        equal[rows] = (data[at[rows][:, None] + span] == data[at[rows - 1][:, None] + span]).all(1)
+    lead = np.maximum.accumulate(np.where(equal, 0, np.arange(len(h))))
+    again = equal & ((d != d[lead]) | (start != start[lead]))
+    d, t, start = d[again], t[again], start[again]
+    order = np.lexsort((start, t, d))
+    d, t, start = d[order], t[order], start[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] > start[:-1] + 1))[: len(d)]
+    first = np.flatnonzero(new)
+    return pd.DataFrame({"did": d[first], "tid": t[first], "lo": start[first], "hi": start[np.append(first[1:], len(d))[: len(first)] - 1]})
+
+
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """First and last start of the runs of repeated windows of one bucket."""
     told = [unpack(p)[0] for p in pdf.loc[pdf["kind"] == 1, "payload"]]
@@ -341,29 +406,23 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     if cuts:
         d, t, p, size = (np.concatenate([c[0][i] for c in cuts]) for i in range(4))
         data = np.frombuffer(b"".join(c[1] for c in cuts), np.uint8)
-        windows = size - LENGTH + 1
+        windows, ends = size - LENGTH + 1, np.cumsum(size)
         row = np.repeat(np.arange(len(size)), windows)
         within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = np.repeat(np.cumsum(size) - size, windows) + within
-        h = fingerprints(prefix_sums(data), at, at + LENGTH)
-        d, t, start = d[row], t[row], p[row] + within
-        order = np.lexsort((start, d, h))
-        h, d, t, start, at = h[order], d[order], t[order], start[order], at[order]
-        equal = np.zeros(len(h), bool)
-        equal[1:] = h[1:] == h[:-1]
-        for i in range(0, len(h), 65536):  # the bytes decide
-            rows = np.flatnonzero(equal[i : i + 65536]) + i
-            span = np.arange(LENGTH)
-            equal[rows] = (data[at[rows][:, None] + span] == data[at[rows - 1][:, None] + span]).all(1)
-        lead = np.maximum.accumulate(np.where(equal, 0, np.arange(len(h))))
-        again = equal & ((d != d[lead]) | (start != start[lead]))
-        d, t, start = d[again], t[again], start[again]
-        order = np.lexsort((start, t, d))
-        d, t, start = d[order], t[order], start[order]
-        if len(d):
-            new = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] > start[:-1] + 1))
-            first = np.flatnonzero(new)
-            out.append(pd.DataFrame({"did": d[first], "tid": t[first], "lo": start[first], "hi": start[np.append(first[1:], len(d)) - 1]}))
+        at = np.repeat(ends - size, windows) + within
+        h = np.empty(len(at), np.uint64)
+        for part in range(int(ends[-1] >> STRETCH_BITS) + 1):  # whole cuts, in stretches of bounded length
+            a, b = np.searchsorted(ends >> STRETCH_BITS, [part, part + 1])
+            if a < b:
+                own = slice(*np.searchsorted(row, [a, b]))
+                begin = int(ends[a] - size[a])
+                h[own] = fingerprints(prefix_sums(data[begin : ends[b - 1]]), at[own] - begin, at[own] - begin + LENGTH)
+        parts = len(h) // COMPARED_WINDOWS + 1
+        for part in range(parts):  # equal windows have equal fingerprints, so parts of the fingerprints can go one by one
+            mine = np.flatnonzero(h % np.uint64(parts) == part)
+            marks = _repeats(data, h[mine], d[row[mine]], t[row[mine]], p[row[mine]] + within[mine], at[mine])
+            if len(marks):
+                out.append(marks)
     return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("did", "tid", "lo", "hi")})
 
 
@@ -396,12 +455,12 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), data.alias("data"))
     shares = [i / BATCHES for i in range(1, BATCHES)]
     cuts, size = rows.agg(F.percentile_approx("did", shares, 1000), F.sum(F.length("data"))).first()
-    buckets = max(16, -(-(size or 0) // (39 * BUCKET_ANCHORS)))
-    places = matched_places(rows.select("did", "data"), sorted(set(cuts or [])), buckets)
-    places = places.groupBy("did").agg(F.collect_list("payload").alias("places"))
+    buckets = max(16, -(-(size or 0) // (20 * BUCKET_ANCHORS)))  # two suffixes in 39 bytes
+    compared = max(16, -(-(size or 0) // COMPARED_BYTES))
+    places = matched_places(rows.select("did", "data"), sorted(set(cuts or [])), buckets, compared)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.withColumn("tid", F.xxhash64("data")).repartition(parts, "did")
-    cuts_out = texts.select("did", "tid", "data").join(places, "did").mapInPandas(_cut_windows(buckets), "kind int, bucket int, payload binary")
+    cuts_out = texts.join(places, "did").mapInPandas(_cut_windows(compared), "kind int, bucket int, payload binary")
     marks = cuts_out.groupBy("bucket").applyInPandas(_compare, MARKS)
     marks = marks.groupBy("did").agg(F.collect_list(F.struct("tid", "lo", "hi")).alias("marks"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text

@@ -54,9 +54,10 @@ def test_small_stretches_and_many_buckets(spark, monkeypatch):
 def test_long_texts_are_cut_without_loss(monkeypatch):
     text = words(3000, 1).encode()
     data = np.frombuffer(text, np.uint8)
-    whole = {(int(q + s), int(a + s), int(b + s)) for _, _, own, q, h, a, b, shift in op.runs([text]) for q, a, b, s in zip(q, a, b, shift, strict=True)}
+    cut = lambda: {(int(c), int(a + s), int(b + s)) for _, own, code, h, first, last, shift in op.runs([text]) for c, a, b, s in zip(code, first, last, shift, strict=True)}
+    whole = cut()
     monkeypatch.setattr(op, "STRETCH_BITS", 11)
-    parts = [(int(q + s), int(a + s), int(b + s)) for _, _, own, q, h, a, b, shift in op.runs([text]) for q, a, b, s in zip(q, a, b, shift, strict=True)]
+    parts = cut()
     windows = lambda runs: {(q, p) for q, a, b in runs for p in range(a, b + 1)}
     assert windows(whole) >= windows(parts) and {p for _, p in windows(parts)} == set(range(len(data) - 99))
 
