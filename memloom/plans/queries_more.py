@@ -23,7 +23,7 @@ from .views import MEMORIES, NOW, TABLES, view
 # --- Retrieval -------------------------------------------------------------------------------------------------------
 
 _SEARCHABLE = "deleted_at IS NULL AND importance >= 0.05"
-_VECTORS = "qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id < 5)"
+_VECTORS = "qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 20 = 0)"
 _L2 = "round(1 - sqrt(list_sum(list_transform(list_zip(embedding, vector), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) / 2, 4)"
 _COS = "round((1 + list_dot_product(embedding::DOUBLE[], vector::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])))) / 2, 4)"
 
@@ -34,7 +34,7 @@ def _knn(k: int, score: str = _L2, where: str = "true") -> str:
 
 
 def vectors(s, d):
-    return table(s, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query(f", {_VECTORS} {_knn(10)}")
@@ -55,7 +55,7 @@ def q_cosine(s, d):
     return R.knn(R.searchable(memories(s, d)), vectors(s, d), 10, "cosine")
 
 
-_ASKED = "qt AS (SELECT item_id AS query_id, text AS q FROM benchmark WHERE item_id < 5)"
+_ASKED = "qt AS (SELECT item_id AS query_id, text AS q FROM benchmark WHERE item_id % 20 = 0)"
 _WORD = r"[\p{L}\p{M}\p{N}_]+(?:[.-][\p{L}\p{M}\p{N}_]+)*"
 
 
@@ -71,7 +71,7 @@ def _bm25(k: int) -> str:
 
 
 def asked(s, d):
-    return table(s, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    return table(s, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
 
 
 @query(f", {_ASKED}, {_bm25(10)} SELECT query_id, id, score, rank::INT AS rank FROM kw")
@@ -82,7 +82,7 @@ def q_bm25(s, d):
 
 _RETENTION = f"exp(-greatest(0, ({NOW} - coalesce(last_accessed_at, created_at)) / 86400) / (CASE WHEN coalesce(strength, 1) > 0 THEN coalesce(strength, 1) ELSE 1 END))"
 _OWN_IMPORTANCE = "CASE WHEN coalesce(importance, 0) = 0 THEN 0.5 ELSE greatest(0, least(1, importance)) END"
-_HYBRID = f""", qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id < 5), {_ASKED}, {_bm25(40)},
+_HYBRID = f""", qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 20 = 0 AND vec_id IN (SELECT item_id FROM benchmark)), {_ASKED}, {_bm25(40)},
   sem AS ({_knn(40)}),
   hits AS (SELECT query_id, id, 0.5::DOUBLE / (60 + rank) AS s FROM sem UNION ALL SELECT query_id, id, 0.25::DOUBLE / (60 + rank) FROM kw),
   pool AS (SELECT DISTINCT query_id, id FROM hits),
@@ -95,6 +95,7 @@ _HYBRID = f""", qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embed
 
 
 def both_queries(s, d):
+    """Every 20th item of the benchmark with the vector of the same number."""
     return asked(s, d).join(vectors(s, d), "query_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,22 @@ def transcript_text(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.array_join(F.transform(parts, lambda x: x["l"]), "\n").alias("text"))
 
 
+def highlights(rows: DataFrame, entities: DataFrame, now: float, days: int = 90, least_importance: float = 0.6, least_strength: float = 0.5) -> DataFrame:
+    """Section, place, line: the best 200 memories of the days (at most 50 a category), then the 50 most mentioned entities. Halves round up."""
+    strength = F.coalesce("strength", F.lit(1.0))
+    top = rows.where(F.col("deleted_at").isNull() & (F.col("created_at") > now - days * 86400) & (F.col("importance") >= least_importance) & (strength >= least_strength))
+    top = top.orderBy(F.desc("importance"), F.desc("created_at"), "id").limit(200)
+    place = F.row_number().over(W.partitionBy("section").orderBy(F.desc("importance"), F.desc("created_at"), "id"))
+    flat = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
+    short = F.when(F.length(flat) > 300, F.concat(F.substring(flat, 1, 297), F.lit("..."))).otherwise(flat)
+    when = F.date_format(F.timestamp_seconds("created_at"), "MM/dd HH:mm")
+    line = F.format_string("- **[%s]** (imp:%.2f str:%.1f) %s", when, F.floor(F.col("importance") * 100 + 0.5) / 100, F.floor(strength * 10 + 0.5) / 10, short)
+    memories = top.withColumn("section", F.coalesce("category", F.lit("other"))).withColumn("place", place).where("place <= 50").select("section", "place", line.alias("line"))
+    best = entities.orderBy(F.desc("mentions"), "label", "key").limit(50).withColumn("place", F.row_number().over(W.orderBy(F.desc("mentions"), "label", "key")))
+    named = best.select(F.lit("Key Entities").alias("section"), "place", F.format_string("- **%s** [%s] — %d mentions", "key", "label", "mentions").alias("line"))
+    return memories.unionByName(named)
+
+
 def append_batches(path: str):
     """For foreachBatch: a batch is written once, to a folder of its own number."""
 
