@@ -146,21 +146,31 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def components(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `kept`, `fp` and `component_id`: the smallest doc_id reachable over links (equal fingerprints included)."""
+    return rooted(docs, kept).drop("_root")
+
+
+def rooted(docs: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """components() and `_root`, the component's own key: components may share their smallest doc_id if ids repeat."""
     own = written(fingerprints(docs, tuple(dict.fromkeys([*kept, "doc_id"]))), "fingerprints")
     folded = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(folded.select("fp")))
-    placed = folded.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(least, "root").select("fp", "component_id")
+    placed = folded.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_root", F.coalesce("root", "fp"))
+    least = placed.groupBy("_root").agg(F.min("least").alias("component_id"))
+    of = placed.join(least, "_root").select("fp", "component_id", "_root")
     return own.join(of, "fp")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component (the one of the smallest id; of rows that share it, one) and all without id."""
+    """The documents, one of each component (one of the smallest id, whatever other rows hold that id) and all without id.
+
+    Rows are told apart by id and digest of the text; null and empty texts have the same fingerprint and share one.
+    """
     names = docs.columns
-    leaders = components(docs, ("doc_id",)).where("doc_id = component_id").select("doc_id").distinct()
-    order = W.partitionBy("doc_id").orderBy(*(c for c in names if c != "doc_id"))
-    kept = docs.join(leaders, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    leaders = rooted(keyed.select("doc_id", "text", "_key"), ("doc_id", "_key")).where("doc_id = component_id")
+    leaders = leaders.groupBy("_root", "doc_id").agg(F.min("_key").alias("_key")).select("doc_id", "_key")
+    order = W.partitionBy("doc_id", "_key").orderBy(*(c for c in names if c != "doc_id"))
+    kept = keyed.join(leaders, ["doc_id", "_key"], "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return kept.select(*names).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -5,7 +5,7 @@ import xxhash
 
 from memloom.llm import simhash as op
 
-from .common import empty, frame, odd_texts, rows_of, words
+from .common import DOCS, empty, frame, odd_texts, rows_of, words
 
 
 def plain(text):
@@ -68,3 +68,11 @@ def test_near_dedup_keeps_one_of_each(spark):
 
 def test_empty(spark):
     assert op.components(empty(spark)).count() == 0 and op.near_dedup(empty(spark)).count() == 0
+
+
+def test_repeated_ids_keep_one_row_of_each_component(spark):
+    a, b, c = words(80, 1), words(80, 2), words(80, 3)
+    row = lambda i, t: (i, t, "en", "s", len(t or ""), 0.5, 7, "x", "y")
+    kept = lambda *rows: sorted((r.doc_id, r.text or "") for r in op.near_dedup(frame(spark, []).unionAll(spark.createDataFrame([row(*x) for x in rows], DOCS))).collect() if r.doc_id is not None)
+    assert kept((3, a), (5, a), (5, b)) == [(3, a), (5, b)]
+    assert kept((5, a), (5, b), (5, c), (5, a), (5, None), (5, "")) == sorted([(5, a), (5, b), (5, c), (5, "")])
