@@ -69,32 +69,36 @@ def _pairs(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.where("embedding IS NOT NULL").join(F.broadcast(queries) if few else queries, F.size("embedding") == F.size("vector"))
 
 
-def knn(memories: DataFrame, queries: DataFrame, k: int, metric: str = "l2", min_score: float = 0.0) -> DataFrame:
+def knn(memories: DataFrame, queries: DataFrame, k: int, metric: str = "l2", min_score: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """V1-V3: query_id, id, score, rank. queries: query_id, vector. Filters come before the top-k, so no widening is needed.
 
     A stated batch of queries meets all rows; the batch is broadcast only up to BROADCAST_QUERIES rows, else Spark deals it.
+    Columns `by` of the memories (the agent) are kept, and each of their values has its own top-k.
     """
-    pairs = _pairs(memories.select("id", "embedding"), queries.select("query_id", "vector"))
-    scored = pairs.select("query_id", "id", F.round(similarity(F.col("embedding"), F.col("vector"), metric), 4).alias("score")).where(F.col("score") >= min_score)
-    return top(scored, k, F.desc("score"), F.asc("id"))
+    pairs = _pairs(memories.select("id", "embedding", *by), queries.select("query_id", "vector"))
+    scored = pairs.select("query_id", *by, "id", F.round(similarity(F.col("embedding"), F.col("vector"), metric), 4).alias("score")).where(F.col("score") >= min_score)
+    return top(scored, k, F.desc("score"), F.asc("id"), by=("query_id", *by))
 
 
-def bm25(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(memories: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """K2, K3: query_id, id, score, rank. queries: query_id, q. Whole-word BM25; words under three characters match nothing.
 
     Words and documents meet by word; document frequency and length are sums combined before their shuffles.
+    Columns `by` of the memories (the agent) are kept; counts, lengths and the top-k are then those of each of their values.
     """
     tokens = queries.select("query_id", F.explode(T.query_tokens(F.col("q"))).alias("w")).where(F.length("w") >= 3)
-    words = memories.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+(?:[.-]\w+)*"), F.lit(0)).alias("ws"))
+    words = memories.select("id", *by, F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+(?:[.-]\w+)*"), F.lit(0)).alias("ws"))
     words = words.withColumn("dl", F.size("ws"))
-    totals = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    totals = words.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = tokens.select("w").distinct()
-    tf = words.select("id", "dl", F.explode("ws").alias("w")).join(wanted, "w").groupBy("w", "id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df"))
+    tf = words.select("id", *by, "dl", F.explode("ws").alias("w")).join(wanted, "w").groupBy("w", *by, "id", "dl").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("w", *by).agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "w").join(F.broadcast(totals)).join(tokens, "w").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k, F.desc("score"), F.asc("id"))
+    known = tf.join(df, ["w", *by])
+    known = known.join(totals, list(by)) if by else known.join(F.broadcast(totals))
+    scored = known.join(tokens, "w").groupBy("query_id", *by, "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return top(scored, k, F.desc("score"), F.asc("id"), by=("query_id", *by))
 
 
 def recency(created_at: Column, now: float) -> Column:
@@ -109,18 +113,18 @@ def retention(accessed: Column, created_at: Column, strength: Column, now: float
     return F.exp(-days / F.when(s > 0, s).otherwise(F.lit(1.0)))
 
 
-def pool_lanes(pool: DataFrame, now: float) -> DataFrame:
-    """The recency, strength and importance lanes over each query's pool (query_id and the memory's columns)."""
+def pool_lanes(pool: DataFrame, now: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """The recency, strength and importance lanes over each query's pool (query_id, `by` and the memory's columns)."""
     own = F.when(F.coalesce("importance", F.lit(0.0)) == 0, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance"))))
     lanes = {"recency": F.col("created_at"), "strength": retention(F.col("last_accessed_at"), F.col("created_at"), F.col("strength"), now), "importance": own}
-    ranked = pool.select("query_id", "id", *(F.row_number().over(W.partitionBy("query_id").orderBy(c.desc(), "id")).alias(n) for n, c in lanes.items()))
-    return ranked.select("query_id", "id", F.expr(f"stack({len(lanes)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in lanes)}) AS (lane, rank)"))
+    ranked = pool.select("query_id", *by, "id", *(F.row_number().over(W.partitionBy("query_id", *by).orderBy(c.desc(), "id")).alias(n) for n, c in lanes.items()))
+    return ranked.select("query_id", *by, "id", F.expr(f"stack({len(lanes)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in lanes)}) AS (lane, rank)"))
 
 
-def fuse(lanes: DataFrame, weights: dict[str, float] = WEIGHTS, k: int = RRF_K) -> DataFrame:
+def fuse(lanes: DataFrame, weights: dict[str, float] = WEIGHTS, k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
     """query_id, id, score: weighted reciprocal ranks. lanes: query_id, id, lane, rank."""
     weight = F.coalesce(*[F.when(F.col("lane") == n, F.lit(w)) for n, w in weights.items()], F.lit(0.0))
-    return lanes.groupBy("query_id", "id").agg(F.sum(weight / (k + F.col("rank"))).alias("score"))
+    return lanes.groupBy("query_id", *by, "id").agg(F.sum(weight / (k + F.col("rank"))).alias("score"))
 
 
 def type_bonus(kind: Column, intent: Column) -> Column:
@@ -133,17 +137,20 @@ def hybrid(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10,
     """H1 (without reranking): query_id, id, score, tier, rank. queries: query_id, q, vector.
 
     Both candidate lanes are cut to the pool size; the pool is their union (U2); all lanes rank the pool and fuse.
+    by_agent: one search an agent, as if it had its memories alone; the agent is a further column.
     """
+    by = ("agent",) if by_agent else ()
+    key = ["query_id", *by, "id"]
     own = searchable(memories)
-    semantic = knn(own, queries.select("query_id", "vector"), pool_size).select("query_id", "id", F.lit("semantic").alias("lane"), "rank")
-    keyword = bm25(own, queries.select("query_id", "q"), pool_size).select("query_id", "id", F.lit("keyword").alias("lane"), "rank")
+    semantic = knn(own, queries.select("query_id", "vector"), pool_size, by=by).select(*key, F.lit("semantic").alias("lane"), "rank")
+    keyword = bm25(own, queries.select("query_id", "q"), pool_size, by=by).select(*key, F.lit("keyword").alias("lane"), "rank")
     hits = semantic.unionByName(keyword)
-    pool = hits.select("query_id", "id").distinct().join(own.select("id", "memory_type", "created_at", "last_accessed_at", "strength", "importance"), "id")
-    scores = fuse(hits.unionByName(pool_lanes(pool, now)))
+    pool = hits.select(*key).distinct().join(own.select("id", *by, "memory_type", "created_at", "last_accessed_at", "strength", "importance"), [*by, "id"])
+    scores = fuse(hits.unionByName(pool_lanes(pool, now, by)), by=by)
     intents = queries.select("query_id", T.type_intent(F.col("q")).alias("intent"))
-    scored = scores.join(pool.select("query_id", "id", "memory_type"), ["query_id", "id"]).join(intents, "query_id")
+    scored = scores.join(pool.select(*key, "memory_type"), key).join(intents, "query_id")
     scored = scored.withColumn("score", F.round(F.col("score") + type_bonus(F.col("memory_type"), F.col("intent")), 6))
-    return top(scored, limit, F.desc("score"), F.asc("id")).select("query_id", "id", "score", T.confidence_tier(F.col("score") / 0.02).alias("tier"), "rank")
+    return top(scored, limit, F.desc("score"), F.asc("id"), by=("query_id", *by)).select(*key, "score", T.confidence_tier(F.col("score") / 0.02).alias("tier"), "rank")
 
 
 def rerank(results: DataFrame, weight: float = 0.22, top_k: int = 10, k: int = RRF_K, gate: float = 0.015) -> DataFrame:
@@ -198,8 +205,14 @@ def within_budget(results: DataFrame, budget: int, by: str = "query_id", order:
     return results.withColumn("used", used).where((F.col("used") <= budget) | (F.col(order) == 1))
 
 
+def cross_agent_hybrid(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10) -> DataFrame:
+    """H7 (without reranking): every agent's hybrid search, merged by score: query_id, agent, id, score, rank. queries: query_id, q, vector."""
+    found = hybrid(memories, queries, now, limit, by_agent=True).drop("rank")
+    return top(found, limit, F.desc("score"), F.asc("agent"), F.asc("id")).select("query_id", "agent", "id", "score", "rank")
+
+
 def cross_agent(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, each: int = 10) -> DataFrame:
-    """Each agent's hybrid ranks, merged by score. The agent is part of the ranks' keys, so all run in one plan."""
+    """Each agent's vector, recency and importance ranks, merged by score (cross_agent_hybrid: H7). The agent is part of the ranks' keys, so all run in one plan."""
     own = searchable(memories)
     pairs = _pairs(own.select("id", "agent", "embedding"), queries.select("query_id", "vector"))
     scored = pairs.select("query_id", "agent", "id", F.round(similarity(F.col("embedding"), F.col("vector")), 4).alias("s"))

@@ -110,10 +110,16 @@ def q_hybrid(s, d):
   a AS (SELECT *, row_number() OVER (PARTITION BY query_id, agent ORDER BY score DESC, id) AS place FROM (SELECT query_id, agent, id, round(0.5::DOUBLE / (60 + r1) + 0.1::DOUBLE / (60 + r2) + 0.08::DOUBLE / (60 + r3), 8) AS score FROM p))
   SELECT query_id, agent, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, agent, id) AS rank FROM a WHERE place <= 10) WHERE rank <= 10""")
 def q_cross_agent(s, d):
-    """H7, U1, J15, R17."""
+    """Vectors, recency and importance only."""
     return R.cross_agent(memories(s, d), vectors(s, d), NOW)
 
 
+@query()
+def q_cross_agent_hybrid(s, d):
+    """H7: the whole search of each agent (held by tests against one search an agent)."""
+    return R.cross_agent_hybrid(memories(s, d), both_queries(s, d), NOW)
+
+
 @query(f"SELECT kind AS memory_type, id, rank::INT AS rank FROM (SELECT memory_type AS kind, id, row_number() OVER (PARTITION BY memory_type ORDER BY importance DESC, created_at DESC, id) AS rank FROM memories WHERE {_SEARCHABLE}) WHERE rank <= 20")
 def q_by_type_candidates(s, d):
     """H3, R10."""
