@@ -10,18 +10,81 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-# Capture (T37), compaction.
-CAPTURE_CRON = [r"^\[cron:", r"steward-engage", r"steward-post", r"/steward-", r"HEARTBEAT_OK"]
-CAPTURE_DECISIONS = [r"\bkarar\b", r"yapalım", r"yapacağız", r"\btamam\b", r"anlaştık", r"\bdecided\b", r"\blet'?s do\b"]
-CAPTURE_FEEDBACK = [r"kaç\s*kere\s*(?:dedim|söyledim)", r"bir\s*daha\s*yapma", r"\bfabrication\b", r"never\s*again", r"wrong\s*(?:again|info)", r"how\s*many\s*times", r"that'?s\s*(?:wrong|incorrect|not\s*right)", r"check\s*(?:again|the\s*source|the\s*code)", r"don'?t\s*(?:repeat|do\s*that|make\s*that)"]
+# Capture (T37), compaction (T40); what names the system itself is left out.
+CAPTURE_CRON = [
+    r"^\[cron:",
+    r"steward-engage",
+    r"steward-post",
+    r"/steward-",
+    r"HEARTBEAT_OK",
+]
+CAPTURE_DECISIONS = [
+    r"\bkarar\b",
+    r"yapalım",
+    r"yapacağız",
+    r"\btamam\b",
+    r"anlaştık",
+    r"\bdecided\b",
+    r"\blet'?s do\b",
+]
+CAPTURE_LOW_SIGNAL = [
+    r"A new session was started via /new or /reset",
+    r"Conversation info \(untrusted metadata\)",
+    r"\[Subagent Context\]",
+    r"^User:\s*Conversation info",
+    r"\[System Message\]",
+    r"\[Queued announce messages while agent was busy\]",
+    r"\bA cron job\b",
+    r"\bA subagent task\b",
+    r"^System:\s*\[System Message\]",
+    r"^System:\s*\[(?:Queued|Internal|Subagent)\b",
+    r"(?:system\s+(?:health|watchdog)\s+alert|DOCKER\s+HEALTHY\s+COUNT)",
+]
+FEEDBACK = [
+    r"kaç\s*kere\s*(?:dedim|söyledim)",
+    r"neden\s*(?:doğrulamadın|kontrol\s*etmedin|bakmadın)",
+    r"bir\s*daha\s*yapma",
+    r"hata\s*(?:yaptın|yapıyorsun|tekrar)",
+    r"yanlış\s*(?:yaptın|bilgi|söyledin|anladın)",
+    r"\bfabrication\b",
+    r"güven(?:i|ini)?\s*(?:kaybett|sarsar|kırıl)",
+    r"sürekli\s*(?:aynı|böyle|yanlış)",
+    r"aa\s*(?:zaten\s*)?varmış",
+    r"don'?t\s*(?:repeat|do\s*that|make\s*that)",
+    r"never\s*again",
+    r"wrong\s*(?:again|info)",
+    r"how\s*many\s*times",
+    r"hayır\s*öyle\s*değil",
+    r"tekrar\s*oku",
+    r"bak\s*(?:kaynak|koda|dosyaya)",
+    r"(?:neden|niye)\s*kontrol\s*etmedin",
+    r"that'?s\s*(?:wrong|incorrect|not\s*right)",
+    r"check\s*(?:again|the\s*source|the\s*code)",
+    r"no\s*that'?s\s*not",
+    r"look\s*at\s*the\s*(?:source|code|file)",
+]
 CONFIRMATIONS = [r"\b(evet|hayır|tamam|onaylıyorum|hayır yapma|yes|no|confirmed|approved)\b"]
 TROUBLE = [r"\b(hata|bug|fix|düzelt|sorun|problem|error)\b"]
+COMPACTION_LOW_SIGNAL = [
+    r"A new session was started via /new or /reset",
+    r"Conversation info \(untrusted metadata\)",
+    r"\[Subagent Context\]",
+    r"\[System Message\]",
+    r"\[Queued announce messages while agent was busy\]",
+    r"^\[cron:",
+    r"steward-engage",
+    r"HEARTBEAT_OK",
+    r"^System:\s*\[(?:Queued|Internal|Subagent)\b",
+    r"A cron job",
+    r"A subagent task",
+]
 COMPACTION_DECISIONS = [r"\bkarar\b", r"yapalım", r"yapacağız", r"anlaştık", r"\bdecided\b", r"\blet'?s do\b", r"\bagree\b", r"onaylıyorum", r"\bapproved?\b"]
 COMPACTION_ERRORS = [r"\bhata\b", r"\bbug\b", r"\bfix\b", r"\bsorun\b", r"\berror\b", r"\bfailed?\b", r"\bcrash\b"]
 COMPACTION_PREFERENCES = [r"\bterci[hk]\b", r"\bprefer\b", r"\bher zaman\b", r"\basla\b", r"\balways\b", r"\bnever\b"]
 # Claims (T43) as (type, direction, expression).
 CLAIMS = [
     ("feature_claim", "negative", r"(?:destekle(?:miyor|nmez|nmedi)|mevcut\s+değil|bulunmuyor)"),
+    ("feature_claim", "negative", r"(?:özellik|feature|endpoint|config|service|hook|plugin|api|port|komut)\s+(?:\w+\s+)?yok\b"),
     ("feature_claim", "negative", r"(?:aktif\s+değil|devre\s+dışı|kullanılamaz)\b"),
     ("feature_claim", "negative", r"(?:not\s+support(?:ed)?|doesn'?t\s+(?:have|support|exist|include))"),
     ("feature_claim", "negative", r"(?:not\s+available|not\s+(?:possible|implemented|enabled))"),
@@ -36,19 +99,40 @@ CLAIMS = [
     ("credential_claim", "config", r"(?:password|şifre|parola)\s*(?:is|=|:)\s*\S+"),
     ("credential_claim", "config", r"(?:token|api[_-]?key|secret)\s*(?:is|=|:)\s*\S+"),
 ]
+COMMIT_NEARBY = r"(?:commit|sha|hash|ref|merge|cherry)"
+SHORT_REPLIES = [
+    (r"^(?:evet|hayır|tamam|ok|yes|no|done|✅|👍)\s*$", "(?iu)"),
+    (r"^HEARTBEAT", "(?iu)"),
+    (r"^NO_REPLY$", ""),
+]
 # Questions.
-QUESTIONS = [
+TURKISH_QUESTIONS = [
     r"(?:var\s+mı|mevcut\s+mu|destekl(?:iyor|eniyor)\s+mu|çalışıyor\s+mu|aktif\s+mi|açık\s+mı)",
     r"(?:yapabiliyor\s+mu|kullanıyor\s+mu|kullanılabili(?:r|yor)\s+mu)",
     r"(?:nerede|nedir|nasıl|ne\s+zaman|hangi)",
     r"(?:biliyor\s+mu|hatırlıyor\s+mu)",
+    r"(?:ne\s+(?:durumda|halde)|durumu\s+ne)",
+]
+ENGLISH_QUESTIONS = [
     r"(?:does\s+\w+\s+(?:support|have|include|provide|offer))",
     r"(?:is\s+\w+\s+(?:running|active|enabled|supported|available|working))",
     r"(?:can\s+\w+\s+(?:do|handle|process|run|use))",
     r"(?:where\s+is|what\s+is|how\s+(?:does|do|to|is))",
     r"(?:do\s+we\s+have|are\s+there\s+any)",
 ]
-SPECIFIC = [r"(?:MCP|hook|plugin|endpoint|API|config|service|cron|database|port)", r"(?:Slack|Telegram|Signal|Docker|systemd|nginx)", r"(?:feature|özellik|capability|destekle|support)", r"(?:password|şifre|credential|secret|key|token)"]
+SPECIFIC = [
+    r"(?:MCP|hook|plugin|endpoint|API|config|service|cron|database|port)",
+    r"(?:Slack|Telegram|Signal|Docker|systemd|nginx)",
+    r"(?:feature|özellik|capability|destekle|support)",
+    r"(?:password|şifre|credential|secret|key|token)",
+    r"(?:fleet|steward|dashboard|monitor)",
+]
+NOT_ASKED = [
+    r"^(?:evet|hayır|tamam|ok|yes|no)\s*$",
+    r"^\s*$",
+    r"^HEARTBEAT",
+    r"^\[cron:",
+]
 STOP_WORDS = ["bir", "bu", "şu", "o", "ve", "ile", "için", "mi", "mu", "mı", "mü", "var", "yok", "ne", "nasıl", "nerede", "neden", "hangi", "kaç", "the", "a", "an", "is", "are", "does", "do", "have", "has", "can", "what", "where", "how", "when", "which", "who", "in", "on", "at", "to", "for", "with", "from", "by", "of", "it", "this", "that", "we", "you", "they", "our", "your", "my", "its", "mevcut", "destekliyor", "çalışıyor", "kullanıyor", "aktif", "running", "working", "supported", "enabled", "available"]
 # Mood and unfinished work.
 FRUSTRATED = [r"sinirlendim|kızdığım|aptal|neden yapmadın|neden yapmıyorsun|tekrar mı|yine mi|frustrated|annoyed|useless"]
@@ -60,39 +144,61 @@ FILES = r"/(?:opt|root|home|etc|var|tmp)/[^\s\])\x22',]{5,80}"
 def capture_score(text: Column) -> Column:
     """T37."""
     add = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
-    base = F.when(T.any_match(text, CAPTURE_DECISIONS), F.lit(0.9)).when(T.any_match(text, CAPTURE_FEEDBACK), F.lit(0.85)).otherwise(F.lit(0.45))
+    base = F.when(T.any_match(text, CAPTURE_DECISIONS), F.lit(0.9)).when(T.any_match(text, FEEDBACK), F.lit(0.85)).otherwise(F.lit(0.45))
     n = F.length(text)
     score = base + add(n > 80, 0.05) + add(n > 200, 0.05) + add((n > 30) & T.any_match(text, CONFIRMATIONS), 0.10) + add(T.any_match(text, TROUBLE), 0.10)
-    return F.when((n < 10) | T.any_match(text, CAPTURE_CRON, "(?i)") | T.is_low_signal(text), F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
+    dropped = (n < 10) | T.any_match(text, CAPTURE_CRON, "(?i)") | T.any_match(text, CAPTURE_LOW_SIGNAL, "(?i)")
+    return F.when(dropped, F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
 
-def compaction_score(text: Column, least_chars: int = 20) -> Column:
+def compaction_score(text: Column, least_chars: int = 15) -> Column:
     """T40."""
     add = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
     score = F.when(T.any_match(text, COMPACTION_DECISIONS), F.lit(0.9)).otherwise(F.lit(0.4)) + add(T.any_match(text, COMPACTION_ERRORS), 0.15)
     score = score + add(T.any_match(text, COMPACTION_PREFERENCES), 0.2) + add(F.length(text) > 100, 0.05) + add(F.length(text) > 300, 0.05)
-    return F.when((F.length(text) < least_chars) | T.is_low_signal(text), F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
+    return F.when((F.length(text) < least_chars) | T.any_match(text, COMPACTION_LOW_SIGNAL, "(?i)"), F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
+
+
+def _around(text: Column, at: Column, match: Column, chars: int) -> Column:
+    """The match with some characters to each side."""
+    start = F.greatest(F.lit(1), at - chars)
+    return F.substr(text, start, at + F.length(match) + chars - start)
+
+
+def _claim_of(claim, kind: str, direction: str):
+    return lambda hit: claim(hit, kind, direction)
 
 
 def claims(text: Column) -> Column:
-    """Array of (type, direction, match, context of 50 characters to each side), code left out."""
-    clean = F.regexp_replace(F.regexp_replace(text, r"```[\s\S]*?```", " "), r"`[^`]+`", " ")
-    each = []
-    for kind, direction, e in CLAIMS:
-        hit = F.regexp_extract(clean, "(?iU)(" + e + ")", 1)
-        at = F.instr(clean, hit)
-        start = F.greatest(F.lit(1), at - 50)
-        context = T.trimmed(F.substr(clean, start, at + F.length(hit) + 50 - start))
-        each.append(F.when(hit != "", F.struct(F.lit(kind).alias("type"), F.lit(direction).alias("direction"), hit.alias("match"), context.alias("context"))))
-    found = F.filter(F.array(*each), lambda x: x.isNotNull())
-    return F.when(F.length(text) >= 20, found).otherwise(F.slice(found, 1, 0))
+    """Array of (type, direction, match, context), code left out. Short replies claim nothing, nor do hex digits near a word for commits.
+
+    The context is the match with 50 characters to each side; a configuration claim's match and context are its first 40 and 80.
+    """
+    without_code = F.regexp_replace(F.regexp_replace(text, r"```[\s\S]*?```", " "), r"`[^`]+`", " ")
+
+    def told(clean: Column) -> Column:
+        def claim(hit: Column, kind: str, direction: str) -> Column:
+            at = F.instr(clean, hit)
+            match, context = hit, T.trimmed(_around(clean, at, hit, 50))
+            fits = hit != ""
+            if direction == "config":
+                match, context = F.substring(hit, 1, 40), F.substring(hit, 1, 80)
+            if kind == "config_claim":
+                fits = fits & ~_around(clean, at, hit, 30).rlike("(?i)" + COMMIT_NEARBY)
+            return F.when(fits, F.struct(F.lit(kind).alias("type"), F.lit(direction).alias("direction"), match.alias("match"), context.alias("context")))
+
+        each = [T.bound(F.regexp_extract(clean, "(?iU)(" + e + ")", 1), _claim_of(claim, kind, direction)) for kind, direction, e in CLAIMS]
+        return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+    short = F.coalesce(*(F.when(T.trimmed(text).rlike(flags + e), F.lit(True)) for e, flags in SHORT_REPLIES), F.lit(False))
+    found = T.bound(without_code, told)
+    return F.when((F.length(text) >= 20) & ~short, found).otherwise(F.slice(found, 1, 0))
 
 
 def is_question(text: Column) -> Column:
     """T45."""
-    skip = T.any_match(text, [r"^(?:evet|hayır|tamam|ok|yes|no)\s*$", r"^HEARTBEAT", r"^\[cron:"])
-    asks = T.any_match(text, QUESTIONS) | (F.contains(text, F.lit("?")) & T.any_match(text, SPECIFIC))
-    return (F.length(text) >= 8) & ~skip & asks
+    asks = T.any_match(text, TURKISH_QUESTIONS) | T.any_match(text, ENGLISH_QUESTIONS) | (F.contains(text, F.lit("?")) & T.any_match(text, SPECIFIC))
+    return (F.length(text) >= 8) & ~T.any_match(text, NOT_ASKED) & asks
 
 
 def keywords(text: Column, most: int = 5) -> Column:

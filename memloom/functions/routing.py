@@ -16,20 +16,10 @@ FEEDBACK_TAGS = {
     "did_not_read_code": [r"kodu\s*(?:okumadın|incelemedin)", r"did\s*not\s*read\s*code", r"read\s*the\s*code\s*first"],
     "context_loss": [r"ne\s*yapmaya\s*çalış(?:ıyordun|tın)", r"context\s*(?:loss|kaybı)", r"az\s*önce\s*(?:söyledim|anlattım|konuştuk)", r"daha\s*(?:yeni|demin)\s*(?:söyledim|konuştuk)", r"we\s*just\s*(?:talked|discussed)"],
 }
-FEEDBACK = [
-    r"kaç\s*kere\s*(?:dedim|söyledim)", r"neden\s*(?:doğrulamadın|kontrol\s*etmedin|bakmadın)", r"bir\s*daha\s*yapma", r"hata\s*(?:yaptın|yapıyorsun|tekrar)",
-    r"yanlış\s*(?:yaptın|bilgi|söyledin|anladın)", r"\bfabrication\b", r"güven(?:i|ini)?\s*(?:kaybett|sarsar|kırıl)", r"sürekli\s*(?:aynı|böyle|yanlış)",
-    r"aa\s*(?:zaten\s*)?varmış", r"don'?t\s*(?:repeat|do\s*that|make\s*that)", r"never\s*again", r"wrong\s*(?:again|info)", r"how\s*many\s*times",
-    r"hayır\s*öyle\s*değil", r"tekrar\s*oku", r"bak\s*(?:kaynak|koda|dosyaya)", r"(?:neden|niye)\s*kontrol\s*etmedin", r"that'?s\s*(?:wrong|incorrect|not\s*right)",
-    r"check\s*(?:again|the\s*source|the\s*code)", r"no\s*that'?s\s*not", r"look\s*at\s*the\s*(?:source|code|file)",
-]
+FEEDBACK = H.FEEDBACK
 SELF_CORRECTIONS = [r"yanılmışım", r"pardon,?\s*(?:yanlış|hata)", r"düzeltiyorum", r"hatalıydım", r"yanlış\s*söyledim", r"I\s*was\s*wrong", r"my\s*mistake", r"I\s*(?:was\s*)?incorrect", r"let\s*me\s*correct", r"I\s*(?:should\s*have|need\s*to)\s*(?:check|verify|look)"]
 RESULTS = [r"\b(?:plan|next steps?|todo|aksiyon|yapılacak|fix|result|sonuç|tamamlandı|done|verified)\b"]
-LOW_SIGNAL_CAPTURE = [
-    r"A new session was started via /new or /reset", r"Conversation info \(untrusted metadata\)", r"\[Subagent Context\]", r"^User:\s*Conversation info",
-    r"\[System Message\]", r"\[Queued announce messages while agent was busy\]", r"\bA cron job\b", r"\bA subagent task\b",
-    r"^System:\s*\[System Message\]", r"^System:\s*\[(?:Queued|Internal|Subagent)\b", r"(?:system\s+(?:health|watchdog)\s+alert|DOCKER\s+HEALTHY\s+COUNT)",
-]
+LOW_SIGNAL_CAPTURE = H.CAPTURE_LOW_SIGNAL
 # Claimed counts and file names.
 CLAIMED_FILES = [
     r"(\d+)\s*(?:dosya|file|location|yer)\s*(?:güncellen|update|değiştir|changed|modified)",

@@ -2,18 +2,107 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def folded(text: Column) -> Column:
+    """The text as case-insensitive matching sees it: lower case, dotless i as i, long s as s, without the dot that lower-casing leaves behind."""
+    low = F.lower(text)
+    for old, new in (("ı", "i"), ("ſ", "s"), ("\u0307", "")):
+        low = F.replace(low, F.lit(old), F.lit(new))
+    return low
+
+
+def fold_expression(e: str) -> str:
+    """An expression that matches folded texts where the given one matches whatever the case."""
+    return re.sub(r"\\.|[^\\]+", lambda m: m[0] if m[0][0] == "\\" else m[0].lower().replace("ı", "i").replace("\u0307", ""), e, flags=re.S)
+
+
+def _literal(e: str) -> str | None:
+    """The text that an expression stands for, if it is a plain one."""
+    plain = re.sub(r"\\([^A-Za-z0-9])", r"\1", e)
+    return plain if re.fullmatch(r"(?:[^\\.^$*+?{}\[\]|()]|\\[^A-Za-z0-9])+", e) else None
+
+
+def closing(e: str, start: int = 0) -> int:
+    """Place of the bracket that closes the one at `start`."""
+    depth, i, inside = 0, start, False
+    while i < len(e):
+        if e[i] == "\\":
+            i += 1
+        elif inside:
+            inside = e[i] != "]"
+        elif e[i] == "[":
+            inside = True
+        elif e[i] == "(":
+            depth += 1
+        elif e[i] == ")":
+            depth -= 1
+            if not depth:
+                return i
+        i += 1
+    raise ValueError(e)
+
+
+def _spread(e: str) -> list[str]:
+    """(?:a|b)c as ac and bc, so that alternatives can be told by how they begin."""
+    if not e.startswith("(?:"):
+        return [e]
+    end = closing(e)
+    body, rest = e[3:end], e[end + 1 :]
+    if re.search(r"[(\[\\]", body) or rest[:1] in ("?", "*", "+", "{"):
+        return [e]
+    return [alternative + rest for alternative in body.split("|")]
+
+
+def _joined(expressions: list[str]) -> str:
+    """One alternation for a test of existence: alternatives behind a word boundary or a word share that, others their first letter."""
+    groups: dict[str, list[str]] = defaultdict(list)
+    for e in (x for e in expressions for x in _spread(e)):
+        if e.startswith(r"\b"):
+            groups[r"\b"].append(e[2:])
+        elif e.startswith(r"\w+\s+"):
+            groups[r"\w\s+"].append(e[6:])
+        elif len(e) > 1 and e[0].isalpha() and e[1] not in "?*+{|":
+            groups[e[0]].append(e[1:])
+        else:
+            groups[""].append(e)
+    return "|".join(f"{head}(?:{'|'.join(tails)})" if head else "|".join(tails) for head, tails in groups.items())
+
+
+def matches(low: Column, expressions: list[str], whole_words: bool = False) -> Column:
+    """Whether one of the case-insensitive expressions matches the folded text: plain ones are substrings, the rest is one alternation.
+
+    A trailing run of word characters changes nothing for a test, so it is left out.
+    """
+    each = [re.sub(r"\\w\*$", "", fold_expression(e)) for e in expressions]
+    if whole_words:
+        return F.coalesce(low.rlike(rf"(?dU)\b(?:{'|'.join(each)})\b"), F.lit(False))
+    words = [w for e in each if (w := _literal(e)) is not None]
+    rest = [e for e in each if _literal(e) is None]
+    test = F.coalesce(low.rlike("(?dU)" + _joined(rest)), F.lit(False)) if rest else F.lit(False)
+    return any_of(low, words) | test if words else test
+
+
 def any_match(text: Column, expressions: list[str], flags: str = "(?iU)") -> Column:
-    return F.coalesce(*[F.when(text.rlike(flags + e), F.lit(True)) for e in expressions], F.lit(False))
+    return F.coalesce(text.rlike(flags + "|".join(f"(?:{e})" for e in expressions)), F.lit(False))
 
 
 def any_of(text: Column, words: list[str]) -> Column:
-    """True if one of the words is a substring."""
+    """True if one of the words is a substring; words that hold another one say nothing more."""
+    words = [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)]
     return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(True)) for w in words], F.lit(False))
 
 
@@ -70,33 +159,49 @@ def should_skip(text: Column, role: Column) -> Column:
 
 def is_config_change(text: Column) -> Column:
     """T7."""
-    return any_match(text, P.CONFIG_VERBS) & any_match(text, P.CONFIG_NOUNS)
+    return bound(folded(text), _config_change)
 
 
 def is_observation(text: Column) -> Column:
-    clean = F.regexp_replace(text, r"\s+$", "")
-    particle = text.rlike(P.QUESTION_PARTICLE) & ~F.contains(text, F.lit("?"))
-    return any_match(text, P.OBSERVATION) | particle | clean.endswith("?")
+    return bound(folded(text), lambda low: _observation(low, text))
 
 
 def is_operation(text: Column) -> Column:
     """T8."""
-    return any_match(text, P.OPS_VERBS) & any_match(text, P.OPS_NOUNS) & ~is_observation(text)
+    return bound(folded(text), lambda low: _operation(low, text))
 
 
 def is_incident(text: Column) -> Column:
     """T9."""
-    return any_match(text, P.INCIDENT_VERBS) & any_match(text, P.INCIDENT_NOUNS)
+    return bound(folded(text), _incident)
 
 
 def is_deployment(text: Column) -> Column:
     """T10."""
-    return any_match(text, P.DEPLOYMENT)
+    return bound(folded(text), lambda low: matches(low, P.DEPLOYMENT))
 
 
 def is_verification(text: Column) -> Column:
     """T11."""
-    return any_match(text, P.VERIFICATION)
+    return bound(folded(text), lambda low: matches(low, P.VERIFICATION))
+
+
+def _config_change(low: Column) -> Column:
+    return matches(low, P.CONFIG_VERBS) & matches(low, P.CONFIG_NOUNS)
+
+
+def _observation(low: Column, text: Column) -> Column:
+    clean = F.regexp_replace(text, r"\s+$", "")
+    particle = text.rlike(P.QUESTION_PARTICLE) & ~F.contains(text, F.lit("?"))
+    return matches(low, P.OBSERVATION) | particle | clean.endswith("?")
+
+
+def _operation(low: Column, text: Column) -> Column:
+    return matches(low, P.OPS_VERBS) & matches(low, P.OPS_NOUNS) & ~_observation(low, text)
+
+
+def _incident(low: Column) -> Column:
+    return matches(low, P.INCIDENT_VERBS) & matches(low, P.INCIDENT_NOUNS)
 
 
 def has_safeword(text: Column) -> Column:
@@ -105,25 +210,32 @@ def has_safeword(text: Column) -> Column:
 
 def rule_confidence(text: Column) -> Column:
     """Confidence that a text is a directive; null if it is none."""
-    clean = trimmed(text)
-    words = F.regexp_count(clean, F.lit(r"\S+"))
-    found = F.when(any_match(clean, P.TURKISH_RULES), F.lit(0.92)).when(any_match(clean, P.ENGLISH_RULES), F.lit(0.90))
-    return F.when((words <= 50) & ~any_match(clean, P.NOT_RULES), found)
+    return bound(trimmed(text), lambda clean: bound(folded(clean), lambda low: _rule(low, clean)))
+
+
+def _rule(low: Column, clean: Column) -> Column:
+    """Long texts are told by their size first: 50 words and what lies between them."""
+    few = F.regexp_count(clean, F.lit(r"(?U)\S+")) <= 50
+    found = F.when(matches(low, P.TURKISH_RULES), F.lit(0.92)).when(matches(low, P.ENGLISH_RULES), F.lit(0.90))
+    return F.when(few & ~matches(low, P.NOT_RULES), found)
 
 
 def memory_type(text: Column) -> Column:
     """Lesson, then operational (other), rule, fact, preference, conversation."""
-    c = trimmed(text)
-    operational = any_match(c, P.DECISION) | is_incident(c) | is_config_change(c) | is_operation(c) | is_deployment(c) | is_verification(c)
-    return (
-        F.when(c == "", F.lit("conversation"))
-        .when(any_match(c, P.LESSON), F.lit("lesson"))
-        .when(operational, F.lit("other"))
-        .when(rule_confidence(c).isNotNull() | has_safeword(c), F.lit("rule"))
-        .when(c.rlike(P.NAME) | any_match(c, P.FACTUAL), F.lit("fact"))
-        .when(any_match(c, P.PREFERENCE), F.lit("preference"))
-        .otherwise(F.lit("conversation"))
-    )
+
+    def told(c: Column, low: Column) -> Column:
+        operational = matches(low, P.DECISION) | _incident(low) | _config_change(low) | _operation(low, c) | matches(low, P.DEPLOYMENT) | matches(low, P.VERIFICATION)
+        return (
+            F.when(c == "", F.lit("conversation"))
+            .when(matches(low, P.LESSON, whole_words=True), F.lit("lesson"))
+            .when(operational, F.lit("other"))
+            .when(_rule(low, c).isNotNull() | matches(low, P.SAFEWORDS), F.lit("rule"))
+            .when(c.rlike(P.NAME) | matches(low, P.FACTUAL, whole_words=True), F.lit("fact"))
+            .when(matches(low, P.PREFERENCE, whole_words=True), F.lit("preference"))
+            .otherwise(F.lit("conversation"))
+        )
+
+    return bound(trimmed(text), lambda c: bound(folded(c), lambda low: told(c, low)))
 
 
 def normalize_type(kind: Column) -> Column:
@@ -133,7 +245,7 @@ def normalize_type(kind: Column) -> Column:
 
 
 def is_cron(text: Column) -> Column:
-    return any_match(text, P.CRON, "(?i)")
+    return matches(folded(text), P.CRON)
 
 
 def importance(text: Column, role: Column | None = None, source: Column | None = None) -> Column:
@@ -141,30 +253,37 @@ def importance(text: Column, role: Column | None = None, source: Column | None =
     role = F.lit("") if role is None else F.coalesce(role, F.lit(""))
     source = F.lit("") if source is None else F.coalesce(source, F.lit(""))
     low = F.lower(trimmed(text))
+    agreed = lambda low: low.rlike("(?dU)" + _joined(P.TURKISH_DECISIONS))
+    marked = lambda low: F.struct(any_of(low, P.DECISION_MARKERS).alias("decided"), agreed(low).alias("agreed"), folded(text).alias("fold"))
+    return bound(low, lambda low: bound(marked(low), lambda m: _points(text, low, m["fold"], m["decided"], m["agreed"], role, source)))
+
+
+def _points(text: Column, low: Column, fold: Column, decided: Column, agreed: Column, role: Column, source: Column) -> Column:
     add = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
-    cron = is_cron(text) | (source == "cron")
-    talk = any_match(text, P.CONVERSATION_SOURCES, "(?i)") | source.isin("slack-dm", "whatsapp")
-    decided = any_of(low, P.DECISION_MARKERS)
-    agreed = any_match(low, P.TURKISH_DECISIONS, "(?U)")
+    cron = matches(fold, P.CRON) | (source == "cron")
+    label = F.contains(fold, F.lit("conversation info")) & any_match(text, P.CONVERSATION_SOURCES[1:], "(?i)")
+    talk = matches(fold, P.CONVERSATION_SOURCES[:1]) | label | source.isin("slack-dm", "whatsapp")
     caps = F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-ZÇĞİÖŞÜ][a-zçğıöşü]{2,}"), F.lit(0))), F.array(*map(F.lit, P.NOT_ENTITIES)))
-    words = F.regexp_count(text, F.lit(r"\S+"))
     score = F.lit(0.35) + add(talk, 0.15) + add(F.contains(text, F.lit("?")) & (F.length(text) > 10), 0.05)
     score = score + add(any_of(low, P.IMPORTANCE_MARKERS), 0.25) + add(decided, 0.20) + add(agreed, 0.20)
     score = score + add(any_of(low, P.TASK_MARKERS), 0.15) + add(any_of(low, P.OPS_MARKERS), 0.20) + F.least(F.lit(0.10), F.size(caps) * 0.02)
-    score = score + F.when(words > 150, F.lit(0.08)).when(words > 80, F.lit(0.04)).when(words < 8, F.lit(-0.05)).otherwise(F.lit(0.0))
+    size = lambda words: F.when(words > 150, F.lit(0.08)).when(words > 80, F.lit(0.04)).when(words < 8, F.lit(-0.05)).otherwise(F.lit(0.0))
+    score = score + bound(F.regexp_count(text, F.lit(r"\S+")), size)
     score = score + add(role == "user", 0.05) + add(role == "qa_pair", 0.08)
-    score = F.when(cron, F.least(score, F.lit(0.30))).when(decided | agreed, F.greatest(score, F.lit(0.70))).otherwise(score)
-    noise = F.when(any_match(low, P.TRIVIAL, "(?U)"), F.lit(0.05)).when(any_match(low, P.SYSTEM_NOISE, "(?i)"), F.lit(0.10))
-    return F.coalesce(noise, F.greatest(F.lit(0.05), F.least(F.lit(1.0), score)))
+    capped = bound(score, lambda x: F.when(cron, F.least(x, F.lit(0.30))).when(decided | agreed, F.greatest(x, F.lit(0.70))).otherwise(x))
+    noise = F.when(any_match(low, P.TRIVIAL, "(?U)"), F.lit(0.05)).when(matches(low, P.SYSTEM_NOISE), F.lit(0.10))
+    return F.coalesce(noise, F.greatest(F.lit(0.05), F.least(F.lit(1.0), capped)))
 
 
 def should_recall(text: Column) -> Column:
     """Whether a message asks for a look into memory."""
-    clean = trimmed(text)
-    low = F.lower(clean)
+    return bound(trimmed(text), lambda clean: bound(folded(clean), lambda low: _asks(text, clean, low)))
+
+
+def _asks(text: Column, clean: Column, low: Column) -> Column:
     symbols = (F.length(clean) <= 4) & ~clean.rlike(r"\p{L}")
-    never = any_match(clean, P.NOT_TRIGGERS) | (F.length(clean) < 3) | low.isin(P.GENERIC) | symbols
-    asks = any_match(low, P.TRIGGERS) | (F.contains(text, F.lit("?")) & (F.length(text) > 10)) | any_match(low, P.PAST_TENSE)
+    never = any_match(clean, P.NOT_TRIGGERS) | (F.length(clean) < 3) | F.lower(clean).isin(P.GENERIC) | symbols
+    asks = matches(low, P.TURKISH_TRIGGERS) | matches(low, P.ENGLISH_TRIGGERS) | (F.contains(text, F.lit("?")) & (F.length(text) > 10)) | matches(low, P.PAST_TENSE)
     return ~never & asks
 
 
@@ -242,6 +361,12 @@ def summary(text: Column, limit: int = 300) -> Column:
 
 
 def resolve_alias(name: Column) -> Column:
-    """Canonical form of an informal name, else the name."""
+    """Canonical form of an informal name, else the name.
+
+    Names of three characters and more also count if a ratio of 80 ties them to an informal one. With keys of two or three
+    characters that is a name with one character more.
+    """
+    low = F.lower(F.trim(name))
     pairs = F.create_map(*(F.lit(x) for pair in P.ALIASES.items() for x in pair))
-    return F.coalesce(F.try_element_at(pairs, F.lower(F.trim(name))), name)
+    near = [F.when(low.rlike("^(?s)(?:" + "|".join(f"{re.escape(k[:i])}.{re.escape(k[i:])}" for i in range(len(k) + 1)) + ")$"), F.lit(full)) for k, full in P.ALIASES.items()]
+    return F.coalesce(F.try_element_at(pairs, low), *near, name)

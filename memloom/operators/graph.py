@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,31 +13,75 @@ from ..functions import patterns as P
 from ..functions import text as T
 
 
-def _all(text: Column, expression: str, label: str, confidence: float, group: int = 0) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(expression), F.lit(group)))
-    return F.transform(found, lambda x: F.struct(x.alias("name"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence")))
+def _named(names: Column, label: str, confidence: float) -> Column:
+    return F.transform(names, lambda x: F.struct(x.alias("name"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), F.lower(x).alias("key")))
+
+
+def _found(text: Column, expression: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(expression), F.lit(group))
+
+
+def _substrings(low: Column, words: list[str]) -> Column:
+    """The words that the text holds anywhere."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w.title())) for w in words]))
+
+
+def _whole_words(low: Column, words: list[str]) -> Column:
+    """The words between boundaries, by one pass; a longer word that holds a shorter one brings it along."""
+    by_letter = [[re.escape(w) for w in sorted(words, key=len, reverse=True) if w[0] == c] for c in sorted({w[0] for w in words})]
+    every = "|".join(ws[0][0] + "(?:" + "|".join(w[1:] for w in ws) + ")" for ws in by_letter)
+    found = F.array_distinct(_found(low, rf"(?U)\b(?=({every})\b)", 1))
+    inside = {w: [v for v in words if v != w and re.search(rf"\b{re.escape(v)}\b", w)] for w in words}
+    inside = {w: v for w, v in inside.items() if v}
+    if not inside:
+        return found
+    more = F.create_map(*(x for w, v in inside.items() for x in (F.lit(w), F.array(*map(F.lit, v)))))
+    return F.array_union(found, F.flatten(F.transform(found, lambda w: F.coalesce(F.try_element_at(more, w), F.array().cast("array<string>")))))
+
+
+def _in_context(text: Column, low: Column, expression: str) -> Column:
+    """Capitalised names of more than two characters that a phrase follows; whether there is such a phrase is tested on the folded text first."""
+    phrase = T.fold_expression(expression[expression.index(")", 6) + 1 :])
+    hits = F.filter(_found(text, expression, 1), lambda x: (F.length(x) > 2) & x.rlike(r"^\p{Lu}"))
+    return F.when(low.rlike(r"(?U)\w" + phrase), hits).otherwise(F.array().cast("array<string>"))
+
+
+def _found_if(text: Column, low: Column, expression: str) -> Column:
+    """All matches of a case-insensitive expression; the folded text, which is faster to test, says whether there is one."""
+    plain = re.sub(r"^\(\?i?u?\)", "", expression)
+    return F.when(low.rlike(T.fold_expression(plain)), _found(text, expression)).otherwise(F.array().cast("array<string>"))
+
+
+def _first_of_each(found: Column) -> Column:
+    """V9: of equal names (whatever their case) the first."""
+    keys = F.transform(found, lambda x: x["key"])
+    return T.bound(keys, lambda k: F.filter(found, lambda x, i: F.array_position(k, x["key"]) == i + 1))
+
+
+def text_entities(text: Column) -> Column:
+    """Array of (name, label, confidence, key) in the order persons, places, organisations, tech, products, dates, contacts."""
+    text = F.coalesce(text, F.lit(""))
+    return T.bound(F.lower(text), lambda low: T.bound(T.folded(text), lambda fold: _text_entities(text, low, fold)))
 
 
-def _known(low: Column, words: list[str], label: str, confidence: float, whole: bool) -> Column:
-    test = (lambda w: low.rlike(r"(?U)\b" + w.replace(".", r"\.") + r"\b")) if whole else (lambda w: F.contains(low, F.lit(w)))
-    each = [F.when(test(w), F.struct(F.lit(w if whole else w.title()).alias("name"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence"))) for w in words]
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
+def _text_entities(text: Column, low: Column, fold: Column) -> Column:
+    persons = F.concat(_named(_found(text, P.PERSON, 1), "person", 0.7), _named(_in_context(text, fold, P.PERSON_CONTEXT), "person", 0.6))
+    places = F.concat(_named(_substrings(low, P.PLACES), "place", 1.0), _named(_in_context(text, fold, P.PLACE_CONTEXT), "place", 0.6))
+    return F.concat(
+        _first_of_each(persons),
+        _first_of_each(places),
+        _named(_substrings(low, P.ORGANISATIONS), "org", 1.0),
+        _named(_whole_words(low, P.TECH), "tech", 0.9),
+        _first_of_each(F.concat(*(_named(_found_if(text, fold, e), "product", 0.9) for e in P.PRODUCTS))),
+        _first_of_each(F.concat(*(_named(_found_if(text, fold, e), "date", 0.8) for e in P.DATES))),
+        _first_of_each(F.concat(_named(_found(text, P.PHONE), "phone", 0.9), _named(F.when(F.contains(text, F.lit("@")), _found(text, P.EMAIL)).otherwise(F.array().cast("array<string>")), "email", 0.9))),
+    )
 
 
 def entities(memories: DataFrame) -> DataFrame:
-    """Id, created_at, name, label, confidence; one row a text, label and case-folded name (V9)."""
-    text, low = F.col("text"), F.lower("text")
-    found = [
-        _known(low, P.PLACES, "place", 1.0, False),
-        _known(low, P.ORGANISATIONS, "org", 1.0, False),
-        _known(low, P.TECH, "tech", 0.9, True),
-        _all(text, P.PERSON, "person", 0.7, 1),
-        _all(text, P.EMAIL, "email", 0.9),
-        *(_all(text, e, "date", 0.8) for e in P.DATES),
-        *(_all(text, e, "product", 0.9) for e in P.PRODUCTS),
-    ]
-    rows = memories.select("id", "created_at", F.explode(F.concat(*found)).alias("e")).select("id", "created_at", "e.*")
-    return rows.groupBy("id", "created_at", "label", F.lower("name").alias("key")).agg(F.min("name").alias("name"), F.max("confidence").alias("confidence"))
+    """Id, created_at, label, key, name, confidence; one row a text, label and case-folded name (V9). No shuffle: a text's entities are found and made distinct in its row."""
+    rows = memories.select("id", "created_at", F.explode(text_entities(F.col("text"))).alias("e"))
+    return rows.select("id", "created_at", "e.label", "e.key", "e.name", "e.confidence")
 
 
 def entity_table(found: DataFrame) -> DataFrame:
@@ -64,19 +110,56 @@ def degrees(edges: DataFrame, most: int = 10) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(most)
 
 
+def cooccurrence_links(memories: DataFrame) -> DataFrame:
+    """Id, source_id, target_id, relation_type, confidence, context: the pairs of a text's entities under their canonical names.
+
+    Two tech words use each other (0.6), other pairs are mentioned together (0.5). The pairs of a text are made in its row.
+    """
+    kinds = F.transform(text_entities(F.col("text")), lambda e: F.struct(e["label"].alias("label"), F.lower(T.resolve_alias(e["name"])).alias("key")))
+    lists = memories.select("id", F.substring("text", 1, 200).alias("context"), F.array_sort(kinds).alias("e")).where(F.size("e") > 1)
+    pairs = lists.select("id", "context", "e", F.posexplode("e").alias("i", "a")).select("id", "context", "a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
+    tech = (F.col("a.label") == "tech") & (F.col("b.label") == "tech")
+    return pairs.select("id", F.col("a.key").alias("source_id"), F.col("b.key").alias("target_id"), F.when(tech, "uses").otherwise("mentioned_with").alias("relation_type"), F.when(tech, 0.6).otherwise(0.5).alias("confidence"), "context")
+
+
+def _relation(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), T.trimmed(x["s"]).alias("s"), T.trimmed(x["o"]).alias("o"))
+
+
+def text_relations(text: Column) -> Column:
+    """Array of (relation_type, subject, object): all matches of all expressions; an expression runs only on texts that hold one of its words.
+
+    A subject or object that is an entity of the text takes that entity's name, other subjects their canonical one.
+    """
+    flat = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    none = F.array().cast("array<struct<kind:string,s:string,o:string>>")
+
+    def found(flat: Column, low: Column) -> Column:
+        each = []
+        for kind, expressions in P.RELATIONS.items():
+            for e, cues in expressions:
+                pairs = F.arrays_zip(_found(flat, "(?iU)" + e, 1).alias("s"), _found(flat, "(?iU)" + e, 2).alias("o"))
+                hits = F.transform(pairs, _relation(kind))
+                behind = T.fold_expression(e[T.closing(e, 2) + 1 :].removeprefix(r"\b"))  # what follows the subject, cheaper to test
+                possible = T.any_of(low, [T.fold_expression(c) for c in cues]) & low.rlike("(?U)" + behind)
+                each.append(F.when(possible, hits).otherwise(none))
+        return F.concat(*each)
+
+    def named(raw: Column, known: Column) -> Column:
+        return F.try_element_at(F.filter(known, lambda e: e["key"] == F.lower(raw)), F.lit(-1))["name"]
+
+    def resolved(hits: Column) -> Column:
+        return T.bound(text_entities(text), lambda known: F.transform(hits, lambda x: F.struct(x["kind"].alias("relation_type"), F.coalesce(named(x["s"], known), T.resolve_alias(x["s"])).alias("subject"), F.coalesce(named(x["o"], known), x["o"]).alias("object"))))
+
+    hits = T.bound(flat, lambda flat: T.bound(T.folded(flat), lambda low: found(flat, low)))
+    empty = F.array().cast("array<struct<relation_type:string,subject:string,object:string>>")
+    return T.bound(hits, lambda h: F.when(F.size(h) > 0, resolved(h)).otherwise(empty))
+
+
 def typed_relations(memories: DataFrame) -> DataFrame:
-    """Id, relation_type, subject, object, confidence."""
-    text = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    each = []
-    for kind, e in P.RELATIONS.items():
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit("(?iU)" + e), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit("(?iU)" + e), F.lit(2)).alias("o"))
-        each.append(_relation(pairs, kind))
-    rows = memories.select("id", F.explode(F.concat(*each)).alias("r"))
-    return rows.select("id", F.col("r.kind").alias("relation_type"), T.resolve_alias(F.col("r.s")).alias("subject"), F.col("r.o").alias("object"), F.lit(0.8).alias("confidence"))
-
-
-def _relation(pairs: Column, kind: str) -> Column:
-    return F.transform(pairs, lambda x: F.struct(F.lit(kind).alias("kind"), T.trimmed(x["s"]).alias("s"), T.trimmed(x["o"]).alias("o")))
+    """Id, relation_type, subject, object, confidence."""
+    rows = memories.select("id", F.explode(text_relations(F.col("text"))).alias("r"))
+    return rows.select("id", "r.relation_type", "r.subject", "r.object", F.lit(0.8).alias("confidence"))
 
 
 def facts_as_of(facts: DataFrame, day: str) -> DataFrame:

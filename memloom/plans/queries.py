@@ -269,9 +269,9 @@ _OPERATIONAL = " OR ".join([
     Q.any_match(_C, P.VERIFICATION),
 ])
 _RULE = rf"(len(regexp_extract_all(c, '\S+')) <= 50 AND NOT {Q.any_match(_C, P.NOT_RULES)} AND ({Q.any_match(_C, P.TURKISH_RULES)} OR {Q.any_match(_C, P.ENGLISH_RULES)}))"
-_TYPE = f"""CASE WHEN c = '' THEN 'conversation' WHEN {Q.any_match(_C, P.LESSON)} THEN 'lesson' WHEN {_OPERATIONAL} THEN 'other'
-  WHEN {_RULE} OR {Q.any_match(_C, P.SAFEWORDS)} THEN 'rule' WHEN {Q.any_match(_C, [P.NAME], 'c')} OR {Q.any_match(_C, P.FACTUAL)} THEN 'fact'
-  WHEN {Q.any_match(_C, P.PREFERENCE)} THEN 'preference' ELSE 'conversation' END"""
+_TYPE = f"""CASE WHEN c = '' THEN 'conversation' WHEN {Q.whole_word(_C, P.LESSON)} THEN 'lesson' WHEN {_OPERATIONAL} THEN 'other'
+  WHEN {_RULE} OR {Q.any_match(_C, P.SAFEWORDS)} THEN 'rule' WHEN {Q.any_match(_C, [P.NAME], 'c')} OR {Q.whole_word(_C, P.FACTUAL)} THEN 'fact'
+  WHEN {Q.whole_word(_C, P.PREFERENCE)} THEN 'preference' ELSE 'conversation' END"""
 _TRIMMED = f"(SELECT id, text, coalesce(memory_type, 'other') AS old_type, deleted_at, category, {Q.trimmed('text')} AS c FROM memories)"
 
 
@@ -324,7 +324,7 @@ _GENERIC = ", ".join(f"'{w}'" for w in P.GENERIC)
 
 
 @query(rf"""SELECT session_id, seq, NOT ({Q.any_match('c', P.NOT_TRIGGERS)} OR length(c) < 3 OR lower(c) IN ({_GENERIC}) OR (length(c) <= 4 AND NOT regexp_matches(c, '\p{{L}}')))
-  AND ({Q.any_match('lower(c)', P.TRIGGERS)} OR (contains(text, '?') AND length(text) > 10) OR {Q.any_match('lower(c)', P.PAST_TENSE)}) AS recall FROM (SELECT *, {Q.trimmed('text')} AS c FROM messages)""", ("messages",))
+  AND ({Q.any_match('lower(c)', P.TURKISH_TRIGGERS + P.ENGLISH_TRIGGERS)} OR (contains(text, '?') AND length(text) > 10) OR {Q.any_match('lower(c)', P.PAST_TENSE)}) AS recall FROM (SELECT *, {Q.trimmed('text')} AS c FROM messages)""", ("messages",))
 def q_trigger(s, d):
     """T14."""
     return view(s, d, "messages").select("session_id", "seq", T.should_recall(F.col("text")).alias("recall"))

@@ -10,11 +10,11 @@ from ..operators import graph as G
 from ..sources import writers
 from . import sqltext as Q
 from .queries import memories, query
-from .queries_more import _ENTITIES, _LOW_SIGNAL, _sum_case, known_entities
+from .queries_more import _ENTITIES, _sum_case, all_entities
 from .views import NOW, view
 
-_SCORE = f"""round(CASE WHEN length(text) < 10 OR {Q.any_match('text', H.CAPTURE_CRON)} OR {_LOW_SIGNAL} THEN 0 ELSE least(1.0::DOUBLE,
-  CASE WHEN {Q.any_match('text', H.CAPTURE_DECISIONS)} THEN 0.9::DOUBLE WHEN {Q.any_match('text', H.CAPTURE_FEEDBACK)} THEN 0.85::DOUBLE ELSE 0.45::DOUBLE END
+_SCORE = f"""round(CASE WHEN length(text) < 10 OR {Q.any_match('text', H.CAPTURE_CRON)} OR {Q.any_match('text', H.CAPTURE_LOW_SIGNAL)} THEN 0 ELSE least(1.0::DOUBLE,
+  CASE WHEN {Q.any_match('text', H.CAPTURE_DECISIONS)} THEN 0.9::DOUBLE WHEN {Q.any_match('text', H.FEEDBACK)} THEN 0.85::DOUBLE ELSE 0.45::DOUBLE END
   + {_sum_case(('length(text) > 80', 0.05), ('length(text) > 200', 0.05), ('length(text) > 30 AND ' + Q.any_match('text', H.CONFIRMATIONS), 0.1), (Q.any_match('text', H.TROUBLE), 0.1))}) END, 4)::DOUBLE"""
 _CLASSES = f"""SELECT *, {_SCORE} AS score, {Q.any_match('text', RT.FEEDBACK)} AS feedback, {Q.any_match('text', H.CAPTURE_DECISIONS)} AS decides, {Q.any_match('text', RT.SELF_CORRECTIONS)} AS corrects,
   {Q.any_match('text', RT.RESULTS)} AS result, text = '' OR starts_with(text, '/') OR {Q.any_match('text', H.CAPTURE_CRON)} OR {Q.any_match('text', RT.LOW_SIGNAL_CAPTURE)} AS dropped
@@ -94,18 +94,21 @@ def q_jobs(s, d):
     return view(s, d, "calls").select("event_id", check.alias("c")).select("event_id", "c.valid", F.array_join("c.errors", ",").alias("errors"), F.array_join("c.warnings", ",").alias("warnings"), "c.tier")
 
 
-@query(f"""{_ENTITIES}, b AS (SELECT * FROM memories WHERE deleted_at IS NULL AND created_at > {NOW} - 90 * 86400 AND importance >= 0.6 AND strength >= 0.5 ORDER BY importance DESC, created_at DESC, id LIMIT 200),
+_HIGHLIGHTS = f"""{_ENTITIES}, b AS (SELECT * FROM memories WHERE deleted_at IS NULL AND created_at > {NOW} - 90 * 86400 AND importance >= 0.6 AND strength >= 0.5 ORDER BY importance DESC, created_at DESC, id LIMIT 200),
   p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY importance DESC, created_at DESC, id) AS place, trim(replace(text, chr(10), ' '), ' ') AS flat FROM b),
   e AS (SELECT key, label, count(*) AS mentions FROM ent GROUP BY 1, 2)
   SELECT category AS section, place::INT AS place, printf('- **[%s]** (imp:%.2f str:%.1f) %s', strftime(make_timestamp((created_at * 1000000)::BIGINT), '%m/%d %H:%M'), floor(importance * 100 + 0.5::DOUBLE) / 100, floor(strength * 10 + 0.5::DOUBLE) / 10, CASE WHEN length(flat) > 300 THEN substr(flat, 1, 297) || '...' ELSE flat END) AS line FROM p WHERE place <= 50
-  UNION ALL SELECT 'Key Entities', place::INT, '- **' || key || '** [' || label || '] — ' || mentions || ' mentions' FROM (SELECT *, row_number() OVER (ORDER BY mentions DESC, label, key) AS place FROM e) WHERE place <= 50""")
+  UNION ALL SELECT 'Key Entities', place::INT, '- **' || key || '** [' || label || '] — ' || mentions || ' mentions' FROM (SELECT *, row_number() OVER (ORDER BY mentions DESC, label, key) AS place FROM e) WHERE place <= 50"""
+
+
+@query(_HIGHLIGHTS)
 def q_highlights(s, d):
     """A top-k report with its entity section."""
-    return writers.highlights(memories(s, d), G.entity_table(known_entities(s, d)), NOW)
+    return writers.highlights(memories(s, d), G.entity_table(all_entities(s, d)), NOW)
 
 
-@query()
+@query(_HIGHLIGHTS)
 def q_highlights_all(s, d):
-    """W9 with persons in the entity section (held by tests)."""
+    """The same as q_highlights (kept under its earlier name)."""
     m = memories(s, d)
     return writers.highlights(m, G.entity_table(G.entities(m)), NOW)

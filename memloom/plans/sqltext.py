@@ -14,7 +14,9 @@ def re2(expression: str) -> str:
     out, i, in_class = [], 0, False
     while i < len(e):
         two = e[i : i + 2]
-        if two == r"\b":
+        if two == r"\b" and e[i + 2 : i + 5] == r"\s+" or two == r"\b" and e[max(0, i - 3) : i] == r"\s+":
+            i += 2  # white space on one side, so the boundary says nothing more
+        elif two == r"\b":
             rest = e[i + 2 :]
             ends = rest == "" or rest[0] in "|)" or rest.startswith(r"\s") or rest.startswith(".*")
             out.append(f"(?:$|[^{_WORD}])" if ends else f"(?:^|[^{_WORD}])")
@@ -33,7 +35,13 @@ def re2(expression: str) -> str:
 
 
 def any_match(text: str, expressions: list[str], flags: str = "i") -> str:
-    return "(" + " OR ".join(f"regexp_matches({text}, '{re2(e)}', '{flags}')" for e in expressions) + ")"
+    each = [re.sub(r"\\w\*$", "", e) for e in expressions]  # changes nothing for a test
+    return f"regexp_matches({text}, '{'|'.join(f'(?:{re2(e)})' for e in each)}', '{flags}')"
+
+
+def whole_word(text: str, expressions: list[str], flags: str = "i") -> str:
+    """One of the expressions between word boundaries."""
+    return f"regexp_matches({text}, '(?:^|[^{_WORD}])(?:{'|'.join(re2(e) for e in expressions)})(?:$|[^{_WORD}])', '{flags}')"
 
 
 def any_of(text: str, words: list[str]) -> str:

@@ -48,6 +48,20 @@ def highlights(rows: DataFrame, entities: DataFrame, now: float, days: int = 90,
     return memories.unionByName(named)
 
 
+def workspace_export(rows: DataFrame, entities: DataFrame, now: float) -> DataFrame:
+    """Part, place, id, line: the 100 most valued live memories, the 30 latest user messages of the week not among them, the 50 entities mentioned more than five times."""
+    live = rows.where("deleted_at IS NULL")
+    order = [F.desc("importance"), F.desc("strength"), F.asc("id")]
+    top = live.where((F.col("importance") > 0.7) | (F.coalesce("strength", F.lit(1.0)) > 2)).orderBy(*order).limit(100)
+    top = top.withColumn("place", F.row_number().over(W.orderBy(*order))).select("place", "id", "text")  # 100 rows
+    user = live.where((F.col("category") == "user") & (F.col("created_at") > now - 7 * 86400)).orderBy(F.desc("created_at"), "id").limit(30)
+    user = user.withColumn("place", F.row_number().over(W.orderBy(F.desc("created_at"), "id"))).select("place", "id", "text").join(top.select("id"), "id", "left_anti")
+    known = entities.where("mentions > 5").orderBy(F.desc("mentions"), "label", "key").limit(50).withColumn("place", F.row_number().over(W.orderBy(F.desc("mentions"), "label", "key")))
+    line = lambda n: F.substring(F.regexp_replace("text", r"^\s+|\s+$", ""), 1, n).alias("line")
+    parts = top.select(F.lit("top").alias("part"), "place", "id", line(400)).unionByName(user.select(F.lit("user").alias("part"), "place", "id", line(250))).where("line <> ''")
+    return parts.unionByName(known.select(F.lit("entity").alias("part"), "place", F.concat("label", F.lit(":"), "key").alias("id"), F.col("mentions").cast("string").alias("line")))
+
+
 def append_batches(path: str):
     """For foreachBatch: a batch is written once, to a folder of its own number."""
 
