@@ -6,12 +6,13 @@ meets in one bucket, where each distinct word is encoded once; a frequent word c
 occurrence. The ids go back to the chunks, where documents are reassembled by position. Decoding looks the ids up in
 the token-byte table, whose size is the vocabulary's.
 
-Words and sequences travel packed and compressed, a row a (chunk, bucket) and a chunk. Both sides come from one scan,
-which Spark reuses or, after a loss, repeats; a chunk's dictionary carries a check sum, so that a repeated scan over
-rows in another order is an error, never a wrong result.
+Words and sequences travel packed and compressed, a row a (chunk, bucket) and a chunk. A bucket's rows stream through
+the encoder one by one, whatever their number. Both sides come from one scan, which Spark reuses or, after a loss,
+repeats over the same files in the same order; documents that come out of a shuffle have no such order, so they are
+written to the shared folder first. A chunk's dictionary carries a check sum besides.
 
 Nulls count as empty texts: no tokens, the digests of nothing. Null ids, repeated rows and extra columns are kept as
-they are asked for.
+they are asked for. A very long text is a chunk of its own; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,14 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import table, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters after which a chunk ends.
 CHUNK_CHARS = 12_000_000
-#: Word buckets: a few for each input partition, within these bounds.
-LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
+#: Word buckets: as many as input partitions, from 4,096 on as their square root grows.
+LEAST_BUCKETS, ROOT_BUCKETS = 32, 64
+#: Distinct words whose ids a task remembers at once.
+REMEMBERED = 2_000_000
 
 SHUFFLED = "key string, chunk string, bucket int, words long, crc long, payload binary, rows binary"
 
@@ -92,10 +95,13 @@ def _chunk_rows(chunk: str, kept: pd.DataFrame, numbers: dict[str, int], docs: l
 def encode(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), ranks_path: str = RANKS, pattern: str = PATTERN, with_ids: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Columns `kept` with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
     spark = docs.sparkSession
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = written(docs.select(*kept, "text"), "bpe-documents")
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # the vocabulary: of fixed size
     kept_schema = docs.select(*kept).schema
     scanned = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, docs.rdd.getNumPartitions()))
+    partitions = docs.rdd.getNumPartitions()
+    buckets = max(LEAST_BUCKETS, min(partitions, int(ROOT_BUCKETS * partitions**0.5)))
 
     def scan(batches):
         find, part, number = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
@@ -114,22 +120,26 @@ def encode(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), ranks_path: str
         if done:
             yield pd.DataFrame(_chunk_rows(f"{part}.{number}", pd.concat(frames), numbers, done, buckets))
 
-    def encode_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not pdf["key"].iloc[0].startswith("w"):
-            return pd.DataFrame([], columns=["key", "bucket", "payload"])
-        encoder, known, out = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}), {}, []
-        for r in pdf.itertuples():
-            (lengths,), joined = _unpack(r.payload, "<u4")
-            ends = np.cumsum(lengths).tolist()
-            counts, ids = [], []
-            for a, b in zip([0, *ends], ends, strict=False):
-                word = joined[a:b]
-                if (own := known.get(word)) is None:
-                    own = known[word] = encoder._encode_single_piece(word)
-                counts.append(len(own))
-                ids += own
-            out.append({"key": f"c{r.chunk}", "bucket": r.bucket, "payload": _pack(np.array([zlib.crc32(joined)], "<u4"), np.array(counts, "<u4"), np.array(ids, "<u4"))})
-        return pd.DataFrame(out)
+    def encode_words(batches):
+        encoder, known = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}), {}
+        for pdf in batches:
+            out = []
+            for bucket, chunk, payload in zip(pdf["bucket"], pdf["chunk"], pdf["payload"], strict=True):
+                if bucket < 0:  # a chunk's documents
+                    continue
+                (lengths,), joined = _unpack(payload, "<u4")
+                ends = np.cumsum(lengths).tolist()
+                counts, ids = [], []
+                for a, b in zip([0, *ends], ends, strict=False):
+                    word = joined[a:b]
+                    if (own := known.get(word)) is None:
+                        own = known[word] = encoder._encode_single_piece(word)
+                    counts.append(len(own))
+                    ids += own
+                out.append((f"c{chunk}", bucket, _pack(np.array([zlib.crc32(joined)], "<u4"), np.array(counts, "<u4"), np.array(ids, "<u4"))))
+                if len(known) > REMEMBERED:
+                    known.clear()
+            yield pd.DataFrame(out, columns=["key", "bucket", "payload"])
 
     def reassemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
@@ -171,7 +181,7 @@ def encode(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), ranks_path: str
         return pd.concat(out)
 
     shuffled = scanned.mapInPandas(scan, SHUFFLED).repartition("key")
-    encoded = shuffled.groupBy("key").applyInPandas(encode_bucket, "key string, bucket int, payload binary")
+    encoded = shuffled.mapInPandas(encode_words, "key string, bucket int, payload binary")
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     schema = StructType([*kept_schema.fields, *StructType.fromDDL(added).fields])
     return shuffled.groupBy("key").cogroup(encoded.groupBy("key")).applyInPandas(reassemble, schema)

@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K = 20
-SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE, ITERATIONS = 8192, 8, 24, 8
+SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE, ITERATIONS = 8192, 8, 16, 8
 #: Sample rows of a branch that is split further in Spark, and the rows it is split on.
 BRANCH_SAMPLE, BRANCH_ROWS = 128, 4096
 SPREAD = 0.3
-CALIBRATION_QUERIES, TARGET_RECALL = 128, 0.965
+CALIBRATION_QUERIES, TARGET_RECALL = 128, 0.955
 BLOCK_ROWS, CHUNK_QUERIES = 4096, 2048
 
 

@@ -1,16 +1,17 @@
 """License scans: a positional rare-token index over licence templates.
 
-Every licence template is a short word sequence. The index keeps, for each template, its few words of the
-highest inverse document frequency in the scanned corpus (counted over all documents) with their positions.
-A file's occurrences of those rare words are looked up in the postings; hits that agree on the relative
-position (file position minus template position) propose a template at that place, which counts only when the
-template's mandatory key phrases stand there word for word.
+Every licence template is a short word sequence; the index keeps the postings of all template words, and their inverse
+document frequency in the scanned corpus (counted over all documents). A file's licence words are ranked by that: for
+each template whose key phrases' words it holds, its RARE_WORDS rarest ones of that template are looked up; postings that
+agree on the relative position (file position minus template position) propose the template at that place, which counts
+only when the template's mandatory key phrases stand there word for word.
 
 The templates are fixed, so vocabulary, postings and the driver's share are of constant size. Both passes over
 the corpus are map-only but for the count of the template words, which is combined per task before its shuffle.
 
-Nulls count as empty texts: zero words, no labels, score 0. Repeated rows and null ids are scanned each on its
-own. Extra columns are ignored.
+Nulls and empty texts: zero words, no labels, score 0. Equal templates at one place count once as a label; words of equal
+frequency go by spelling. Very long texts are scanned whole, in time linear in their words. Empty tables give no rows.
+Repeated rows and null ids are scanned each on its own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ TEMPLATES = [
 # Base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-#: Words by which a template is looked up: so many of its highest-IDF words, and so many of them must agree on the place.
+#: Words by which a template is looked up: so many of the file's rarest words of it, and so many of them must agree on the place.
 RARE_WORDS, AGREEING = 4, 2
 #: Words by which a key phrase may stand off its expected place (inserted or dropped words).
 SLACK = 2
@@ -80,42 +81,45 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[int, dict[s
 
 
 class RareTokenIndex:
-    """Postings of each template's rarest words: word -> [(template, position)]."""
+    """Postings of all template words: word -> [(template, position)]; IDF of the words; words without which a template can't be verified."""
 
     def __init__(self, n_docs: int, df: dict[str, int], templates=TEMPLATES):
-        self.labels, self.words, self.phrases, self.needed = [], [], [], []
-        self.postings = defaultdict(list)
+        self.labels, self.words, self.phrases, self.mandatory = [], [], [], []
+        self.postings, self.idf = defaultdict(lambda: defaultdict(list)), {}
         for t, (label, text, phrases) in enumerate(templates):
-            words = text.split()
-            idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) for w in words}
-            rare = sorted(set(words), key=lambda w: (-idf[w], w))[:RARE_WORDS]
             self.labels.append(label)
-            self.words.append([w.encode() for w in words])
+            self.words.append([w.encode() for w in text.split()])
             self.phrases.append([[w.encode() for w in p.split()] for p in phrases])
-            self.needed.append(min(AGREEING, len(rare)))
-            for at, w in enumerate(words):
-                if w in rare:
-                    self.postings[w.encode()].append((t, at))
-
-    def matches(self, words: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[str, int, float]]:
-        """(label, place, share of the template's words at their place) of every verified template."""
-        votes = defaultdict(set)
-        for w, at in places.items():
-            for t, p in self.postings.get(w, ()):
-                for i in at:
-                    votes[t, i - p].add(w)
+            self.mandatory.append({w for p in self.phrases[-1] for w in p})
+            for at, w in enumerate(self.words[-1]):
+                self.postings[t][w].append(at)
+                self.idf[w] = math.log((1 + n_docs) / (1 + df.get(w.decode(), 0)))
+
+    def matches(self, words: list[bytes], present: set[bytes], places) -> list[tuple[str, int, float]]:
+        """(label, place, share of the template's words at their place) of every verified template. present: the file's template words; places(word): where it stands."""
         found = []
-        for (t, shift), agreeing in votes.items():
-            if len(agreeing) >= self.needed[t] and all(self._near(words, p, self.words[t], shift) for p in self.phrases[t]):
-                own = self.words[t]
-                same = sum(1 for k, w in enumerate(own) if 0 <= shift + k < len(words) and words[shift + k] == w)
-                found.append((self.labels[t], shift, same / len(own)))
+        for t, mandatory in enumerate(self.mandatory):
+            if not mandatory <= present:
+                continue
+            own = self.words[t]
+            rare = sorted(present.intersection(self.postings[t]), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
+            votes = defaultdict(set)
+            for w in rare:
+                for p in self.postings[t][w]:
+                    for i in places(w):
+                        votes[i - p].add(w)
+            for shift, agreeing in votes.items():
+                if len(agreeing) >= min(AGREEING, len(set(own))) and all(self._near(words, p, own, shift) for p in self.phrases[t]):
+                    same = sum(1 for k, w in enumerate(own) if 0 <= shift + k < len(words) and words[shift + k] == w)
+                    found.append((self.labels[t], shift, same / len(own)))
         return sorted(found, key=lambda x: (x[1], x[0]))
 
     @staticmethod
     def _near(words, phrase, template, shift) -> bool:
         n = len(phrase)
-        own = next(i for i in range(len(template) - n + 1) if template[i : i + n] == phrase)
+        own = next((i for i in range(len(template) - n + 1) if template[i : i + n] == phrase), None)
+        if own is None:  # a phrase that the template's text lacks is sought beside it
+            return any(words[i : i + n] == phrase for i in range(max(0, shift - n - SLACK), shift + len(template) + SLACK + 1))
         return any(words[i : i + n] == phrase for i in range(max(0, shift + own - SLACK), shift + own + SLACK + 1))
 
 
@@ -124,7 +128,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     n, df = document_frequencies(docs, template_words(templates))
     index = RareTokenIndex(n, df, templates)
     base = [(p.encode().split(), label) for p, label in BASE]
-    looked_up = set(index.postings) | {p[0] for p, _ in base}
+    looked_up = set(index.idf) | {w for p, _ in base for w in p}
     kind = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("share", pa.float64())]))
 
     def run(batches):
@@ -132,13 +136,16 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             out = defaultdict(list)
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = _words(text)
-                places = defaultdict(list)
-                if not looked_up.isdisjoint(words):
-                    for i, w in enumerate(words):
-                        if w in looked_up:
-                            places[w].append(i)
-                hits = [(i, label) for p, label in base for i in places.get(p[0], ()) if words[i : i + len(p)] == p]
-                method = index.matches(words, places) if places else []
+                present = looked_up.intersection(words)
+                known: dict[bytes, list[int]] = {}
+
+                def places(w, words=words, known=known):
+                    if w not in known:
+                        known[w] = [i for i, v in enumerate(words) if v == w]
+                    return known[w]
+
+                hits = [(i, label) for p, label in base if present.issuperset(p) for i in places(p[0]) if words[i : i + len(p)] == p]
+                method = index.matches(words, present, places) if present else []
                 own = {label for _, label in hits}
                 out["n_words"].append(len(words))
                 out["n_base"].append(len(hits))

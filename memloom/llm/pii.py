@@ -11,8 +11,9 @@ expression): a match starts after all earlier pieces and matches. Lengths are in
 The expressions are written so that Java's matcher needs neither recursion nor quadratic time on long runs: possessive
 repeats where no character could be given back, and a start only where a run starts (or at the end of the match before).
 
-Null texts count as empty: no spans, the digest of the empty string, an empty list. Null ids and repeated rows are kept
-each as they are. Extra columns are ignored, redact() carries them.
+Null texts count as empty: no spans, the digest of the empty string, an empty list. Very long texts are searched whole;
+spans of one start are in the order of the kinds; empty tables give no rows. Null ids and repeated rows are kept each as
+they are. Extra columns are ignored, redact() carries them.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ PATTERNS = {
 }
 #: A character without which there is no match: a cheap test before the expression.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+#: Whole words (or their plurals) near a span.
 CONTEXT = {
-    "email": "mail|contact|write|reach",
-    "ip": "ip|host|server|address",
+    "email": "e?mail|contact|write|reach",
+    "ip": "ip|host|server|addresse?",
     "card": "card|credit|visa|payment|mastercard",
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|konto|compte|cuenta",
@@ -109,11 +111,13 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _spans(text: Column, kind: str) -> Column:
-    """The confirmed spans of one kind, scored by what stands before them."""
+    """The confirmed spans of one kind, scored by the words before and behind them."""
+    word = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{CONTEXT[kind]})s?(?:$|[^\p{{L}}\p{{N}}_])"
 
     def span(x):
         before = F.lower(F.substr(text, F.greatest(F.lit(1), x["s"] + 1 - CONTEXT_CHARS), F.least(F.lit(CONTEXT_CHARS), x["s"])))
-        score = F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
+        behind = F.lower(F.substr(text, x["e"] + 1, F.lit(CONTEXT_CHARS)))
+        score = F.lit(SCORES[kind]) + F.when(before.rlike(word) | behind.rlike(word), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), x["e"].alias("e"), score.alias("score"))
 
     places = located(text, PATTERNS[kind], F.col(f"_{kind}"))
@@ -165,7 +169,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(_of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     base = rendered(F.filter("spans", lambda x: x["k"] < len(BASE_KINDS)))
-    return spans.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda x: F.format_string("%.1f", x["score"])), ",")
+    return spans.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 # Plain forms of the patterns for RE2, which needs no guard against long runs.
@@ -196,16 +201,18 @@ def _sql() -> str:
     branches = []
     for k, kind in enumerate(KINDS[:5]):
         p = _SQL_PATTERNS[kind]
-        branches.append(f"""SELECT rid, {k} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (
-  SELECT rid, ms[i] AS m, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
-  FROM (SELECT rid, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
-    SELECT rid, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM d) WHERE len(ms) > 0)) WHERE {checks[kind]}""")
+        word = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{CONTEXT[kind]})s?(?:$|[^\p{{L}}\p{{N}}_])"
+        near = f"regexp_matches(lower(substr(text, greatest(1, s + 1 - {CONTEXT_CHARS}), least({CONTEXT_CHARS}, s))), '{word}') OR regexp_matches(lower(substr(text, s + length(m) + 1, {CONTEXT_CHARS})), '{word}')"
+        branches.append(f"""SELECT rid, {k} AS k, '{kind}' AS kind, s, s + length(m) AS e, {SCORES[kind]} + CASE WHEN {near} THEN {CONTEXT_BONUS} ELSE 0 END AS score FROM (
+  SELECT rid, text, ms[i] AS m, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT rid, text, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT rid, text, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM d) WHERE len(ms) > 0)) WHERE {checks[kind]}""")
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 x AS ({' UNION ALL '.join(branches)})
 SELECT any_value(doc_id) AS doc_id, {counts},
   sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4), '')) AS base_sha256,
-  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '') AS spans
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '') AS spans, coalesce(string_agg(printf('%.1f', score::DOUBLE), ',' ORDER BY s, k), '') AS scores
 FROM d LEFT JOIN x USING (rid) GROUP BY rid"""
 
 

@@ -10,7 +10,8 @@ group leaves it in a number of rows linear in its size; components follow from t
 
 Null and word-less texts have fingerprint zero and are linked like any other. Null ids: such rows have a fingerprint
 and stand in no one's way (a component's id is the smallest non-null id, null if there is none). Repeated rows are
-kept each. Extra columns are ignored by components(), carried by near_dedup().
+kept each. A very long text is one row like any other, its shingles counted in portions; empty tables give no rows. Extra
+columns are ignored by components(), carried by near_dedup().
 """
 
 from __future__ import annotations
@@ -116,32 +117,37 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> np.
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links that connect exactly what all links within the radius connect, between distinct fingerprints `fp`."""
+    """(a, b): links that connect exactly what all links within the radius connect, between distinct fingerprints `fp`.
+
+    A tile is one row with its fingerprints packed; only such rows travel to the tile pairs.
+    """
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     high = F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int")
     rows = distinct.select("fp", high.alias("hi"), (F.bit_count("fp") - high).cast("int").alias("lo"))
     tiles = rows.groupBy("hi", "lo").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))  # at most 33 x 33 rows
     rows = rows.join(F.broadcast(tiles), ["hi", "lo"])
-    rows = rows.withColumn("t", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("fp"), "tiles").cast("int")).repartition(spread, "hi", "lo", "t")
+    packed = rows.groupBy("hi", "lo", "t", "tiles").agg(F.collect_list("fp").alias("fps"))  # about TILE_ROWS numbers
     # A tile meets itself and each later tile (by hi, lo, t) near enough; `left` tells the two sides of a pair apart.
     later = [(i, j) for i in range(radius + 1) for j in range(-radius, radius + 1) if i + abs(j) <= radius and (i, j) >= (0, 0)]
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in later)))
     other = tiles.select(F.col("hi").alias("h2"), F.col("lo").alias("l2"), F.col("tiles").alias("n2"))
-    own = rows.withColumn("d", step).withColumns({"h2": F.col("hi") + F.col("d.i"), "l2": F.col("lo") + F.col("d.j")}).join(F.broadcast(other), ["h2", "l2"])
+    own = packed.withColumn("d", step).withColumns({"h2": F.col("hi") + F.col("d.i"), "l2": F.col("lo") + F.col("d.j")}).join(F.broadcast(other), ["h2", "l2"])
     left = own.withColumn("t2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1))).where("d.i > 0 OR d.j > 0 OR t2 >= t")
-    left = left.select("hi", "lo", "t", "h2", "l2", "t2", "fp", F.lit(True).alias("left"))
-    back = rows.withColumn("d", step).select(F.col("hi").alias("h2"), F.col("lo").alias("l2"), F.col("t").alias("t2"), (F.col("hi") - F.col("d.i")).alias("hi"), (F.col("lo") - F.col("d.j")).alias("lo"), "d", "fp")
+    left = left.select("hi", "lo", "t", "h2", "l2", "t2", "fps", F.lit(True).alias("left"))
+    back = packed.withColumn("d", step).select(F.col("hi").alias("h2"), F.col("lo").alias("l2"), F.col("t").alias("t2"), (F.col("hi") - F.col("d.i")).alias("hi"), (F.col("lo") - F.col("d.j")).alias("lo"), "d", "fps")
     back = back.join(F.broadcast(tiles), ["hi", "lo"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("d.i > 0 OR d.j > 0 OR t2 > t")
-    right = back.select("hi", "lo", "t", "h2", "l2", "t2", "fp", F.lit(False).alias("left"))
+    right = back.select("hi", "lo", "t", "h2", "l2", "t2", "fps", F.lit(False).alias("left"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        first, side = pdf.iloc[0], pdf["left"].to_numpy(bool)
+        side = {bool(s): np.asarray(f, np.int64).view(np.uint64) for s, f in zip(pdf["left"], pdf["fps"], strict=True)}
+        first = pdf.iloc[0]
         itself = (first["hi"], first["lo"], first["t"]) == (first["h2"], first["l2"], first["t2"])
-        found = tile_links(fp[side], None if itself else fp[~side], radius) if side.any() and (itself or not side.all()) else np.zeros((0, 2), np.uint64)
+        found = tile_links(side[True], None if itself else side[False], radius) if True in side and (itself or False in side) else np.zeros((0, 2), np.uint64)
         return pd.DataFrame(found.view(np.int64), columns=["a", "b"])
 
     key = ["hi", "lo", "t", "h2", "l2", "t2"]
-    return left.unionByName(right).groupBy(*key).applyInPandas(compare, "a long, b long")
+    return left.unionByName(right).repartition(spread, *key).groupBy(*key).applyInPandas(compare, "a long, b long")
 
 
 def components(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -163,14 +169,15 @@ def rooted(docs: DataFrame, kept: tuple[str, ...]) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents, one of each component (one of the smallest id, whatever other rows hold that id) and all without id.
 
-    Rows are told apart by id and digest of the text; null and empty texts have the same fingerprint and share one.
+    Rows are told apart by id and digest of the text; null and empty texts have the same fingerprint and share one. Of rows
+    alike in both the one stays that comes first by the other columns (maps, which have no order, don't count).
     """
     names = docs.columns
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     leaders = rooted(keyed.select("doc_id", "text", "_key"), ("doc_id", "_key")).where("doc_id = component_id")
     leaders = leaders.groupBy("_root", "doc_id").agg(F.min("_key").alias("_key")).select("doc_id", "_key")
-    order = W.partitionBy("doc_id", "_key").orderBy(*(c for c in names if c != "doc_id"))
-    kept = keyed.join(leaders, ["doc_id", "_key"], "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    order = W.partitionBy("doc_id", "_key").orderBy(*(c for c, kind in docs.dtypes if c != "doc_id" and "map<" not in kind), "_key")
+    kept = keyed.join(leaders, ["doc_id", "_key"], "left_semi").withColumn("_place_of_copy", F.row_number().over(order)).where("_place_of_copy = 1")
     return kept.select(*names).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -16,12 +16,17 @@ Exact comparison. The windows of matched anchors are cut out with their bytes, e
 rest meets by anchor. Windows are sorted by fingerprint and compared byte by byte with their predecessor; each but the
 first (by id and start) of equal windows is a repeat. Documents then drop the bytes of their repeats.
 
+Hot anchors. The family counts each suffix as it merges. One that stands HOT_LEAST times and more (a line in many texts,
+each time between other words) is not sent to one bucket by its anchor: its windows go one by one, by a 128-bit
+fingerprint of their own (folded in the task first), so equal windows meet and no bucket holds the line's texts.
+
 Texts are shuffled once, by id (both later steps reuse that exchange). Copies fold in the task that reads them, so a
 group of copies brings each bucket at most a row a task.
 
-Nulls count as empty texts, null ids as the largest id. Rows that share an id are one document: equal starts in them
-are the same place and don't remove each other. Texts shorter than LENGTH keep everything. Empty tables give no rows.
-Extra columns are ignored.
+Nulls count as empty texts. Rows that share an id are one document: equal starts in them are the same place and don't
+remove each other. Rows without id come after all others, in the order of a digest of their texts; those of equal text
+are one document. Texts shorter than LENGTH keep everything, very long ones are cut without loss. Empty tables give no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,10 +51,13 @@ BUCKET_ANCHORS, COMPARED_BYTES, STRETCH_BITS = 400_000, 2_000_000, 20
 PORTION_BYTES = 4_000_000
 #: Windows that a task sorts at once.
 COMPARED_WINDOWS = 1_000_000
-LAST_ID = 2**63 - 1
+#: Occurrences from which an anchor is hot; a larger input raises it, so that at most MOST_HOT anchors are.
+HOT_LEAST, MOST_HOT = 4000, 1_000_000
+#: Ids of rows that have none start here.
+NO_ID = 2**62
 
 _rng = np.random.default_rng(20)
-_BYTE = _rng.integers(0, 2**64, 256, np.uint64, endpoint=False)
+_BYTE, _BYTE_AGAIN = _rng.integers(0, 2**64, (2, 256), np.uint64, endpoint=False)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -72,9 +80,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _table[size]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, of_byte: np.ndarray = _BYTE) -> np.ndarray:
     up, _ = _power_tables(len(data) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(of_byte[data] * up[: len(data)], dtype=np.uint64)])
 
 
 def fingerprints(sums: np.ndarray, starts, ends) -> np.ndarray:
@@ -197,12 +205,12 @@ def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-#: Rows of the family: kind 0 a batch's suffix array, 1 matched places, 2 a level, 3 a level to merge.
+#: Rows of the family: kind 0 a batch's suffix array, 1 matched places, 2 a level, 3 a level to merge, 4 hot anchors.
 ROWS = "kind int, bucket int, did long, payload binary"
 
 
 def batch_arrays(docs: DataFrame, buckets: int) -> DataFrame:
-    """Each task's suffix arrays by bucket: rising fingerprints with their first places; further places of equal ones."""
+    """Each task's suffix arrays by bucket: rising fingerprints with their first places and counts; further places of equal ones."""
 
     def scan(batches):
         parts = []
@@ -218,8 +226,8 @@ def batch_arrays(docs: DataFrame, buckets: int) -> DataFrame:
             own = rows[np.lexsort((q[rows], did[rows], h[rows]))]
             new = np.append(True, h[own][1:] != h[own][:-1])
             first, more = own[new], own[~new]
-            repeated = np.diff(np.append(np.flatnonzero(new), len(own))) > 1
-            out.append((0, b, 0, pack(_steps(h[first]), did[first], q[first], repeated.astype(np.int64))))
+            count = np.diff(np.append(np.flatnonzero(new), len(own)))
+            out.append((0, b, 0, pack(_steps(h[first]), did[first], q[first], count.astype(np.int64))))
             if len(more):
                 out.append((1, (b + int(did[more[0]])) % buckets, 0, pack(did[more], q[more])))
         yield pd.DataFrame(out, columns=["kind", "bucket", "did", "payload"])
@@ -227,43 +235,48 @@ def batch_arrays(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInPandas(scan, ROWS)
 
 
-def _scan_and_merge(parts: int):
-    """For one bucket: matched places of the batch against itself and the levels; the merged level."""
+def _scan_and_merge(parts: int, hot_least: int):
+    """For one bucket: matched places of the batch against itself and the levels; hot anchors; the merged level.
+
+    Levels hold a suffix with its first place and its count (2 at least once its place has been given).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         matched = [unpack(p)[0] for p in pdf.loc[pdf["kind"] == 1, "payload"]]
         mine = [unpack(p)[0] for p in pdf.loc[pdf["kind"] == 0, "payload"]]
         levels = {k: [unpack(p)[0] for p in pdf.loc[pdf["kind"] == k, "payload"]] for k in (2, 3)}
-        arrays = []
+        bucket, arrays, out = int(pdf["bucket"].iloc[0]), [], []
         if mine:
             h = np.concatenate([np.cumsum(m[0].view(np.uint64), dtype=np.uint64) for m in mine])
-            did, q, repeated = (np.concatenate([m[i] for m in mine]) for i in (1, 2, 3))
+            did, q, count = (np.concatenate([m[i] for m in mine]) for i in (1, 2, 3))
             order = np.lexsort((q, did, h))
-            h, did, q, repeated = h[order], did[order], q[order], repeated[order]
+            h, did, q, count = h[order], did[order], q[order], count[order]
             same = np.zeros(len(h), bool)
             same[1:] |= h[1:] == h[:-1]
             same[:-1] |= h[1:] == h[:-1]
-            hit = same | (repeated > 0)
+            hit = same | (count > 1)
+            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            total = np.add.reduceat(count, begin)
             for steps, level_did, level_q, told in (x for k in (2, 3) for x in levels[k]):
                 level = np.cumsum(steps.view(np.uint64), dtype=np.uint64)
                 at = np.minimum(np.searchsorted(level, h), len(level) - 1)
                 both = level[at] == h
                 hit |= both
+                total += np.where(both, told[at], 0)[begin]
                 other = np.unique(at[both])
-                fresh = other[told[other] == 0]
+                fresh = other[told[other] == 1]
                 matched.append([level_did[fresh], level_q[fresh]])
             matched.append([did[hit], q[hit]])
-            arrays.append((h, did, q, hit.astype(np.int64)))
+            if (hot := total >= hot_least).any():
+                out.append((4, bucket, 0, pack(h[begin][hot].view(np.int64))))
+            arrays.append((h, did, q, np.where(hit, np.maximum(count, 2), count)))
         arrays += [(np.cumsum(x[0].view(np.uint64), dtype=np.uint64), *x[1:]) for x in levels[3]]
-        out = []
         if arrays:
-            h, did, q, told = (np.concatenate(x) for x in zip(*arrays, strict=True))
+            h, did, q, count = (np.concatenate(x) for x in zip(*arrays, strict=True))
             order = np.lexsort((q, did, h))
-            new = np.append(True, h[order][1:] != h[order][:-1])
-            first = order[new]
-            size = np.diff(np.append(np.flatnonzero(new), len(order)))
-            told = np.where(size > 1, 1, told[first])  # met by another: its place has been given
-            out.append((2, int(pdf["bucket"].iloc[0]), 0, pack(_steps(h[first]), did[first], q[first], told)))
+            begin = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            first = order[begin]
+            out.append((2, bucket, 0, pack(_steps(h[first]), did[first], q[first], np.add.reduceat(count[order], begin))))
         if matched:
             did, code = (np.concatenate([m[i] for m in matched]) for i in (0, 1))
             out += [(1, part, 0, pack(did[rows], code[rows])) for part, rows in _by_bucket(_part_of(did, parts), parts)]
@@ -288,8 +301,8 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"did": did[cuts[:-1]], "places": [code[a:b].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
 
 
-def matched_places(docs: DataFrame, cuts: list[int], buckets: int, parts: int) -> DataFrame:
-    """did, places: suffixes that stand more than once, from the family built over batches of ids.
+def matched_places(docs: DataFrame, cuts: list[int], buckets: int, parts: int, hot_least: int) -> tuple[DataFrame, np.ndarray]:
+    """did, places: suffixes that stand more than once, from the family built over batches of ids; and the hot ones' fingerprints.
 
     Reads `docs` (did, data) once a batch, with a filter on the id. Matches travel packed by parts of the ids. A merged
     level replaces those it came from, which are deleted.
@@ -298,7 +311,7 @@ def matched_places(docs: DataFrame, cuts: list[int], buckets: int, parts: int) -
     levels: list[tuple[int, str]] = []
     rest = ROWS.replace("kind int, ", "")
     read = lambda path, kind, put: spark.read.schema(rest).parquet(f"{path}/kind={kind}").where("bucket >= 0").select(F.lit(put).alias("kind"), "bucket", "did", "payload")
-    matched = None
+    matched = hot = None
     for i, high in enumerate([*cuts, None]):
         batch = docs if i == 0 else docs.where(F.col("did") > cuts[i - 1])
         batch = batch if high is None else batch.where(F.col("did") <= high)
@@ -311,16 +324,19 @@ def matched_places(docs: DataFrame, cuts: list[int], buckets: int, parts: int) -
             for path in paths:
                 rows = rows.unionByName(read(path, 2, put))
         path = work_path(spark, f"suffix-level-{i}")
-        both = rows.groupBy("bucket").applyInPandas(_scan_and_merge(parts), ROWS)
+        both = rows.groupBy("bucket").applyInPandas(_scan_and_merge(parts, hot_least), ROWS)
         # An empty row of each kind, so that both folders are there.
-        none = spark.createDataFrame([(k, -1, 0, pack(*[np.zeros(0, np.int64)] * (2 * k))) for k in (1, 2)], ROWS)
+        none = spark.createDataFrame([(k, -1, 0, pack(*[np.zeros(0, np.int64)] * n)) for k, n in ((1, 2), (2, 4), (4, 1))], ROWS)
         both.unionByName(none).write.partitionBy("kind").parquet(path)
         for old in merged:
             drop_path(spark, f"{old}/kind=2")
         own = read(path, 1, 1)
         matched = own if matched is None else matched.unionByName(own)
+        told = read(path, 4, 4)
+        hot = told if hot is None else hot.unionByName(told)
         levels.append((rank, path))
-    return matched.groupBy("bucket").applyInPandas(_gather, "did long, places binary")
+    found = [unpack(r["payload"])[0][0] for r in hot.select("payload").collect()]  # at most MOST_HOT numbers, by hot_least
+    return matched.groupBy("bucket").applyInPandas(_gather, "did long, places binary"), np.unique(np.concatenate([*found, np.zeros(0, np.int64)]).view(np.uint64))
 
 
 def _portions(pdf: pd.DataFrame):
@@ -330,7 +346,38 @@ def _portions(pdf: pd.DataFrame):
         yield rows
 
 
-def _cut_windows(buckets: int):
+def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each number is among the rising ones."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def _single_windows(cut, d, t, p, size, buckets: int):
+    """Rows of the windows of hot anchors, each under its own 128-bit fingerprint; those equal in the task are repeats at once."""
+    width, heads = LENGTH + ARM, []
+    for i in range(0, len(d), 4096):
+        part = slice(i, i + 4096)
+        data, windows = np.ascontiguousarray(cut[part, :width]).ravel(), size[part] - LENGTH + 1
+        row = np.repeat(np.arange(len(windows)), windows)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = row * width + within
+        f, g = (fingerprints(prefix_sums(data, of_byte), at, at + LENGTH) for of_byte in (_BYTE, _BYTE_AGAIN))
+        heads.append((f, g, d[part][row], t[part][row], p[part][row] + within))
+    f, g, d, t, start = (np.concatenate(x) for x in zip(*heads, strict=True))
+    order = np.lexsort((start, d, g, f))
+    f, g, d, t, start = f[order], g[order], d[order], t[order], start[order]
+    new = np.append(True, (f[1:] != f[:-1]) | (g[1:] != g[:-1]))
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))
+    again = (d != d[lead]) | (start != start[lead])
+    keep = np.flatnonzero(~again)
+    for b, rows in _by_bucket(_bucket_of(f[keep], buckets), buckets):
+        rows = keep[rows]
+        yield 2, b, pack(f[rows].view(np.int64), g[rows].view(np.int64), d[rows], t[rows], start[rows])
+    if again.any():
+        marks = _runs(d[again], t[again], start[again])
+        yield 1, int(d[again][0] % buckets), pack(*(marks[c].to_numpy(np.int64) for c in ("did", "tid", "lo", "hi")))
+
+
+def _cut_windows(buckets: int, hot: np.ndarray):
     """Matched anchors' windows with their bytes, by bucket; cuts that are equal in the task are repeats at once."""
     width = LENGTH + ARM
 
@@ -362,7 +409,10 @@ def _cut_windows(buckets: int):
             one = lead[group.ravel()]
             again = (d != d[one]) | (p != p[one])
             out = []
-            keep = np.flatnonzero(~again)
+            burning = ~again & _in(h, hot)
+            if burning.any():
+                out += _single_windows(cut[burning], d[burning], t[burning], p[burning], size[burning], buckets)
+            keep = np.flatnonzero(~again & ~burning)
             for b, rows in _by_bucket(_bucket_of(h[keep], buckets), buckets):
                 rows = keep[rows]
                 tail = b"".join(cut[i, :n].tobytes() for i, n in zip(rows.tolist(), size[rows].tolist(), strict=True))
@@ -390,7 +440,11 @@ def _repeats(data: np.ndarray, h, d, t, start, at) -> pd.DataFrame:
         equal[rows] = (data[at[rows][:, None] + span] == data[at[rows - 1][:, None] + span]).all(1)
     lead = np.maximum.accumulate(np.where(equal, 0, np.arange(len(h))))
     again = equal & ((d != d[lead]) | (start != start[lead]))
-    d, t, start = d[again], t[again], start[again]
+    return _runs(d[again], t[again], start[again])
+
+
+def _runs(d: np.ndarray, t: np.ndarray, start: np.ndarray) -> pd.DataFrame:
+    """First and last start of the runs of windows."""
     order = np.lexsort((start, t, d))
     d, t, start = d[order], t[order], start[order]
     new = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] > start[:-1] + 1))[: len(d)]
@@ -402,6 +456,15 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """First and last start of the runs of repeated windows of one bucket."""
     told = [unpack(p)[0] for p in pdf.loc[pdf["kind"] == 1, "payload"]]
     out = [pd.DataFrame(dict(zip(("did", "tid", "lo", "hi"), x, strict=True))) for x in told]
+    single = [unpack(p)[0] for p in pdf.loc[pdf["kind"] == 2, "payload"]]
+    if single:
+        f, g, d, t, start = (np.concatenate([x[i] for x in single]) for i in range(5))
+        order = np.lexsort((start, d, g, f))
+        f, g, d, t, start = f[order], g[order], d[order], t[order], start[order]
+        lead = np.maximum.accumulate(np.where(np.append(True, (f[1:] != f[:-1]) | (g[1:] != g[:-1])), np.arange(len(f)), 0))
+        again = (d != d[lead]) | (start != start[lead])
+        if again.any():
+            out.append(_runs(d[again], t[again], start[again]))
     cuts = [unpack(p) for p in pdf.loc[pdf["kind"] == 0, "payload"]]
     if cuts:
         d, t, p, size = (np.concatenate([c[0][i] for c in cuts]) for i in range(4))
@@ -450,17 +513,18 @@ def _drop(with_text: bool):
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text (cut code points replaced)."""
     spark = docs.sparkSession
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    did = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(data).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), data.alias("data"))
     shares = [i / BATCHES for i in range(1, BATCHES)]
     cuts, size = rows.agg(F.percentile_approx("did", shares, 1000), F.sum(F.length("data"))).first()
     buckets = max(16, -(-(size or 0) // (20 * BUCKET_ANCHORS)))  # two suffixes in 39 bytes
     compared = max(16, -(-(size or 0) // COMPARED_BYTES))
-    places = matched_places(rows.select("did", "data"), sorted(set(cuts or [])), buckets, compared)
+    hot_least = max(HOT_LEAST, (size or 0) // (20 * MOST_HOT))
+    places, hot = matched_places(rows.select("did", "data"), sorted(set(cuts or [])), buckets, compared, hot_least)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.withColumn("tid", F.xxhash64("data")).repartition(parts, "did")
-    cuts_out = texts.join(places, "did").mapInPandas(_cut_windows(compared), "kind int, bucket int, payload binary")
+    cuts_out = texts.join(places, "did").mapInPandas(_cut_windows(compared, hot), "kind int, bucket int, payload binary")
     marks = cuts_out.groupBy("bucket").applyInPandas(_compare, MARKS)
     marks = marks.groupBy("did").agg(F.collect_list(F.struct("tid", "lo", "hi")).alias("marks"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text

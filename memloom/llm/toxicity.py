@@ -10,8 +10,9 @@ Learning uses a bounded sample of the labelled rows whose crc32(doc_id as text)
 SAMPLE_CLEAN documents by a digest of the id. The number of features is bounded, whatever the sample: each must be in
 1 % of the toxic sample. Scoring is a map over all whole texts; the model travels with the function.
 
-Null and word-less texts score the prior of no evidence. Of several labels for an id the largest counts; null labels
-and ids are not learnt from. Without toxic or without clean training rows the score is 0 throughout. A null id is
+Null and word-less texts score the prior of no evidence. Very long texts are scored whole, in segments of bounded length;
+empty tables give no rows. Of several labels for an id the largest counts, of several texts the smallest; null labels and
+ids are not learnt from. Digests that tie go by id. Without toxic or without clean training rows the score is 0 throughout. A null id is
 never held out. Repeated rows are scored each; extra columns are ignored by score(), carried by reject().
 """
 
@@ -129,6 +130,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     few = own.where("toxic > 0").orderBy(digest, "doc_id").limit(SAMPLE_TOXIC).unionByName(own.where("toxic <= 0").orderBy(digest, "doc_id").limit(SAMPLE_CLEAN))
     few = F.broadcast(few)  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # a label's document once, whatever rows share its id
     return written(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).alias("toxic")), "toxicity-sample")
 
 
@@ -305,7 +307,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, whether it was held out of learning, and the decision."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(training_sample(docs, table(spark, sf_dir, "labels"))))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), spans.alias("spans"))
 
 
 QUERIES = {"op4_toxicity": op4_toxicity}

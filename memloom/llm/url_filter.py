@@ -11,7 +11,8 @@ each task before any shuffle; a round is one join on the source host and one com
 folder. Without links between hosts there are no rounds.
 
 Null urls and urls without :// have empty host and path, no rule and are allowed. Null html has no links. Repeated
-pages count each. Null ids are kept; extra columns are ignored.
+pages count each, ties of trust and distrust allow. Very long urls are judged whole; empty tables give no rows. Null ids
+are kept; extra columns are ignored.
 """
 
 from __future__ import annotations

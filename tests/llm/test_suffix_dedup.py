@@ -51,6 +51,28 @@ def test_small_stretches_and_many_buckets(spark, monkeypatch):
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute(texts)
 
 
+def test_a_hot_line_meets_in_no_single_bucket(spark, monkeypatch):
+    """80 bytes shared by 5,000 texts between other words, in some with a whole repeated window; also in rows without id."""
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    line, tails = noise(80), [noise(30) for _ in range(5)]
+    texts = [noise(110) + line + (tails[i % 5] if i % 10 == 0 else "") + noise(60) for i in range(5000)] + ["ab" * 200]
+    want = brute(texts)
+    for least in (4000, 3):
+        monkeypatch.setattr(op, "HOT_LEAST", least)
+        got = rows_of(op.dedup(frame(spark, texts)))
+        assert {i: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for i, x in got.items()} == want
+    assert sum(w[1] > 0 for w in want.values()) > 400
+
+
+def test_rows_without_id_are_apart(spark):
+    a, b = words(60, 1), words(60, 2)
+    docs = spark.createDataFrame([(None, a + b), (None, a + b), (None, b), (1, a)], "doc_id long, text string")
+    got = sorted((x.doc_id is None, x.n_bytes, x.n_removed) for x in op.dedup(docs).collect())
+    n, m = len(a.encode()), len(b.encode())
+    assert got[0] == (False, n, 0) and sum(g[2] for g in got) in (2 * (n + m), 2 * n + m)  # a goes from both copies, b from one of the texts
+
+
 def test_long_texts_are_cut_without_loss(monkeypatch):
     text = words(3000, 1).encode()
     data = np.frombuffer(text, np.uint8)
