@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import hooks as H
+from . import retrieval as R
 from .lifecycle import is_free
 
 
@@ -25,3 +27,32 @@ def sections(results: DataFrame, order: list[str], most_chars: int = 20_000) ->
     rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     run = W.partitionBy("query_id").orderBy("_place", "rank", "text").rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn("chars", F.sum(F.length("text")).over(run)).where(F.col("chars") <= most_chars).drop("_place")
+
+
+def before_compaction(messages: DataFrame, most: int = 30, recent: int = 60, chars: int = 2000) -> DataFrame:
+    """The best `most` of each session's last `recent` messages of user and assistant by compaction score, the earlier of equals first."""
+    last = messages.withColumn("_back", F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("seq")))).where(F.col("_back") <= recent)
+    scored = last.where(F.col("role").isin("user", "assistant")).withColumn("score", H.compaction_score(F.col("text"))).where("score > 0")
+    best = W.partitionBy("session_id").orderBy(F.desc("score"), "seq")
+    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("session_id", "seq", "role", F.substring("text", 1, chars).alias("text"), "score", "place")
+
+
+def verified_facts_for(questions: DataFrame, facts: DataFrame, most: int = 2) -> DataFrame:
+    """query_id, key, hits: the verified facts (key, claim, stale) that hold most of a question's keywords (query_id, keywords)."""
+    rows = facts.where(~F.col("stale")).select("key", F.lower(F.concat_ws(" ", "key", F.coalesce("claim", F.lit("")))).alias("_t"))
+    few = questions.limit(10_001).count() <= 10_000
+    met = rows.join(F.broadcast(questions) if few else questions, F.exists("keywords", lambda k: F.contains("_t", k)))
+    hits = met.withColumn("hits", F.size(F.filter("keywords", lambda k: F.contains("_t", k))))
+    return R.top(hits.select("query_id", "key", "hits"), most, F.desc("hits"), F.asc("key"), name="place")
+
+
+def message_recall(messages: DataFrame, memories: DataFrame, now: float, most: int = 3, lesson_score: float = 0.20, general_score: float = 0.25) -> DataFrame:
+    """query_id, place, part, id: what a question in mid-conversation brings up: its lessons, then other memories, `most` in all.
+
+    messages: query_id, text. Only questions are searched, by up to five keywords; the two searches have their own least scores.
+    """
+    asked = messages.where(H.is_question(F.col("text"))).select("query_id", F.array_join(H.keywords(F.col("text")), " ").alias("q"), F.lit(None).cast("array<float>").alias("vector")).where("q <> ''")
+    lessons = R.search(memories, asked, now, most, lesson_score, memory_type="lesson").select("query_id", F.lit(0).alias("part"), "id", "rank")
+    general = R.search(memories, asked, now, most, general_score).select("query_id", F.lit(1).alias("part"), "id", "rank")
+    place = W.partitionBy("query_id").orderBy("part", "rank")
+    return lessons.unionByName(general).withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("query_id", "place", F.when(F.col("part") == 0, "lesson").otherwise("general").alias("part"), "id")

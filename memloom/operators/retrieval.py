@@ -18,6 +18,8 @@ RRF_K = 60
 WEIGHTS = {"semantic": 0.50, "keyword": 0.25, "recency": 0.10, "strength": 0.07, "importance": 0.08}
 TYPE_BONUS = {"lesson": 0.35 / 60, "fact": 0.002, "rule": 0.30 / 60, "preference": 0.20 / 60}
 BM25_K1, BM25_B = 1.2, 0.75
+#: Distinct words of a batch of queries up to which the texts are sifted by a list in the plan.
+WANTED_WORDS = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,9 +66,20 @@ BROADCAST_QUERIES = 10_000
 
 
 def _pairs(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """All rows with a vector against a stated batch of queries of the same size of vector."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    return rows.where("embedding IS NOT NULL").join(F.broadcast(queries) if few else queries, F.size("embedding") == F.size("vector"))
+    """All rows with a vector against a stated batch of queries of the same size of vector.
+
+    Beyond the bound of a broadcast, rows lie in blocks and queries in chunks, and each pair of those is a key of its own.
+    """
+    rows = rows.where("embedding IS NOT NULL")
+    same = F.size("embedding") == F.size("vector")
+    n = queries.limit(BROADCAST_QUERIES + 1).count()
+    if n <= BROADCAST_QUERIES:
+        return rows.join(F.broadcast(queries), same)
+    chunks, blocks = -(-queries.count() // BROADCAST_QUERIES), 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_chunk", every(chunks))
+    asked = queries.withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).withColumn("_block", every(blocks))
+    return dealt.join(asked, ["_block", "_chunk"]).where(same).drop("_block", "_chunk")
 
 
 def knn(memories: DataFrame, queries: DataFrame, k: int, metric: str = "l2", min_score: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -91,7 +104,12 @@ def bm25(memories: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] =
     words = words.withColumn("dl", F.size("ws"))
     totals = words.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = tokens.select("w").distinct()
-    tf = words.select("id", *by, "dl", F.explode("ws").alias("w")).join(wanted, "w").groupBy("w", *by, "id", "dl").agg(F.count("*").alias("tf"))
+    few = [r["w"] for r in wanted.limit(WANTED_WORDS + 1).collect()]
+    if len(few) <= WANTED_WORDS:  # a text's words are sifted before they become rows
+        each = words.select("id", *by, "dl", F.explode(F.filter("ws", lambda w: w.isin(few))).alias("w"))
+    else:
+        each = words.select("id", *by, "dl", F.explode("ws").alias("w")).join(wanted, "w")
+    tf = each.groupBy("w", *by, "id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("w", *by).agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
@@ -176,12 +194,15 @@ def rerank(results: DataFrame, weight: float = 0.22, top_k: int = 10, k: int = R
 
 
 def mmr(results: DataFrame, limit: int, lam: float = 0.7) -> DataFrame:
-    """Greedy selection of diverse results. results: query_id, id, score, rank, text (a bounded pool a query)."""
-    rows = results.select("query_id", "id", "score", "rank", T.rerank_tokens(F.substring("text", 1, 4000)).alias("tokens"))
+    """Greedy selection of diverse results. results: query_id, id, score, rank, text (a bounded pool a query).
+
+    A candidate is compared by all its words with the first 4,000 characters of what has been chosen.
+    """
+    rows = results.select("query_id", "id", "score", "rank", T.rerank_tokens(F.col("text")).alias("tokens"), T.rerank_tokens(F.substring("text", 1, 4000)).alias("head"))
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        tokens = [set(t) for t in pdf["tokens"]]
+        tokens, heads = [set(t) for t in pdf["tokens"]], [set(t) for t in pdf["head"]]
         score, left, chosen = pdf["score"].to_numpy(), list(range(len(pdf))), []
         closest = np.zeros(len(pdf))
         while left and len(chosen) < limit:
@@ -190,7 +211,7 @@ def mmr(results: DataFrame, limit: int, lam: float = 0.7) -> DataFrame:
             left.remove(best)
             for i in left:
                 if tokens[i]:
-                    closest[i] = max(closest[i], len(tokens[i] & tokens[best]) / len(tokens[i]))
+                    closest[i] = max(closest[i], len(tokens[i] & heads[best]) / len(tokens[i]))
         out = pdf.iloc[chosen][["query_id", "id", "score"]].copy()
         out["place"] = range(1, len(chosen) + 1)
         return out
@@ -198,6 +219,107 @@ def mmr(results: DataFrame, limit: int, lam: float = 0.7) -> DataFrame:
     return rows.groupBy("query_id").applyInPandas(select, "query_id long, id string, score double, place int")
 
 
+def mentioned_types(text: Column) -> Column:
+    """H3: the memory types that a query names."""
+    low, edge = F.lower(text), "[a-zçğıöşü0-9]"
+    named = lambda kind: low.rlike(f"(?<!{edge})(?:{'|'.join(T.P.TYPE_KEYWORDS[kind])})(?!{edge})")
+    return F.array_compact(F.array(*(F.when(named(k), F.lit(k)) for k in T.P.TYPE_KEYWORDS)))
+
+
+def type_candidates(memories: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """query_id, id: the most important live rows of each type that a query names (active lessons only)."""
+    asked = queries.select("query_id", F.explode(mentioned_types(F.col("q"))).alias("kind"))
+    rows = searchable(memories).withColumn("kind", F.coalesce("memory_type", F.lit("other"))).where(F.col("kind").isin(*T.P.TYPE_KEYWORDS) & ((F.col("kind") != "lesson") | (F.coalesce("lesson_status", F.lit("active")) == "active")))
+    best = top(rows.select("kind", "id", "importance", "created_at"), most, F.desc("importance"), F.desc("created_at"), F.asc("id"), by=("kind",))
+    return best.join(F.broadcast(asked) if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else asked, "kind").select("query_id", "id").distinct()
+
+
+def fact_memories(entities: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+    """query_id, entity_id, id, rank: the memories behind the latest facts of the entities asked for. entities: query_id, entity_id."""
+    known = facts.where("source_memory_id IS NOT NULL").join(entities, "entity_id")
+    return top(known.select("query_id", "entity_id", F.col("source_memory_id").alias("id"), "valid_from"), most, F.desc("valid_from"), F.asc("id"), by=("query_id", "entity_id")).drop("valid_from")
+
+
+def graph_candidates(memories: DataFrame, queries: DataFrame, entities: DataFrame, edges: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+    """H2: query_id, id: memories behind the entities that a query names.
+
+    Query entities meet entity names (10 a term, by mentions); the 10 of most edges stay; the memories of their facts come
+    first, then keyword hits on the entity's name and on its five surest edges' contexts, up to `most` in that order.
+    entities: id, name, mention_count; edges: source_id, target_id, confidence, created_at, context; facts: entity_id,
+    source_memory_id, valid_from.
+    """
+    terms = queries.select("query_id", F.explode(T.query_entities(F.col("q"))).alias("term"))
+    few = terms.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    named = entities.join(F.broadcast(terms) if few else terms, F.contains(F.lower("name"), F.lower("term")))
+    named = top(named, 10, F.desc("mention_count"), F.asc("id"), by=("query_id", "term")).select("query_id", F.col("id").alias("entity_id"), "name").distinct()
+    both = edges.select(F.col("source_id").alias("entity_id"), "confidence", "created_at", "context").unionAll(edges.where("source_id <> target_id").select("target_id", "confidence", "created_at", "context"))
+    degree = both.groupBy("entity_id").agg(F.count("*").alias("degree"))
+    chosen = top(named.join(degree, "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), 10, F.desc("degree"), F.asc("entity_id"), name="place")
+    first = fact_memories(chosen.select("query_id", "entity_id"), facts, most).join(chosen.select("query_id", "entity_id", "place"), ["query_id", "entity_id"]).select("query_id", "id", "place", F.lit(-1).alias("phrase"), "rank")
+    context = top(both.join(chosen.select("query_id", "entity_id", "place"), "entity_id").where("trim(context) <> ''"), 5, F.desc("confidence"), F.desc("created_at"), F.asc("context"), by=("query_id", "place"), name="phrase")
+    phrases = chosen.select("query_id", "place", F.lit(0).alias("phrase"), F.col("name").alias("q")).unionByName(context.select("query_id", "place", "phrase", F.substring(F.trim("context"), 1, 200).alias("q")))
+    phrases = phrases.withColumn("key", F.struct("query_id", "place", "phrase"))
+    hits = bm25(searchable(memories), phrases.select(F.col("key").alias("query_id"), "q"), most).select("query_id.query_id", "id", "query_id.place", "query_id.phrase", "rank")
+    order = ["place", "phrase", "rank", "id"]
+    every = first.unionByName(hits.select(*first.columns))
+    once = top(every, 1, *map(F.col, order), by=("query_id", "id"), name="_once")
+    return once.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where((F.col("_n") <= most) | (F.col("phrase") == -1)).select("query_id", "id")
+
+
+def search(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, min_score: float = 0.0, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, namespace: str | None = None, memory_type: str | None = None, time_range: tuple[float, float] | None = None, by_agent: bool = False, reranked: bool = True, pre_limit: int | None = None) -> DataFrame:
+    """H1, the whole search: query_id, id, score, tier, rank. queries: query_id, q, vector (null: keywords alone).
+
+    Candidates of vectors, keywords, types named (H3) and the graph (H2: entities, edges, facts) form one pool, cut by scope
+    (F3, F4) and time (F5); all lanes rank it and fuse (R1-R5), types add their bonus (H8); results below `min_score` go (F7);
+    `pre_limit` results (R6: more than `limit` where a reranker follows) are reranked (H5) and made diverse (R7).
+    by_agent: one search an agent; the agent is a further column, without reranking, for a merge to follow (H7).
+    """
+    by = ("agent",) if by_agent else ()
+    key = ["query_id", *by, "id"]
+    most = max(4 * limit, 20)
+    own = scoped(searchable(memories), namespace, memory_type)
+    inside = own if time_range is None else own.where(F.col("created_at").between(*time_range))
+    normal = queries.withColumn("q", T.normalize_query(F.col("q")))
+    semantic = knn(own, queries.where("vector IS NOT NULL").select("query_id", "vector"), most, by=by).select(*key, F.lit("semantic").alias("lane"), "rank")
+    keyword = bm25(own, normal.select("query_id", "q"), most, by=by).select(*key, F.lit("keyword").alias("lane"), "rank")
+    hits = semantic.unionByName(keyword)
+    if time_range is not None:  # what lies outside gives up its rank
+        hits = hits.join(inside.select("id"), "id", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("query_id", *by, "lane").orderBy("rank")))
+    columns = ["id", "agent", "memory_type", "created_at", "last_accessed_at", "strength", "importance", "text"]
+    ids = hits.select(*key)
+    extra = [] if memory_type is not None else [type_candidates(own, normal, most)]
+    extra += [] if graph is None else [graph_candidates(own, queries, *graph, most)]
+    for found in extra:
+        ids = ids.unionByName((found.join(own.select("id", "agent"), "id") if by_agent else found).select(*key))
+    pool = ids.distinct().join(inside.select(*columns), [*by, "id"])
+    scores = fuse(hits.unionByName(pool_lanes(pool, now, by)), by=by)
+    intent = F.lit(None).cast("string") if memory_type is not None else T.type_intent(F.col("q"))
+    scored = scores.join(pool.select(*key, "memory_type", "text"), key).join(normal.select("query_id", "q", intent.alias("intent")), "query_id")
+    scored = scored.withColumn("score", F.round(F.col("score") + type_bonus(F.col("memory_type"), F.col("intent")), 6)).where(F.col("score") >= min_score)
+    first = top(scored, max(limit, pre_limit or 0), F.desc("score"), F.asc("id"), by=("query_id", *by))
+    tier = T.confidence_tier(F.col("base") / 0.02).alias("tier")
+    if by_agent or not reranked:
+        return first.where(F.col("rank") <= limit).withColumn("base", F.col("score")).select(*key, "score", tier, "rank", "text", "q")
+    second = rerank(first.withColumn("base", F.col("score")))
+    chosen = mmr(second, limit).select("query_id", "id", F.col("place").alias("rank"))
+    return chosen.join(second.drop("rank"), ["query_id", "id"]).select("query_id", "id", "score", tier, "rank")
+
+
+def search_agents(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, weight: float = 0.20, top_k: int = 10, **scope) -> DataFrame:
+    """H7: query_id, agent, id, score, rank: every agent's whole search without reranking, merged by score, then reranked once.
+
+    The first `top_k` of the merged results are ranked anew by lexical overlap and fused with their order, without a gate.
+    """
+    found = search(memories, queries, now, limit, by_agent=True, **scope).drop("rank")
+    query = W.partitionBy("query_id")
+    merged = found.withColumn("_base", F.row_number().over(query.orderBy(F.desc("score"), "agent", "id"))).where(F.col("_base") <= limit * 4)
+    overlap = T.lexical_overlap(F.col("q"), F.col("text"))
+    ranked = merged.withColumn("_over", F.row_number().over(query.orderBy(F.when(F.col("_base") <= top_k, overlap).desc_nulls_last(), "_base")))
+    second = F.when(F.col("_base") <= top_k, weight / (RRF_K + F.col("_over"))).otherwise(F.lit(0.0))
+    fused = ranked.withColumn("score", F.round((1 - weight) / (RRF_K + F.col("_base")) + second, 8))
+    return top(fused, limit, F.desc("score"), F.asc("_base")).select("query_id", "agent", "id", "score", "rank")
+
+
 def within_budget(results: DataFrame, budget: int, by: str = "query_id", order: str = "rank") -> DataFrame:
     """The leading results whose estimated tokens fit the budget, at least the first; later ones don't slip in."""
     run = W.partitionBy(by).orderBy(order)

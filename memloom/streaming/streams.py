@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,20 +56,24 @@ def rate_limited(requests: DataFrame, most: int = 120, seconds: int = 60) -> Dat
 
 
 def accepted_in_batch(requests: DataFrame, most: int = 120, seconds: int = 60) -> DataFrame:
-    """X3's batch twin: the same rule over each key's whole history."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        pdf = pdf.sort_values("ts")
-        for t in pdf["ts"]:
-            now = t.timestamp()
-            kept = [x for x in kept if now - x < seconds]
-            if ok := len(kept) < most:
-                kept.append(now)
-            out.append(ok)
-        return pd.DataFrame({"key": pdf["key"], "ts": pdf["ts"], "accepted": out})
-
-    return requests.groupBy("key").applyInPandas(run, "key long, ts timestamp, accepted boolean")
+    """X3's batch twin: the same rule. Requests stream through in the order of key and time; only a window's accepted ones are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept = None, deque()
+        for pdf in batches:
+            out = []
+            for key, t in zip(pdf["key"], pdf["ts"], strict=True):
+                if current != (key,):
+                    current, kept = (key,), deque()
+                now = t.timestamp()
+                while kept and now - kept[0] >= seconds:
+                    kept.popleft()
+                if ok := len(kept) < most:
+                    kept.append(now)
+                out.append(ok)
+            yield pdf[["key", "ts"]].assign(accepted=out)
+
+    return requests.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, "key long, ts timestamp, accepted boolean")
 
 
 def scores(events: DataFrame, hours: int = 24) -> DataFrame:
