@@ -349,7 +349,7 @@ def search(vectors: DataFrame, is_query, k: int = K, target: float = TARGET_RECA
 
     spark = vectors.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = written(asked.repartition(spread, "vec_id").mapInPandas(route, "unit long, query_id long, q array<double>, cut double"), "ann-routed")
+    routed = written(asked.repartition(spread).mapInPandas(route, "unit long, query_id long, q array<double>, cut double"), "ann-routed")
     chunks = routed.groupBy("unit").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("chunks"))
     points = indexed.mapInPandas(deal, "unit long, vec_id long, v array<double>, leaf long").join(chunks, "unit")
     points = points.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
