@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoints
 from .lifecycle import is_free, live
 
 BLOCK_ROWS = 4096
@@ -52,11 +54,7 @@ def similar_links(rows: DataFrame, same: float, other: float, neighbours: int =
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     """node, root: smallest id reachable. Label propagation with pointer jumping; each round cuts its lineage by checkpoint()."""
-    spark = links.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-"))
+    shared_checkpoints(links.sparkSession)
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")).checkpoint()
     for _ in range(rounds):
@@ -92,38 +90,137 @@ def consolidate(df: DataFrame, same: float = 0.82, other: float = 0.92) -> DataF
     return merge_clusters(rows, components(similar_links(rows, same, other)))
 
 
+def _grouped(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """Links that join all rows of the block whose arrivals lie within the radius of each other or of stored rows: a tree a component."""
+    found: list[tuple[str, str]] = []
+    size = pdf["embedding"].str.len()
+    for _, part in pdf.groupby(size):
+        a, b = part[part["asks"]], part[~part["asks"]]
+        if not len(a) or not len(b):
+            continue
+        x, y = np.array(a["embedding"].tolist(), float), np.array(b["embedding"].tolist(), float)
+        near = np.zeros((len(a), len(b)), bool)
+        for at in range(0, len(a), 512):
+            part_x = x[at : at + 512]
+            near[at : at + 512] = (part_x * part_x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * part_x @ y.T <= radius * radius + 1e-6
+        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+        new_a, new_b = np.ones(len(a), bool), np.ones(len(b), bool)
+        for start in range(len(a)):
+            todo = [start] if new_a[start] else []
+            new_a[start] = False
+            while todo:
+                reached = near[todo.pop()] & new_b
+                new_b &= ~reached
+                for j in np.flatnonzero(reached):
+                    found.append((ids[start], others[j]))
+                    more = near[:, j] & new_a
+                    new_a &= ~more
+                    todo.extend(np.flatnonzero(more))
+                    found.extend((ids[start], ids[i]) for i in np.flatnonzero(more))
+    return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["a", "b"])
+
+
+def possible_partners(rows: DataFrame, radius: float) -> DataFrame:
+    """a, b: links whose components hold every two rows of an agent and namespace that merge_or_store could bring together.
+
+    Arrivals meet all rows in bounded blocks (each block pair is one group); a block's links are a tree a component, not
+    all pairs, so copies cost a link each.
+    """
+    asks = ~F.col("_old") & (F.coalesce("memory_type", F.lit("")) != "lesson")
+    slim = rows.where((F.size("embedding") > 0) & (asks | (F.coalesce("importance", F.lit(1.0)) >= 0.05)))
+    slim = slim.select(F.xxhash64(F.coalesce("agent", F.lit("")), F.coalesce("namespace", F.lit(""))).alias("g"), "id", "embedding", asks.alias("asks"))
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    counts = slim.groupBy("g").agg(blocks(F.count("*")).alias("blocks"), blocks(F.count_if("asks")).alias("calls")).where("calls > 0")
+    near = slim.join(counts, "g")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = near.where("asks").select("g", own("calls").alias("call"), every("blocks").alias("block"), "id", "embedding", "asks")
+    asked = near.select("g", every("calls").alias("call"), own("blocks").alias("block"), "id", "embedding", F.lit(False).alias("asks"))
+    return asking.unionByName(asked).groupBy("g", "call", "block").applyInPandas(lambda pdf: _grouped(pdf, radius), "a string, b string")
+
+
 def merge_or_store(existing: DataFrame, arrivals: DataFrame, threshold: float = 0.85) -> DataFrame:
     """V4: arrivals in order of (created_at, id) join the nearest row of their agent and namespace, or are stored.
 
-    Order matters, so an (agent, namespace) is one group; columns id, agent, namespace, category, text, embedding,
-    importance, strength, created_at, memory_type.
+    Columns id, agent, namespace, category, text, embedding, importance, strength, created_at, memory_type. Of equally near
+    rows the first takes it: stored ones by (created_at, id), then arrivals as they came. Ids are unique over both inputs.
+
+    A merge moves a row's vector halfway to the arrival, so it always lies within half the reach of the last one merged.
+    Rows that no chain of steps of 1.5 times the reach connects thus never meet: only such components are folded in order,
+    streamed by task, and the fold holds vectors, no texts. All other rows pass untouched. Texts are joined afterwards, by
+    row. An empty side, null or empty vectors and null importance (kept as a partner) are fine; a null strength counts as 1.
     """
+    reach = 2 * (1 - threshold)
     columns = ["id", "agent", "namespace", "category", "memory_type", "text", "embedding", "importance", "strength", "created_at"]
-    schema = existing.select(*columns).schema.add("merged", "integer")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        stored = pdf[pdf["_old"]].to_dict("records")
-        for r in stored:
-            r["merged"] = 0
-        for r in pdf[~pdf["_old"]].sort_values(["created_at", "id"]).to_dict("records"):
-            best, best_sim = None, -1.0
-            if r["embedding"] is not None and r["memory_type"] != "lesson":
-                v = np.asarray(r["embedding"], float)
-                for s in stored:
-                    if s["embedding"] is None or s["importance"] < 0.05 or len(s["embedding"]) != len(v):
-                        continue
-                    sim = 1 - float(np.linalg.norm(np.asarray(s["embedding"], float) - v)) / 2
-                    if sim > best_sim:
-                        best, best_sim = s, sim
-            if best is not None and best_sim >= threshold and best["category"] == r["category"]:
-                best["text"] = best["text"].rstrip() + "\n• " + r["text"].strip()
-                best["embedding"] = (np.asarray(best["embedding"], float) + v) / 2
-                best["importance"] = max(best["importance"], r["importance"])
-                best["strength"] = min(best["strength"] + 0.2, 5.0)
-                best["merged"] += 1
-            else:
-                stored.append(r | {"merged": 0})
-        return pd.DataFrame(stored)[[*columns, "merged"]]
-
     both = existing.select(*columns, F.lit(True).alias("_old")).unionByName(arrivals.select(*columns, F.lit(False).alias("_old")))
-    return both.groupBy("agent", "namespace").applyInPandas(fold, schema)
+    roots = components(possible_partners(both, 1.5 * reach))
+    rooted = both.join(roots, both["id"] == roots["node"], "left").drop("node").withColumn("_tail", F.lit(None).cast("string"))
+    schema = rooted.schema.add("_place", "long").add("_target", "long")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, vectors = None, {}
+        for pdf in batches:
+            place, target, vector, text, tail = [], [], [], [], []
+            for r in pdf.itertuples(index=False, name=None):
+                r = dict(zip(pdf.columns, r, strict=True))
+                if current != (key := (r["agent"], r["namespace"], r["root"])):
+                    current, vectors, n = key, {}, 0
+                v = None if r["embedding"] is None or not len(r["embedding"]) else np.asarray(r["embedding"], float)
+                mine, out = None if v is None else vectors.setdefault(len(v), _Stored(len(v))), None
+                if mine and not r["_old"] and r["memory_type"] != "lesson":
+                    out = mine.nearest(v, threshold, r["category"])
+                if out is not None:
+                    v = mine.move(out, v)
+                    words = "\n• " + (r["text"] or "").strip()
+                    at = mine.places[out]
+                else:
+                    words, at = r["text"], n
+                    if mine and not (r["importance"] is not None and r["importance"] < 0.05):
+                        mine.add(v, n, r["category"])
+                place.append(n)
+                target.append(at)
+                vector.append(r["embedding"] if out is None else v)
+                text.append(None if words is None else words.rstrip())
+                tail.append(None if words is None else words[len(words.rstrip()) :])
+                n += 1
+            yield pdf.assign(embedding=vector, text=text, _tail=tail, _place=place, _target=target)
+
+    key = ["agent", "namespace", "root"]
+    together = rooted.where("root IS NOT NULL").repartition(*key).sortWithinPartitions(*key, F.desc("_old"), "created_at", "id").mapInPandas(fold, schema)
+    first = lambda c: F.min_by(c, "_place").alias(c)
+    pieces = F.array_sort(F.collect_list(F.struct("_place", "text")))
+    merged = together.groupBy(*key, "_target").agg(
+        *[first(c) for c in ("id", "category", "memory_type", "created_at")],
+        F.concat(F.array_join(F.transform(pieces, lambda p: p["text"]), ""), F.max_by("_tail", "_place")).alias("text"),
+        F.max_by("embedding", "_place").alias("embedding"), F.max("importance").alias("importance"), (F.count("*") - 1).cast("int").alias("merged"),
+        F.min_by(F.coalesce("strength", F.lit(1.0)), "_place").alias("strength"),
+    )
+    merged = merged.withColumn("strength", F.when(F.col("merged") > 0, F.least(F.col("strength") + 0.2 * F.col("merged"), F.lit(5.0))).otherwise(F.col("strength")))
+    alone = rooted.where("root IS NULL").select(*columns, F.lit(0).alias("merged"))
+    return alone.unionByName(merged.select(*columns, "merged"))
+
+
+class _Stored:
+    """The vectors of one length that the rows stored so far hold, in the order in which they came."""
+
+    def __init__(self, length: int):
+        self.rows, self.n, self.places, self.categories = np.empty((16, length)), 0, [], []
+
+    def add(self, v: np.ndarray, place: int, category: str) -> None:
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.n] = v
+        self.n += 1
+        self.places.append(place)
+        self.categories.append(category)
+
+    def nearest(self, v: np.ndarray, threshold: float, category: str) -> int | None:
+        if not self.n:
+            return None
+        sim = np.nan_to_num(1 - np.sqrt(((self.rows[: self.n] - v) ** 2).sum(1)) / 2, nan=-np.inf)
+        best = int(sim.argmax())
+        return best if sim[best] >= threshold and self.categories[best] == category else None
+
+    def move(self, at: int, v: np.ndarray) -> np.ndarray:
+        self.rows[at] = (self.rows[at] + v) / 2
+        return self.rows[at].copy()

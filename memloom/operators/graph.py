@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
+import sys
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -174,35 +177,90 @@ def conflict_groups(facts: DataFrame) -> DataFrame:
     return active.groupBy("entity_id", "relation_type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("object_value")), "|").alias("held")).where("n > 1")
 
 
+class _Active:
+    """Active facts of one key in their order, with the least mark (confidence and margin) over any stretch of them.
+
+    A tree of stretches: each holds its least mark, that one's value, and the least mark among its other values, so the
+    first fact of another value below a mark is found in logarithmic time. Closed facts are dropped when the tree is full.
+    """
+
+    NONE = (math.inf, None, math.inf)
+
+    def __init__(self, kept: list[tuple] = (), size: int = 16):
+        self.size, self.facts = size, list(kept)
+        self.tree = [self.NONE] * (2 * size)
+        for i, (_, value, mark) in enumerate(self.facts):
+            self.tree[size + i] = (mark, value, math.inf)
+        for i in range(size - 1, 0, -1):
+            self.tree[i] = self._both(self.tree[2 * i], self.tree[2 * i + 1])
+
+    @staticmethod
+    def _both(a: tuple, b: tuple) -> tuple:
+        if b[0] < a[0]:
+            a, b = b, a
+        return (a[0], a[1], min(a[2], b[2] if b[1] == a[1] else b[0]))
+
+    def _set(self, i: int, node: tuple) -> None:
+        i += self.size
+        self.tree[i] = node
+        while i := i // 2:
+            self.tree[i] = self._both(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def first(self, value: str | None, below: float) -> int | None:
+        holds = lambda t: (t[0] if t[1] != value else t[2]) < below
+        if not holds(self.tree[1]):
+            return None
+        i = 1
+        while i < self.size:
+            i = 2 * i if holds(self.tree[2 * i]) else 2 * i + 1
+        return i - self.size
+
+    def add(self, place: int, value: str | None, mark: float) -> None:
+        if len(self.facts) == self.size:
+            kept = [f for f in self.facts if f is not None]
+            self.__init__(kept, self.size * 2 if 2 * len(kept) > self.size else self.size)
+        self.facts.append((place, value, mark))
+        self._set(len(self.facts) - 1, (mark, value, math.inf))
+
+    def close(self, i: int) -> int:
+        place, self.facts[i] = self.facts[i][0], None
+        self._set(i, self.NONE)
+        return place
+
+
 def fold_conflicts(facts: DataFrame, margin: float = 0.20) -> DataFrame:
     """Facts of an entity and relation in order of (valid_from, id): a differing fact closes the first active one
     that it beats by more than the margin; meeting one that it doesn't beat flags it. Adds active, closed_by, flagged.
 
-    Only exclusive relations fold; others pass. Groups are the facts of one entity and relation.
+    Only exclusive relations fold; others pass. Rows stream through in the order of their key; a task holds the active facts
+    of one key, as numbers. What closes a fact is joined to it by an aggregation on its place, which spreads a hot key.
+    A null confidence neither beats nor is beaten; null values equal each other.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["valid_from", "id"]).reset_index(drop=True)
-        active: list[int] = []
-        closed, flagged = [None] * len(pdf), [False] * len(pdf)
-        for i, row in pdf.iterrows():
-            for j in list(active):
-                if str(pdf.at[j, "object_value"]).lower() == str(row["object_value"]).lower():
-                    continue
-                if row["confidence"] > pdf.at[j, "confidence"] + margin:
-                    closed[j] = row["id"]
-                    active.remove(j)
-                    break
-                flagged[i] = True
-            active.append(i)
-        pdf["active"] = [c is None for c in closed]
-        pdf["closed_by"] = pd.array(closed, dtype="Int64")
-        pdf["flagged"] = flagged
-        return pdf[["id", "entity_id", "relation_type", "object_value", "active", "closed_by", "flagged"]]
-
-    exclusive = facts.where(F.col("relation_type").isin(P.EXCLUSIVE_RELATIONS)).select("id", "entity_id", "relation_type", "object_value", "confidence", "valid_from")
-    folded = exclusive.groupBy("entity_id", "relation_type").applyInPandas(fold, "id long, entity_id string, relation_type string, object_value string, active boolean, closed_by long, flagged boolean")
-    rest = facts.where(~F.col("relation_type").isin(P.EXCLUSIVE_RELATIONS)).select("id", "entity_id", "relation_type", "object_value", F.lit(True).alias("active"), F.lit(None).cast("long").alias("closed_by"), F.lit(False).alias("flagged"))
+    key = ["entity_id", "relation_type"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, active, codes, n = None, _Active(), {}, 0
+        for pdf in batches:
+            out = []
+            for id, entity, relation, held, confidence in zip(*(pdf[c] for c in ("id", *key, "object_value", "confidence")), strict=True):
+                if current != (entity, relation):
+                    current, active, codes, n = (entity, relation), _Active(), {}, 0
+                value = codes.setdefault(held.lower() if held is not None else None, len(codes))
+                known = confidence is not None and confidence == confidence
+                met, beaten = active.first(value, math.inf), active.first(value, confidence) if known else None
+                if beaten is not None:
+                    out.append((None, entity, relation, active.close(beaten), None, None, id))
+                out.append((id, entity, relation, n, held, met != beaten, None))
+                active.add(n, value, confidence + margin if known else sys.float_info.max)
+                n += 1
+            yield pd.DataFrame(out, columns=["id", *key, "place", "object_value", "flagged", "closed_by"]).astype({"id": "Int64", "closed_by": "Int64", "flagged": "boolean"})
+
+    exclusive = facts.where(F.col("relation_type").isin(P.EXCLUSIVE_RELATIONS)).select("id", *key, "object_value", "confidence", "valid_from")
+    ordered = exclusive.repartition(*key).sortWithinPartitions(*key, "valid_from", "id", "object_value", "confidence")
+    events = ordered.mapInPandas(fold, "id long, entity_id string, relation_type string, place long, object_value string, flagged boolean, closed_by long")
+    folded = events.groupBy(*key, "place").agg(*[F.max(c).alias(c) for c in ("id", "object_value", "flagged", "closed_by")])
+    folded = folded.select("id", *key, "object_value", F.col("closed_by").isNull().alias("active"), "closed_by", "flagged")
+    rest = facts.where(~F.col("relation_type").isin(P.EXCLUSIVE_RELATIONS)).select("id", *key, "object_value", F.lit(True).alias("active"), F.lit(None).cast("long").alias("closed_by"), F.lit(False).alias("flagged"))
     return folded.unionByName(rest)
 
 

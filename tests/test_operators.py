@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -111,6 +112,57 @@ def test_merge_or_store(spark):
     assert got["o"].text == "old\n• new" and got["o"].importance == 0.9 and got["o"].strength == 1.2 and got["o"].merged == 1
 
 
+def plain_merge(old, new, threshold):
+    """Every arrival against every stored row."""
+    stored = [dict(r, merged=0) for r in sorted(old, key=lambda r: (r["created_at"], r["id"]))]
+    for r in sorted(new, key=lambda r: (r["created_at"], r["id"])):
+        best, most = None, threshold
+        for s in stored if r["embedding"] is not None and r["memory_type"] != "lesson" else []:
+            if s["embedding"] is None or s["importance"] < 0.05 or (s["agent"], s["namespace"]) != (r["agent"], r["namespace"]) or len(s["embedding"]) != len(r["embedding"]):
+                continue
+            sim = 1 - float(np.sqrt(((np.array(s["embedding"]) - np.array(r["embedding"])) ** 2).sum())) / 2
+            if sim > most or best is None and sim == most:
+                best, most = s, sim
+        if best is not None and best["category"] == r["category"]:
+            best["text"] = best["text"].rstrip() + "\n• " + r["text"].strip()
+            best["embedding"] = (np.array(best["embedding"]) + np.array(r["embedding"])) / 2
+            best["importance"], best["strength"], best["merged"] = max(best["importance"], r["importance"]), min(best["strength"] + 0.2, 5.0), best["merged"] + 1
+        else:
+            stored.append(dict(r, merged=0))
+    return stored
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_or_store_against_every_pair(spark, monkeypatch, seed):
+    monkeypatch.setattr(C, "BLOCK_ROWS", 7)
+    rng = random.Random(seed)
+    names = SCHEMA.replace(",", " ").split()[::2]
+
+    def some(id):
+        centre = rng.choice([(1.0, 0.0, 0.0), (0.8, 0.4, 0.0), (0.0, 1.0, 0.0)])
+        vector = rng.choice([None, [1.0, 0.0], [0.5, 0.5, 0.5], *[[float(np.float32(c + rng.gauss(0, 0.12))) for c in centre] for _ in range(7)]])
+        return memory(id, embedding=vector, agent=rng.choice("ab"), namespace=rng.choice(["x", "y"]), category=rng.choice(["user", "user", "other"]), memory_type=rng.choice(["fact", "fact", "fact", "lesson", None]), importance=rng.choice([0.01, 0.3, 0.8]), strength=rng.choice([1.0, 4.9]), created_at=float(rng.randrange(20)), text=rng.choice(["t ", " u", "", "v\n"]) + id)
+
+    old, new = [some(f"o{i}") for i in range(60)], [some(f"n{i}") for i in range(60)]
+    want = {r["id"]: r for r in plain_merge([dict(zip(names, r)) for r in old], [dict(zip(names, r)) for r in new], 0.85)}
+    got = {r.id: r for r in C.merge_or_store(frame(spark, *old), frame(spark, *new)).collect()}
+    assert set(got) == set(want) and sum(r.merged for r in got.values()) > 10
+    for id, r in got.items():
+        w = want[id]
+        assert (r.text, r.merged, r.importance, r.category) == (w["text"], w["merged"], w["importance"], w["category"])
+        assert r.strength == pytest.approx(w["strength"])
+        assert r.embedding is w["embedding"] or r.embedding == pytest.approx(list(w["embedding"]), abs=1e-6)
+
+
+def test_merge_or_store_of_copies_and_empty_sides(spark):
+    many = frame(spark, *[memory(f"n{i:03}", embedding=[1.0, 0.0], text=None if i == 0 else "x") for i in range(200)])
+    nothing = many.limit(0)
+    got = C.merge_or_store(nothing, many).collect()
+    assert [(r.id, r.merged) for r in got] == [("n000", 199)] and got[0].text.count("x") == 199
+    assert C.merge_or_store(many, nothing).count() == 200 and C.merge_or_store(nothing, nothing).count() == 0
+    assert {r.text for r in C.merge_or_store(many.where("id < 'n002'"), nothing).collect()} == {None, "x"}
+
+
 def test_consolidation(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_ROWS", 2)
     df = frame(spark, memory("a", embedding=[1.0, 0.0], importance=0.2, created_at=1.0), memory("b", embedding=[1.0, 0.1], importance=0.8, created_at=2.0), memory("c", embedding=[1.0, 0.2], created_at=3.0), memory("far", embedding=[-1.0, 0.0]), memory("pin", embedding=[1.0, 0.0], pinned=True))
@@ -126,6 +178,28 @@ def test_conflicts(spark):
     assert got == {1: (False, 2, False), 2: (True, None, False), 3: (True, None, True), 4: (True, None, True), 5: (True, None, False)}
 
 
+def test_conflicts_of_one_key_against_a_plain_loop(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["e", "e", "e", None]), "status", rng.choice(["a", "A", "b", "c", None]), rng.choice([None, *[x / 10 for x in range(11)]]), i) for i in range(400)]
+    want = {}
+    for entity in ("e", None):
+        active = []
+        for id, _, _, value, confidence, _ in (r for r in rows if r[1] == entity):
+            want[id] = [True, None, False]
+            for j, v, c in list(active):
+                if (v or "").lower() == (value or "").lower():
+                    continue
+                if confidence is not None and c is not None and confidence > c + 0.2:
+                    want[j][:2] = [False, id]
+                    active.remove((j, v, c))
+                    break
+                want[id][2] = True
+            active.append((id, value, confidence))
+    df = spark.createDataFrame(rows, "id long, entity_id string, relation_type string, object_value string, confidence double, valid_from int")
+    assert {r.id: [r.active, r.closed_by, r.flagged] for r in G.fold_conflicts(df).collect()} == want
+    assert G.fold_conflicts(df.limit(0)).count() == 0
+
+
 def test_entities_and_relations(spark):
     df = frame(spark, memory("1", text="Ayşe Yılmaz met Bob Stone in Berlin on 2024-01-02; mail a@b.co; Ayşe Yılmaz uses docker, not dockerx"))
     got = {(r.label, r.key) for r in G.entities(df).collect()}
