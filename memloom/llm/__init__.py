@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("license_scan", "source_mix", "pii", "bit_sliced", "kmeans_tree", "simhash", "bpe", "toxicity", "url_filter", "suffix_dedup")
+MODULES = ("license_scan", "source_mix", "pii", "bit_sliced", "kmeans_tree", "simhash", "bpe", "toxicity", "url_filter", "suffix_dedup", "hard_negatives", "quality", "whitening")
 
 
 def _modules():
