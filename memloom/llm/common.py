@@ -14,13 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset in a local session (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir or set on the context; only a local session without either (tests) gets one of its own."""
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = f"file://{tempfile.mkdtemp(prefix='memloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-"))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
 
 
