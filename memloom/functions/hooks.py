@@ -134,6 +134,24 @@ NOT_ASKED = [
     r"^\[cron:",
 ]
 STOP_WORDS = ["bir", "bu", "şu", "o", "ve", "ile", "için", "mi", "mu", "mı", "mü", "var", "yok", "ne", "nasıl", "nerede", "neden", "hangi", "kaç", "the", "a", "an", "is", "are", "does", "do", "have", "has", "can", "what", "where", "how", "when", "which", "who", "in", "on", "at", "to", "for", "with", "from", "by", "of", "it", "this", "that", "we", "you", "they", "our", "your", "my", "its", "mevcut", "destekliyor", "çalışıyor", "kullanıyor", "aktif", "running", "working", "supported", "enabled", "available"]
+# Words that searches leave out.
+SEARCH_STOP_WORDS = [
+    "ve", "bir", "bu", "da", "de", "ile", "için", "icin", "o", "çok", "cok",
+    "gibi", "var", "yok", "ne", "ben", "sen", "biz", "siz", "onlar", "ama",
+    "ki", "mi", "mu", "mı", "mü", "ya", "hem", "daha", "en", "her",
+    "şu", "su", "şey", "sey", "olan", "olarak", "oldu", "olur", "olmuş",
+    "bunu", "buna", "bunun", "şunu", "sunu", "onun", "ona",
+    "benim", "senin", "bizim", "sizin", "onların", "ise", "kadar",
+    "sonra", "önce", "once", "ayrıca", "ayrica", "fakat",
+    "üzere", "uzere", "göre", "gore", "bile",
+    "ancak", "dolayı", "dolayi", "rağmen", "ragmen", "çünkü", "cunku",
+    "eğer", "eger", "hatta", "üstelik", "ustelik",
+    "the", "a", "an", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "can", "to", "of",
+    "in", "for", "on", "with", "at", "by", "from", "it", "this",
+    "that", "and", "or", "but", "if", "not", "so", "very",
+]
 # Mood and unfinished work.
 FRUSTRATED = [r"sinirlendim|kızdığım|aptal|neden yapmadın|neden yapmıyorsun|tekrar mı|yine mi|frustrated|annoyed|useless"]
 POSITIVE = [r"tamam güzel|harika|süper|mükemmel|great|perfect|awesome|güzel olmuş"]
@@ -275,7 +293,8 @@ def temporal_range(text: str, now: datetime) -> tuple[datetime, datetime] | None
 
 
 def search_tokens(text: Column, distinct: bool = True) -> Column:
-    """Folded lower-case words without stop words (lemmas need a library that is absent)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    kept = F.filter(F.transform(words, T.ascii_fold), lambda w: ~w.isin([w.translate(str.maketrans("çğıöşü", "cgiosu")) for w in STOP_WORDS]))
+    """Words of the lower-cased text, then of its folded copy, beyond one character and without stop words (lemmas need a library that is absent)."""
+    low = F.lower(text)
+    words = F.regexp_extract_all(F.concat_ws(" ", low, T.ascii_fold(low)), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
+    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(SEARCH_STOP_WORDS))
     return F.array_distinct(kept) if distinct else kept

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoints
+from ..session import shared_checkpoints, written
+from . import metric
 from .lifecycle import is_free, live
 
+#: Rows of a block and of a chunk that meet in one task.
 BLOCK_ROWS = 4096
 
 
@@ -25,31 +26,46 @@ def candidates(df: DataFrame) -> DataFrame:
 def similar_links(rows: DataFrame, same: float, other: float, neighbours: int = 6) -> DataFrame:
     """A, b, sim: links among each row's nearest (itself included), above the threshold of equal or differing category.
 
-    Exact blocked comparison: rows are dealt into bounded blocks, each row meets each block once, and only its nearest of
-    the block leave the task. The l2 form 1 - d / 2 of unit or other vectors is used throughout.
+    A similarity join within the radius of the lower threshold, by pivots (see metric): exact, and blocks out of reach are never
+    built. Equal vectors ask once and answer with their first ids, of which no row can have more among its nearest; so a vector that
+    many rows share costs each of them only its links. The l2 form 1 - d / 2 of unit or other vectors is used throughout.
     """
-    n = rows.count()
-    blocks = max(1, math.ceil(n / BLOCK_ROWS))
-    slim = rows.select("id", "category", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = slim.select("id", "category", "embedding", "own", every.alias("block"), F.lit(True).alias("asks"))
-    asked = slim.select("id", "category", "embedding", every.alias("own_"), F.col("own").alias("block"), F.lit(False).alias("asks")).withColumnRenamed("own_", "own")
+    slim = metric.finite(rows.select("id", "category", "embedding"))
+    first = slim.withColumn("_r", F.row_number().over(W.partitionBy("embedding").orderBy("id"))).where(F.col("_r") <= neighbours)
+    vectors = first.groupBy("embedding").agg(F.min("id").alias("id"), F.sort_array(F.collect_list(F.struct("id", "category"))).alias("held"))
+    vectors = written(vectors, "vectors")
+    dealt = metric.blocks(vectors.withColumns({"asks": F.lit(True), "answers": F.lit(True)}), similar_radius(same, other), block_rows=BLOCK_ROWS)
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "sim": [], "alike": []})
+            return pd.DataFrame({"key": [], "b": [], "sim": [], "category": []})
         x, y = np.array(a["embedding"].tolist(), float), np.array(b["embedding"].tolist(), float)
+        times = b["held"].str.len().to_numpy()
+        ids = np.array([h["id"] for held in b["held"] for h in held], object)
+        kinds = np.array([h["category"] for held in b["held"] for h in held], object)
+        order = np.argsort(ids, kind="stable")
+        of = np.repeat(np.arange(len(b)), times)[order]
         d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
         sim = np.round(1 - d / 2, 4)
-        near = np.argsort(-sim, axis=1, kind="stable")[:, :neighbours]
-        rows, cols = np.repeat(np.arange(len(a)), near.shape[1]), near.ravel()
-        same_category = a["category"].to_numpy()[rows] == b["category"].to_numpy()[cols]
-        return pd.DataFrame({"a": a["id"].to_numpy()[rows], "b": b["id"].to_numpy()[cols], "sim": sim[rows, cols], "alike": same_category})
+        out = []
+        for i, key in enumerate(a["id"]):
+            mine = sim[i][of]
+            at = np.flatnonzero(mine >= min(same, other))
+            at = at[np.argsort(-mine[at], kind="stable")[:neighbours]]
+            out += [(key, ids[order[j]], mine[j], kinds[order[j]]) for j in at]
+        return pd.DataFrame(out, columns=["key", "b", "sim", "category"])
 
-    pairs = asking.unionByName(asked).groupBy("own", "block").applyInPandas(nearest, "a string, b string, sim double, alike boolean")
-    best = pairs.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= neighbours)
-    return best.where((F.col("a") != F.col("b")) & (F.col("sim") >= F.when(F.col("alike"), F.lit(same)).otherwise(F.lit(other)))).select("a", "b", "sim")
+    pairs = dealt.groupBy("cell", "ring", "sub", "chunk").applyInPandas(nearest, "key string, b string, sim double, category string")
+    best = pairs.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= neighbours)
+    members = slim.join(vectors.select("embedding", F.col("id").alias("key")), "embedding").select("key", F.col("id").alias("a"), F.col("category").alias("own"))
+    met = members.join(best, "key").where(F.col("a") != F.col("b"))
+    return met.where(F.col("sim") >= F.when(F.col("own") == F.col("category"), F.lit(same)).otherwise(F.lit(other))).select("a", "b", "sim")
+
+
+def similar_radius(same: float, other: float) -> float:
+    """The distance beyond which no rounded similarity reaches a threshold."""
+    return 2 * (1 - min(same, other)) + 2e-4
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:
@@ -123,20 +139,14 @@ def _grouped(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
 def possible_partners(rows: DataFrame, radius: float) -> DataFrame:
     """a, b: links whose components hold every two rows of an agent and namespace that merge_or_store could bring together.
 
-    Arrivals meet all rows in bounded blocks (each block pair is one group); a block's links are a tree a component, not
-    all pairs, so copies cost a link each.
+    Arrivals meet the rows within the radius in bounded blocks by pivots (see metric); a block's links are a tree a component,
+    not all pairs, so copies cost a link each.
     """
     asks = ~F.col("_old") & (F.coalesce("memory_type", F.lit("")) != "lesson")
-    slim = rows.where((F.size("embedding") > 0) & (asks | (F.coalesce("importance", F.lit(1.0)) >= 0.05)))
-    slim = slim.select(F.xxhash64(F.coalesce("agent", F.lit("")), F.coalesce("namespace", F.lit(""))).alias("g"), "id", "embedding", asks.alias("asks"))
-    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-    counts = slim.groupBy("g").agg(blocks(F.count("*")).alias("blocks"), blocks(F.count_if("asks")).alias("calls")).where("calls > 0")
-    near = slim.join(counts, "g")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = near.where("asks").select("g", own("calls").alias("call"), every("blocks").alias("block"), "id", "embedding", "asks")
-    asked = near.select("g", every("calls").alias("call"), own("blocks").alias("block"), "id", "embedding", F.lit(False).alias("asks"))
-    return asking.unionByName(asked).groupBy("g", "call", "block").applyInPandas(lambda pdf: _grouped(pdf, radius), "a string, b string")
+    answers = asks | (F.coalesce("importance", F.lit(1.0)) >= 0.05)
+    slim = rows.select(F.xxhash64(F.coalesce("agent", F.lit("")), F.coalesce("namespace", F.lit(""))).alias("g"), "id", "embedding", asks.alias("asks"), answers.alias("answers"))
+    dealt = metric.blocks(slim.where("asks OR answers"), radius, ("g",), BLOCK_ROWS)
+    return dealt.groupBy("g", "cell", "ring", "sub", "chunk").applyInPandas(lambda pdf: _grouped(pdf, radius), "a string, b string")
 
 
 def merge_or_store(existing: DataFrame, arrivals: DataFrame, threshold: float = 0.85) -> DataFrame:

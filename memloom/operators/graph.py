@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from .retrieval import match_terms
 
 
 def _named(names: Column, label: str, confidence: float) -> Column:
@@ -272,6 +273,5 @@ def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def match_names(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """Terms (query_id, term) and entities (id, name) whose name contains the term; names meet a stated batch of terms."""
-    few = terms.limit(10_001).count() <= 10_000
-    return names.join(F.broadcast(terms) if few else terms, F.contains(F.lower("name"), F.lower("term"))).select("query_id", "term", "id", "name")
+    """Terms (query_id, term) and entities (id, name; ids are unique) whose name contains the term, by postings. Empty terms match nothing."""
+    return match_terms(terms, names).select("query_id", "term", "id", "name")

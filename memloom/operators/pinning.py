@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hooks as H
+from . import postings as PO
 from . import retrieval as R
 from .lifecycle import is_free
 
@@ -39,10 +40,9 @@ def before_compaction(messages: DataFrame, most: int = 30, recent: int = 60, cha
 
 def verified_facts_for(questions: DataFrame, facts: DataFrame, most: int = 2) -> DataFrame:
     """query_id, key, hits: the verified facts (key, claim, stale) that hold most of a question's keywords (query_id, keywords)."""
-    rows = facts.where(~F.col("stale")).select("key", F.lower(F.concat_ws(" ", "key", F.coalesce("claim", F.lit("")))).alias("_t"))
-    few = questions.limit(10_001).count() <= 10_000
-    met = rows.join(F.broadcast(questions) if few else questions, F.exists("keywords", lambda k: F.contains("_t", k)))
-    hits = met.withColumn("hits", F.size(F.filter("keywords", lambda k: F.contains("_t", k))))
+    rows = facts.where(~F.col("stale")).select(F.col("key").alias("id"), F.lower(F.concat_ws(" ", "key", F.coalesce("claim", F.lit("")))).alias("text"))
+    words = questions.select("query_id", F.explode(F.array_distinct("keywords")).alias("term"))
+    hits = words.join(PO.containing(rows, words).select("term", F.col("id").alias("key")), "term").groupBy("query_id", "key").agg(F.count("*").alias("hits"))
     return R.top(hits.select("query_id", "key", "hits"), most, F.desc("hits"), F.asc("key"), name="place")
 
 

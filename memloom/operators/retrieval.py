@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import postings as PO
 
 DAY = 86400.0
 RRF_K = 60
@@ -82,6 +83,12 @@ def _pairs(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return dealt.join(asked, ["_block", "_chunk"]).where(same).drop("_block", "_chunk")
 
 
+def by_ids(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """The memories of a batch of ids, which is sent to every task only up to BROADCAST_QUERIES rows."""
+    few = ids.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    return memories.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def knn(memories: DataFrame, queries: DataFrame, k: int, metric: str = "l2", min_score: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """V1-V3: query_id, id, score, rank. queries: query_id, vector. Filters come before the top-k, so no widening is needed.
 
@@ -110,6 +117,11 @@ def bm25(memories: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] =
     else:
         each = words.select("id", *by, "dl", F.explode("ws").alias("w")).join(wanted, "w")
     tf = each.groupBy("w", *by, "id", "dl").agg(F.count("*").alias("tf"))
+    return _bm25_top(tf, totals, tokens, k, by)
+
+
+def _bm25_top(tf: DataFrame, totals: DataFrame, tokens: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    """K3 from counts: tf (w, by, id, dl, tf), totals (by, n, avgdl: one row without `by`), tokens (query_id, w)."""
     df = tf.groupBy("w", *by).agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
@@ -119,6 +131,23 @@ def bm25(memories: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] =
     return top(scored, k, F.desc("score"), F.asc("id"), by=("query_id", *by))
 
 
+def bm25_substrings(memories: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """K2, K3 over runs of three characters: query_id, id, score, rank; a query's word counts wherever it stands in a text.
+
+    As an index of character runs has it: the length of a text is its number of runs, a word's frequency the places where
+    it stands (overlaps counted), its document frequency the rows that hold it. Words under three characters match nothing.
+    """
+    tokens = queries.select("query_id", F.explode(T.query_tokens(F.col("q"))).alias("w")).where(F.length("w") >= PO.RUN)
+    rows = memories.select("id", *by, F.lower("text").alias("text"))
+    runs = F.greatest(F.length("text") - (PO.RUN - 1), F.lit(0))
+    totals = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.coalesce(runs, F.lit(0))).alias("avgdl"))
+    hits = PO.containing(rows, tokens.select(F.col("w").alias("term")))
+    tf = hits.select(F.col("term").alias("w"), "id", runs.alias("dl"), PO.occurrences(F.col("text"), F.col("term")).alias("tf"))
+    if by:
+        tf = tf.join(rows.select("id", *by), "id")
+    return _bm25_top(tf, totals, tokens, k, by)
+
+
 def recency(created_at: Column, now: float) -> Column:
     """T24."""
     return F.exp(-0.01 * F.greatest(F.lit(0.0), (F.lit(now) - created_at) / DAY))
@@ -226,53 +255,62 @@ def mentioned_types(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(named(k), F.lit(k)) for k in T.P.TYPE_KEYWORDS)))
 
 
-def type_candidates(memories: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """query_id, id: the most important live rows of each type that a query names (active lessons only)."""
+def type_candidates(memories: DataFrame, queries: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, `by`, id: the most important live rows of each type that a query names (active lessons only), for each value of `by`."""
     asked = queries.select("query_id", F.explode(mentioned_types(F.col("q"))).alias("kind"))
     rows = searchable(memories).withColumn("kind", F.coalesce("memory_type", F.lit("other"))).where(F.col("kind").isin(*T.P.TYPE_KEYWORDS) & ((F.col("kind") != "lesson") | (F.coalesce("lesson_status", F.lit("active")) == "active")))
-    best = top(rows.select("kind", "id", "importance", "created_at"), most, F.desc("importance"), F.desc("created_at"), F.asc("id"), by=("kind",))
-    return best.join(F.broadcast(asked) if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else asked, "kind").select("query_id", "id").distinct()
+    best = top(rows.select("kind", *by, "id", "importance", "created_at"), most, F.desc("importance"), F.desc("created_at"), F.asc("id"), by=("kind", *by))
+    return best.join(F.broadcast(asked) if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else asked, "kind").select("query_id", *by, "id").distinct()
 
 
-def fact_memories(entities: DataFrame, facts: DataFrame, most: int) -> DataFrame:
-    """query_id, entity_id, id, rank: the memories behind the latest facts of the entities asked for. entities: query_id, entity_id."""
+def fact_memories(entities: DataFrame, facts: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, entity_id, `by`, id, rank: the memories behind the latest facts of the entities asked for. entities: query_id, entity_id; facts carry `by`."""
     known = facts.where("source_memory_id IS NOT NULL").join(entities, "entity_id")
-    return top(known.select("query_id", "entity_id", F.col("source_memory_id").alias("id"), "valid_from"), most, F.desc("valid_from"), F.asc("id"), by=("query_id", "entity_id")).drop("valid_from")
+    return top(known.select("query_id", "entity_id", *by, F.col("source_memory_id").alias("id"), "valid_from"), most, F.desc("valid_from"), F.asc("id"), by=("query_id", "entity_id", *by)).drop("valid_from")
 
 
-def graph_candidates(memories: DataFrame, queries: DataFrame, entities: DataFrame, edges: DataFrame, facts: DataFrame, most: int) -> DataFrame:
-    """H2: query_id, id: memories behind the entities that a query names.
+def graph_candidates(memories: DataFrame, queries: DataFrame, entities: DataFrame, edges: DataFrame, facts: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """H2: query_id, `by`, id: memories behind the entities that a query names.
 
     Query entities meet entity names (10 a term, by mentions); the 10 of most edges stay; the memories of their facts come
     first, then keyword hits on the entity's name and on its five surest edges' contexts, up to `most` in that order.
     entities: id, name, mention_count; edges: source_id, target_id, confidence, created_at, context; facts: entity_id,
-    source_memory_id, valid_from.
+    source_memory_id, valid_from. With `by` (the agent) every cut of memories is made for each of its values; the graph is shared.
     """
     terms = queries.select("query_id", F.explode(T.query_entities(F.col("q"))).alias("term"))
-    few = terms.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    named = entities.join(F.broadcast(terms) if few else terms, F.contains(F.lower("name"), F.lower("term")))
+    named = match_terms(terms, entities)
     named = top(named, 10, F.desc("mention_count"), F.asc("id"), by=("query_id", "term")).select("query_id", F.col("id").alias("entity_id"), "name").distinct()
     both = edges.select(F.col("source_id").alias("entity_id"), "confidence", "created_at", "context").unionAll(edges.where("source_id <> target_id").select("target_id", "confidence", "created_at", "context"))
     degree = both.groupBy("entity_id").agg(F.count("*").alias("degree"))
     chosen = top(named.join(degree, "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), 10, F.desc("degree"), F.asc("entity_id"), name="place")
-    first = fact_memories(chosen.select("query_id", "entity_id"), facts, most).join(chosen.select("query_id", "entity_id", "place"), ["query_id", "entity_id"]).select("query_id", "id", "place", F.lit(-1).alias("phrase"), "rank")
+    if by:
+        facts = facts.join(memories.select(F.col("id").alias("source_memory_id"), *by), "source_memory_id")
+    first = fact_memories(chosen.select("query_id", "entity_id"), facts, most, by).join(chosen.select("query_id", "entity_id", "place"), ["query_id", "entity_id"]).select("query_id", *by, "id", "place", F.lit(-1).alias("phrase"), "rank")
     context = top(both.join(chosen.select("query_id", "entity_id", "place"), "entity_id").where("trim(context) <> ''"), 5, F.desc("confidence"), F.desc("created_at"), F.asc("context"), by=("query_id", "place"), name="phrase")
     phrases = chosen.select("query_id", "place", F.lit(0).alias("phrase"), F.col("name").alias("q")).unionByName(context.select("query_id", "place", "phrase", F.substring(F.trim("context"), 1, 200).alias("q")))
     phrases = phrases.withColumn("key", F.struct("query_id", "place", "phrase"))
-    hits = bm25(searchable(memories), phrases.select(F.col("key").alias("query_id"), "q"), most).select("query_id.query_id", "id", "query_id.place", "query_id.phrase", "rank")
+    hits = bm25(searchable(memories), phrases.select(F.col("key").alias("query_id"), "q"), most, by).select("query_id.query_id", *by, "id", "query_id.place", "query_id.phrase", "rank")
     order = ["place", "phrase", "rank", "id"]
     every = first.unionByName(hits.select(*first.columns))
-    once = top(every, 1, *map(F.col, order), by=("query_id", "id"), name="_once")
-    return once.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where((F.col("_n") <= most) | (F.col("phrase") == -1)).select("query_id", "id")
+    once = top(every, 1, *map(F.col, order), by=("query_id", *by, "id"), name="_once")
+    return once.withColumn("_n", F.row_number().over(W.partitionBy("query_id", *by).orderBy(*order))).where((F.col("_n") <= most) | (F.col("phrase") == -1)).select("query_id", *by, "id")
+
+
+def match_terms(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """Terms (query_id, term) beside all columns of the entities (id, name) whose name contains the term, whatever the case, by postings."""
+    low = terms.withColumn("_low", F.lower("term"))
+    found = PO.containing(names.select("id", F.lower("name").alias("text")), low.select(F.col("_low").alias("term"))).select(F.col("term").alias("_low"), "id")
+    return low.join(found, "_low").drop("_low").join(names, "id")
 
 
-def search(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, min_score: float = 0.0, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, namespace: str | None = None, memory_type: str | None = None, time_range: tuple[float, float] | None = None, by_agent: bool = False, reranked: bool = True, pre_limit: int | None = None) -> DataFrame:
+def search(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, min_score: float = 0.0, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, namespace: str | None = None, memory_type: str | None = None, time_range: tuple[float, float] | None = None, by_agent: bool = False, reranked: bool = True, pre_limit: int | None = None, substrings: bool = False) -> DataFrame:
     """H1, the whole search: query_id, id, score, tier, rank. queries: query_id, q, vector (null: keywords alone).
 
     Candidates of vectors, keywords, types named (H3) and the graph (H2: entities, edges, facts) form one pool, cut by scope
     (F3, F4) and time (F5); all lanes rank it and fuse (R1-R5), types add their bonus (H8); results below `min_score` go (F7);
     `pre_limit` results (R6: more than `limit` where a reranker follows) are reranked (H5) and made diverse (R7).
     by_agent: one search an agent; the agent is a further column, without reranking, for a merge to follow (H7).
+    substrings: the keyword lane finds words anywhere in a text (K2), not whole words only.
     """
     by = ("agent",) if by_agent else ()
     key = ["query_id", *by, "id"]
@@ -281,16 +319,16 @@ def search(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10,
     inside = own if time_range is None else own.where(F.col("created_at").between(*time_range))
     normal = queries.withColumn("q", T.normalize_query(F.col("q")))
     semantic = knn(own, queries.where("vector IS NOT NULL").select("query_id", "vector"), most, by=by).select(*key, F.lit("semantic").alias("lane"), "rank")
-    keyword = bm25(own, normal.select("query_id", "q"), most, by=by).select(*key, F.lit("keyword").alias("lane"), "rank")
+    keyword = (bm25_substrings if substrings else bm25)(own, normal.select("query_id", "q"), most, by=by).select(*key, F.lit("keyword").alias("lane"), "rank")
     hits = semantic.unionByName(keyword)
     if time_range is not None:  # what lies outside gives up its rank
         hits = hits.join(inside.select("id"), "id", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("query_id", *by, "lane").orderBy("rank")))
     columns = ["id", "agent", "memory_type", "created_at", "last_accessed_at", "strength", "importance", "text"]
     ids = hits.select(*key)
-    extra = [] if memory_type is not None else [type_candidates(own, normal, most)]
-    extra += [] if graph is None else [graph_candidates(own, queries, *graph, most)]
+    extra = [] if memory_type is not None else [type_candidates(own, normal, most, by)]
+    extra += [] if graph is None else [graph_candidates(own, queries, *graph, most, by)]
     for found in extra:
-        ids = ids.unionByName((found.join(own.select("id", "agent"), "id") if by_agent else found).select(*key))
+        ids = ids.unionByName(found.select(*key))
     pool = ids.distinct().join(inside.select(*columns), [*by, "id"])
     scores = fuse(hits.unionByName(pool_lanes(pool, now, by)), by=by)
     intent = F.lit(None).cast("string") if memory_type is not None else T.type_intent(F.col("q"))

@@ -60,9 +60,9 @@ _ASKED = "qt AS (SELECT item_id AS query_id, text AS q FROM benchmark WHERE item
 _WORD = r"[\p{L}\p{M}\p{N}_]+(?:[.-][\p{L}\p{M}\p{N}_]+)*"
 
 
-def _bm25(k: int) -> str:
+def _bm25(k: int, rows: str = _SEARCHABLE) -> str:
     return rf"""tok AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(regexp_extract_all(lower(q), '{_WORD}')) AS w FROM qt) WHERE length(w) >= 3),
-    doc AS (SELECT id, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM memories WHERE {_SEARCHABLE}),
+    doc AS (SELECT id, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM memories WHERE {rows}),
     tot AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM doc),
     tf AS (SELECT id, dl, w, count(*) AS tf FROM (SELECT id, len(ws) AS dl, unnest(ws) AS w FROM doc) WHERE w IN (SELECT w FROM tok) GROUP BY ALL),
     df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),

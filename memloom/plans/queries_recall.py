@@ -15,7 +15,7 @@ from ..operators import requests as RQ
 from ..operators import retrieval as R
 from ..operators import sessions as S
 from ..operators import solved as SV
-from ..session import table
+from ..session import table, written
 from . import sqltext as Q
 from .queries import memories, query
 from .queries_more import _ASKED, _ENTITIES, _bm25, asked, both_queries
@@ -25,11 +25,12 @@ from .views import NOW, view
 def graph_of(s, d):
     """Entities, their links and the facts behind them, from the memories' own texts."""
     m = memories(s, d)
-    found = G.entities(m).withColumn("entity_id", F.concat_ws(":", "label", "key"))
+    found = written(G.entities(m).withColumn("entity_id", F.concat_ws(":", "label", "key")), "entities")
     nodes = found.groupBy("entity_id").agg(F.min("name").alias("name"), F.count("*").alias("mention_count")).withColumnRenamed("entity_id", "id")
-    links = G.cooccurrences(found.drop("entity_id")).select(F.col("source_id"), F.col("target_id"), F.lit(0.5).alias("confidence"), "created_at", F.lit("").alias("context"))
+    links = G.cooccurrences(found.withColumn("key", F.col("entity_id"))).select("id", "source_id", "target_id", F.lit(0.5).alias("confidence"), "created_at")
+    links = links.join(m.select("id", F.substring("text", 1, 200).alias("context")), "id").drop("id")
     facts = found.where(F.crc32("id") % 3 == 0).select("entity_id", F.col("id").alias("source_memory_id"), F.col("created_at").alias("valid_from"))
-    return nodes, links, facts
+    return nodes, written(links, "links"), facts
 
 
 @query()
@@ -156,13 +157,12 @@ def q_message_recall(s, d):
     return PN.message_recall(asks, memories(s, d), NOW, lesson_score=0.001, general_score=0.002)
 
 
-_FOLD = "translate(w, 'çğıöşü', 'cgiosu')"
-_STOPS = "[" + ", ".join("'" + w.translate(str.maketrans("çğıöşü", "cgiosu")) + "'" for w in H.STOP_WORDS) + "]"
+_STOPS = "[" + ", ".join(f"'{w}'" for w in H.SEARCH_STOP_WORDS) + "]"
 
 
-@query(rf"""SELECT id, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: {_FOLD})), lambda w: NOT list_contains({_STOPS}, w))), ' ') AS tokens FROM memories""")
+@query(rf"""SELECT id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text) || ' ' || translate(lower(text), 'çğıöşü', 'cgiosu'), '[\p{{L}}\p{{N}}_\x27]+')), lambda w: length(w) > 1 AND NOT list_contains({_STOPS}, w))), ' ') AS tokens FROM memories""")
 def q_search_tokens(s, d):
-    """T19 (without lemmas)."""
+    """T19 (without lemmas): words of the text and of its folded copy."""
     return memories(s, d).select("id", F.array_join(F.array_sort(H.search_tokens(F.col("text"))), " ").alias("tokens"))
 
 
@@ -195,6 +195,6 @@ def q_unfinished(s, d):
 
 @query("SELECT id, category, deleted_at FROM memories WHERE n % 50 = 0")
 def q_by_id(s, d):
-    """Point lookups."""
+    """Point lookups, of every 50th id."""
     m = memories(s, d)
-    return m.join(F.broadcast(m.where("n % 50 = 0").select("id").limit(100_000)), "id", "left_semi").select("id", "category", "deleted_at")
+    return R.by_ids(m, m.where("n % 50 = 0").select("id")).select("id", "category", "deleted_at")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries as _queries
-from . import queries_hooks, queries_more, queries_recall  # noqa: F401  (register their queries)
+from . import queries_hooks, queries_more, queries_recall, queries_state  # noqa: F401  (register their queries)
 
 
 def queries() -> dict:

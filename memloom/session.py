@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +28,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """See that checkpoint() writes to the folder named by spark.checkpoint.dir; only a local session may take one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir or set on the context; only a local session without either gets one of its own."""
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="memloom-")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-"))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return folder.rstrip("/")
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """See that checkpoint() writes to the shared folder."""
+    folder = shared_folder(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediate data, below the shared one."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -259,7 +259,7 @@ def test_hook_expressions(spark):
     assert one(H.keywords(F.lit("Where is the Docker config, the docker port?"))) == ["docker", "config", "port"]
     assert one(H.tool_category(F.lit("git push origin"))) == "deployment" and one(H.tool_importance(F.lit("ls"), F.lit("permission denied"))) == 0.85
     assert one(H.files_mentioned(F.lit("see /etc/app/x.conf and /tmp/abcdefg"))) == ["/etc/app/x.conf"]
-    assert one(H.search_tokens(F.lit("Çağrı ve the Çağrı evi"))) == ["cagri", "evi"]
+    assert one(H.search_tokens(F.lit("Çağrı ve the Çağrı evi"))) == ["çağrı", "evi", "cagri"]
     now = datetime(2024, 2, 10, 15)
     assert H.temporal_range("dün akşam ne oldu", now) == (datetime(2024, 2, 9, 18), datetime(2024, 2, 9, 23, 59, 59))
     assert H.temporal_range("what about last week", now)[0] == datetime(2024, 2, 3) and H.temporal_range("version 2", now) is None
