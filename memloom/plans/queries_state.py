@@ -10,9 +10,10 @@ from ..functions import hooks as H
 from ..operators import kept_index as K
 from ..operators import retrieval as R
 from ..session import table, work_path
+from ..streaming import ordered as O
 from .queries import memories, query
 from .queries_more import _ASKED, _SEARCHABLE, _WORD, _bm25, asked
-from .views import NOW
+from .views import NOW, view
 
 # A word's places in a text, overlaps counted: by cutting the text at it, or, where the word overlaps itself, place by place.
 _OVERLAPS = "len(list_filter(range(1, length(w)), lambda i: substr(w, 1, length(w) - i) = substr(w, i + 1))) > 0"
@@ -41,3 +42,39 @@ def q_index_merge(s, d):
     K.apply_batch(path, m.where("n % 3 = 2 OR n % 5 = 0").select("id", "text"))
     K.apply_batch(path, m.where("n % 1000 = 1").select("id", "text"), m.where("n % 7 = 3").select("id"))
     return K.search(s, path, asked(s, d), 10)
+
+
+# --- State by event time: batch twins of the streams ------------------------------------------------------------------
+
+
+def events(s, d, kinds: dict[str, str]):
+    """Tool calls as events: session_id, event_id, ts, kind (by their type)."""
+    kind = F.coalesce(*(F.when(F.col("event_type") == a, b) for a, b in kinds.items()), F.lit("other"))
+    return view(s, d, "calls").select("session_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+
+
+def plain_ts(s, d, df, *columns):
+    """Times in the type that the tables have."""
+    kind = dict(view(s, d, "calls").dtypes)["ts"]
+    return df.withColumns({c: F.col(c).cast(kind) for c in columns})
+
+
+@query("""SELECT session_id, event_id, ts, score, CASE WHEN score >= 5 THEN 'mandatory' WHEN score >= 3 THEN 'warn' ELSE 'none' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY session_id, i ORDER BY ts, event_id) AS score FROM (
+  SELECT *, sum(g) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) > INTERVAL 24 HOURS THEN 1 ELSE 0 END AS g FROM calls WHERE event_type = 'error')))""", ("calls",))
+def s_scores(s, d):
+    """X6's batch twin: the score after each unproven claim, which a day without one ends."""
+    return plain_ts(s, d, O.scores_in_batch(events(s, d, {"error": "unproven"})), "ts")
+
+
+@query("""SELECT session_id, event_id, ts, kind = 'claim' AS pending FROM (SELECT *, coalesce(lag(kind) OVER w = 'claim' AND ts - lag(ts) OVER w <= INTERVAL 24 HOURS, false) AS held FROM (
+  SELECT session_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'claim' ELSE 'proof' END AS kind FROM calls WHERE event_type IN ('signup', 'click')) WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)) WHERE (kind = 'claim') <> held""", ("calls",))
+def s_pending(s, d):
+    """X7's batch twin: where verification becomes pending, and where a proof ends it."""
+    return plain_ts(s, d, O.pending_in_batch(events(s, d, {"signup": "claim", "click": "proof"})), "ts")
+
+
+@query("""SELECT session_id, event_id, ts AS started, before AS compacted FROM (SELECT *, lag(event_type) OVER w AS last, lag(ts) OVER w AS before FROM calls WHERE event_type IN ('purchase', 'view') WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id))
+  WHERE event_type = 'view' AND last = 'purchase' AND ts - before < INTERVAL 48 HOURS""", ("calls",))
+def s_recoveries(s, d):
+    """X8's batch twin: the first start after a compaction recovers, once (within 48 hours here: the table's events are days apart)."""
+    return plain_ts(s, d, O.recoveries_in_batch(events(s, d, {"purchase": "compaction", "view": "start"}), 48), "started", "compacted")

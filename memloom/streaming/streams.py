@@ -36,9 +36,15 @@ def request_metrics(requests: DataFrame, width: str = "1 minute") -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, most: int = 120, seconds: int = 60) -> DataFrame:
-    """Key, ts, accepted: a sliding window of accepted requests a key; rejected ones are not recorded."""
+    """Key, ts, accepted as requests come in: a sliding window of accepted requests a key; rejected ones are not recorded.
+
+    A key that is idle for the window's length leaves the state. By event time, with late input: ordered.rate_limited.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         for pdf in batches:
             pdf = pdf.sort_values("ts")
@@ -51,8 +57,9 @@ def rate_limited(requests: DataFrame, most: int = 120, seconds: int = 60) -> Dat
                 out.append(ok)
             yield pd.DataFrame({"key": key[0], "ts": pdf["ts"].to_numpy(), "accepted": out})
         state.update((kept,))
+        state.setTimeoutDuration(int(seconds * 1000))
 
-    return requests.groupBy("key").applyInPandasWithState(run, "key long, ts timestamp, accepted boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("key").applyInPandasWithState(run, "key long, ts timestamp, accepted boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def accepted_in_batch(requests: DataFrame, most: int = 120, seconds: int = 60) -> DataFrame:
@@ -93,14 +100,6 @@ def scores(events: DataFrame, hours: int = 24) -> DataFrame:
     return events.groupBy("session_id").applyInPandasWithState(run, "session_id long, score long, tier string", "count long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def recoveries(compactions: DataFrame, starts: DataFrame) -> DataFrame:
-    """Session starts within two hours after a compaction of the session (an interval join of streams)."""
-    c = compactions.withWatermark("compacted", "2 hours").alias("c")
-    s = starts.withWatermark("started", "2 hours").alias("s")
-    near = F.expr("c.session_id = s.session_id AND s.started >= c.compacted AND s.started < c.compacted + INTERVAL 2 HOURS")
-    return c.join(s, near).select(F.col("c.session_id").alias("session_id"), "compacted", "started")
-
-
 def failures(events: DataFrame) -> DataFrame:
     """Stateless capture of failed work."""
     return events.where("event_type = 'error'").select("event_id", "session_id", "ts", F.lit("failure").alias("category"))
