@@ -276,20 +276,48 @@ def moods(messages: DataFrame) -> DataFrame:
     return both.select("session_id", mood.alias("mood"))
 
 
-def temporal_range(text: str, now: datetime) -> tuple[datetime, datetime] | None:
-    """Start and end of a temporal phrase of a query (a literal of the plan); longer phrases first."""
+# Temporal phrases and keywords (T20), in the order in which they are looked for.
+DAY_PHRASES = [
+    "evvelsi gün", "evvelsi gun", "dün akşam", "dun aksam", "öbür gün", "obur gun", "bu sabah",
+    "dün", "dun", "bugün", "bugun", "yarın", "yarin", "yesterday", "today", "tomorrow",
+]
+RANGE_PHRASES = ["geçen hafta", "gecen hafta", "geçen ay", "gecen ay", "last week", "last month", "bu hafta", "this week", "bu ay", "this month"]
+
+
+def temporal_phrases(now: datetime) -> list[tuple[str, bool, datetime, datetime]]:
+    """(phrase, whether it must stand alone, start, end) at a moment; longer phrases of days first, then ranges.
+
+    A range of 7 or 30 days begins a week or a calendar month ago, or, for the current one, today.
+    """
     day = now.replace(hour=0, minute=0, second=0, microsecond=0)
     whole = lambda n: (day + timedelta(days=n), day + timedelta(days=n + 1, seconds=-1))
-    back = lambda n: (day - timedelta(days=n), day - timedelta(seconds=1))
-    phrases = {
-        "evvelsi gün": whole(-2), "evvelsi gun": whole(-2), "öbür gün": whole(2), "obur gun": whole(2),
-        "dün akşam": (day - timedelta(hours=6), day - timedelta(seconds=1)), "dun aksam": (day - timedelta(hours=6), day - timedelta(seconds=1)),
-        "bu sabah": (day + timedelta(hours=6), day + timedelta(hours=12)), "geçen hafta": back(7), "gecen hafta": back(7), "last week": back(7),
-        "geçen ay": back(30), "gecen ay": back(30), "last month": back(30), "yesterday": whole(-1), "tomorrow": whole(1), "today": whole(0),
-        "dün": whole(-1), "dun": whole(-1), "bugün": whole(0), "bugun": whole(0), "yarın": whole(1), "yarin": whole(1),
-    }
-    padded = f" {' '.join(text.lower().split())} "
-    return next((r for p, r in sorted(phrases.items(), key=lambda x: -len(x[0])) if f" {p} " in padded), None)
+    evening, morning = (day - timedelta(hours=6), day - timedelta(seconds=1)), (day + timedelta(hours=6), day + timedelta(hours=12))
+    ahead = {"evvelsi": -2, "öbür": 2, "obur": 2, "dün": -1, "dun": -1, "bugün": 0, "bugun": 0, "yarın": 1, "yarin": 1, "yesterday": -1, "today": 0, "tomorrow": 1}
+    special = {"dün akşam": evening, "dun aksam": evening, "bu sabah": morning}
+    days = [(p, True, *(special.get(p) or whole(ahead[p.split()[0]]))) for p in DAY_PHRASES]
+    first = day.replace(day=1) - timedelta(days=1)
+    month_ago = first.replace(day=min(first.day, day.day))
+    begins = lambda p: day if p.startswith(("bu", "this")) else (month_ago if p.endswith((" ay", "month")) else day - timedelta(days=7))
+    length = lambda p: timedelta(days=30 if p.endswith((" ay", "month")) else 7, seconds=-1)
+    return days + [(p, False, begins(p), begins(p) + length(p)) for p in RANGE_PHRASES]
+
+
+def temporal_range(text: str, now: datetime) -> tuple[datetime, datetime] | None:
+    """Start and end of the first temporal phrase of a text."""
+    low = text.lower()
+    padded = f" {' '.join(low.split())} "
+    return next(((a, b) for p, alone, a, b in temporal_phrases(now) if (f" {p} " in padded if alone else p in low)), None)
+
+
+def temporal_interval(text: Column, now: datetime) -> Column:
+    """Struct (start, end) in seconds of the first temporal phrase of each text; null if it has none."""
+    seconds = lambda t: (t - datetime(1970, 1, 1)).total_seconds()
+
+    def found(low: Column, padded: Column) -> Column:
+        each = [(F.contains(padded, F.lit(f" {p} ")) if alone else F.contains(low, F.lit(p)), a, b) for p, alone, a, b in temporal_phrases(now)]
+        return F.coalesce(*(F.when(held, F.struct(F.lit(seconds(a)).alias("start"), F.lit(seconds(b)).alias("end"))) for held, a, b in each))
+
+    return T.bound(F.lower(text), lambda low: T.bound(F.concat(F.lit(" "), F.regexp_replace(low, r"(?U)\s+", " "), F.lit(" ")), lambda padded: found(low, padded)))
 
 
 def search_tokens(text: Column, distinct: bool = True) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -141,3 +142,16 @@ def exposition(histogram: DataFrame, metric: str = "request_seconds") -> DataFra
 def rates(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     """Ratios of sums, two digits, zero where the whole is zero."""
     return df.agg(*(F.round(F.coalesce(F.try_divide(F.sum(a).cast("double"), F.sum(b)), F.lit(0.0)), 2).alias(k) for k, (a, b) in pairs.items()))
+
+
+def incident_rollup(incidents: DataFrame, now: float, most: int = 100, days: float = 7) -> DataFrame:
+    """session_id, part (all, type, root cause), value, total, recent: each session's last `most` incidents and those of the last `days`, in one pass.
+
+    incidents: session_id, incident_id, ts (seconds), type, root_cause. A missing type or root cause has the value null.
+    """
+    back = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("incident_id")))
+    last = incidents.withColumn("_back", back).where(F.col("_back") <= most)
+    sets = last.groupingSets([["session_id"], ["session_id", "type"], ["session_id", "root_cause"]], "session_id", "type", "root_cause")
+    part = F.when(F.grouping("type") + F.grouping("root_cause") == 2, "all").when(F.grouping("type") == 0, "type").otherwise("root cause")
+    rolled = sets.agg(part.alias("part"), F.count("*").alias("total"), F.count_if(F.lit(now) - F.col("ts") < days * 86400).alias("recent"))
+    return rolled.select("session_id", "part", F.when(F.col("part") == "type", F.col("type")).when(F.col("part") == "root cause", F.col("root_cause")).alias("value"), "total", "recent")

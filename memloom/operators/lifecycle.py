@@ -100,11 +100,13 @@ def boost(df: DataFrame, hits: DataFrame, now: float) -> DataFrame:
     return out.withColumns({"strength": F.when(hit, F.least(F.coalesce("strength", F.lit(1.0)) + 0.3, F.lit(5.0))).otherwise(F.col("strength")), "last_accessed_at": F.when(hit, F.lit(now)).otherwise(F.col("last_accessed_at"))}).drop("_hit")
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """Updates replace base rows of their key; of several updates of a key the last by updated_at."""
-    last = W.partitionBy(key).orderBy(F.desc("updated_at"))
+def upsert(base: DataFrame, updates: DataFrame, key: str | tuple[str, ...] = "id") -> DataFrame:
+    """Updates replace base rows of their key; of several updates of a key the last by updated_at, of equal ones the greatest text."""
+    keys = [key] if isinstance(key, str) else list(key)
+    ties = [F.desc("text")] if "text" in updates.columns else []
+    last = W.partitionBy(*keys).orderBy(F.desc("updated_at"), *ties)
     fresh = updates.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-    return base.join(fresh, key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return base.join(fresh, keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def patch(base: DataFrame, updates: DataFrame, columns: list[str], key: str = "id") -> DataFrame:

@@ -5,12 +5,15 @@ Lanes give (query_id, id, rank); fusion adds reciprocal ranks; reranking, divers
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import hooks as H
 from ..functions import text as T
 from . import postings as PO
 
@@ -303,40 +306,43 @@ def match_terms(terms: DataFrame, names: DataFrame) -> DataFrame:
     return low.join(found, "_low").drop("_low").join(names, "id")
 
 
-def search(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, min_score: float = 0.0, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, namespace: str | None = None, memory_type: str | None = None, time_range: tuple[float, float] | None = None, by_agent: bool = False, reranked: bool = True, pre_limit: int | None = None, substrings: bool = False) -> DataFrame:
+def search(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, min_score: float = 0.0, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, namespace: str | None = None, memory_type: str | None = None, time_range: tuple[float, float] | DataFrame | None = None, by_agent: bool = False, reranked: bool = True, pre_limit: int | None = None, substrings: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """H1, the whole search: query_id, id, score, tier, rank. queries: query_id, q, vector (null: keywords alone).
 
     Candidates of vectors, keywords, types named (H3) and the graph (H2: entities, edges, facts) form one pool, cut by scope
     (F3, F4) and time (F5); all lanes rank it and fuse (R1-R5), types add their bonus (H8); results below `min_score` go (F7);
     `pre_limit` results (R6: more than `limit` where a reranker follows) are reranked (H5) and made diverse (R7).
     by_agent: one search an agent; the agent is a further column, without reranking, for a merge to follow (H7).
+    `by` names other columns in the agent's place, such as agent and namespace.
     substrings: the keyword lane finds words anywhere in a text (K2), not whole words only.
     """
-    by = ("agent",) if by_agent else ()
+    by = tuple(by) or (("agent",) if by_agent else ())
     key = ["query_id", *by, "id"]
     most = max(4 * limit, 20)
     own = scoped(searchable(memories), namespace, memory_type)
-    inside = own if time_range is None else own.where(F.col("created_at").between(*time_range))
+    each = isinstance(time_range, DataFrame)  # query_id, start, end: queries without a row have no range
+    inside = own if time_range is None or each else own.where(F.col("created_at").between(*time_range))
+    fitting = lambda df: df.join(time_range, "query_id", "left").where("start IS NULL OR created_at BETWEEN start AND end").drop("start", "end") if each else df
     normal = queries.withColumn("q", T.normalize_query(F.col("q")))
     semantic = knn(own, queries.where("vector IS NOT NULL").select("query_id", "vector"), most, by=by).select(*key, F.lit("semantic").alias("lane"), "rank")
     keyword = (bm25_substrings if substrings else bm25)(own, normal.select("query_id", "q"), most, by=by).select(*key, F.lit("keyword").alias("lane"), "rank")
     hits = semantic.unionByName(keyword)
     if time_range is not None:  # what lies outside gives up its rank
-        hits = hits.join(inside.select("id"), "id", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("query_id", *by, "lane").orderBy("rank")))
-    columns = ["id", "agent", "memory_type", "created_at", "last_accessed_at", "strength", "importance", "text"]
+        hits = fitting(hits.join(inside.select("id", "created_at"), "id")).drop("created_at").withColumn("rank", F.row_number().over(W.partitionBy("query_id", *by, "lane").orderBy("rank")))
+    columns = [*dict.fromkeys(("id", *by, "agent"))] + ["memory_type", "created_at", "last_accessed_at", "strength", "importance", "text"]
     ids = hits.select(*key)
     extra = [] if memory_type is not None else [type_candidates(own, normal, most, by)]
     extra += [] if graph is None else [graph_candidates(own, queries, *graph, most, by)]
     for found in extra:
         ids = ids.unionByName(found.select(*key))
-    pool = ids.distinct().join(inside.select(*columns), [*by, "id"])
+    pool = fitting(ids.distinct().join(inside.select(*columns), [*by, "id"]))
     scores = fuse(hits.unionByName(pool_lanes(pool, now, by)), by=by)
     intent = F.lit(None).cast("string") if memory_type is not None else T.type_intent(F.col("q"))
     scored = scores.join(pool.select(*key, "memory_type", "text"), key).join(normal.select("query_id", "q", intent.alias("intent")), "query_id")
     scored = scored.withColumn("score", F.round(F.col("score") + type_bonus(F.col("memory_type"), F.col("intent")), 6)).where(F.col("score") >= min_score)
     first = top(scored, max(limit, pre_limit or 0), F.desc("score"), F.asc("id"), by=("query_id", *by))
     tier = T.confidence_tier(F.col("base") / 0.02).alias("tier")
-    if by_agent or not reranked:
+    if by or not reranked:
         return first.where(F.col("rank") <= limit).withColumn("base", F.col("score")).select(*key, "score", tier, "rank", "text", "q")
     second = rerank(first.withColumn("base", F.col("score")))
     chosen = mmr(second, limit).select("query_id", "id", F.col("place").alias("rank"))
@@ -395,6 +401,25 @@ def coverage(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("coverage") >= 0.7, "healthy").when(F.col("coverage") >= 0.4, "warning").otherwise("amnesia"))
 
 
+def in_intervals(memories: DataFrame, intervals: DataFrame, width: float = DAY) -> DataFrame:
+    """F5 as a range join: query_id beside the memories created in the query's interval (query_id, start, end; bounds included).
+
+    Both sides meet by buckets of `width` seconds, so an interval costs a row for each bucket that it touches.
+    """
+    bucket = lambda t: F.floor(F.col(t) / width)
+    asked = intervals.where("start <= end").withColumn("_bucket", F.explode(F.sequence(bucket("start"), bucket("end"))))
+    return memories.withColumn("_bucket", bucket("created_at")).join(asked, "_bucket").where("created_at BETWEEN start AND end").drop("_bucket", "start", "end")
+
+
+def recall(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10, max_tokens: int | None = None, **scope) -> DataFrame:
+    """search() of each query within the interval that its temporal phrase names (T20, F5), the texts, what fits the budget (R15), and whether the query asks for memory."""
+    moment = datetime.fromtimestamp(now, UTC).replace(tzinfo=None)
+    spans = queries.select("query_id", H.temporal_interval(F.col("q"), moment).alias("t")).where("t IS NOT NULL").select("query_id", "t.start", "t.end")
+    found = search(memories, queries, now, limit, time_range=spans, **scope).join(memories.select("id", "text"), "id")
+    found = found if max_tokens is None else within_budget(found, max_tokens).drop("used")
+    return found.join(queries.select("query_id", T.should_recall(F.col("q")).alias("triggered")), "query_id")
+
+
 def by_type(memories: DataFrame, pool_size: int = 20) -> DataFrame:
     """Each type's candidates by importance and age."""
     return top(searchable(memories), pool_size, F.desc("importance"), F.desc("created_at"), F.asc("id"), by=("memory_type",))

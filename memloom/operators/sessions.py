@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import routing as RT
 from ..functions import text as T
 
 CHUNK_CHARS, ANSWER_CHARS = 4000, 3000
@@ -104,8 +105,11 @@ def prefix_dedup(df: DataFrame, chars: int = 120) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
-def contained_dedup(df: DataFrame, most: int = 5, pool: int = 20, by: str = "agent") -> DataFrame:
-    """V8: per group, of its `pool` best rows greedily the best texts of which none contains another."""
+def contained_dedup(df: DataFrame, most: int = 5, pool: int = 20, by: str = "agent", stripped: bool = False) -> DataFrame:
+    """V8: per group, of its `pool` best rows greedily the best texts of which none contains another.
+
+    stripped: texts are compared without their envelopes and low-signal lines, and those that then are of low signal go.
+    """
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,6 +124,8 @@ def contained_dedup(df: DataFrame, most: int = 5, pool: int = 20, by: str = "age
 
     best = W.partitionBy(by).orderBy(F.desc("importance"), F.desc("created_at"), "id")
     rows = df.select(by, "id", "text", "importance", "created_at").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= pool).drop("_r")
+    if stripped:
+        rows = rows.withColumn("text", RT.without_low_signal(F.col("text"))).where(~RT.is_low_signal_recall(F.col("text")))
     return rows.groupBy(by).applyInPandas(run, f"{by} string, id string, place int")
 
 
@@ -128,9 +134,17 @@ def expired(df: DataFrame, now: float, expires: str, modified: str, days: float)
     return df.where(F.coalesce(F.col(expires), F.col(modified) + days * 86400) < now)
 
 
+def kept_facts(facts: DataFrame, now: float, most: int = 200, ttl: float = 7 * 86400, drop_days: float = 30, by: str = "agent") -> DataFrame:
+    """Verified facts (`by`, key, verified_at, ttl in seconds) that stay: not beyond `drop_days`, the newest `most` of each workspace; adds `stale`, past the fact's own time."""
+    young = facts.where(F.col("verified_at") >= now - drop_days * 86400)
+    newest = young.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc("verified_at"), "key"))).where(F.col("_r") <= most).drop("_r")
+    return newest.withColumn("stale", F.lit(now) - F.col("verified_at") > F.coalesce("ttl", F.lit(ttl)))
+
+
 def open_tasks(tasks: DataFrame, now: float, hours: float = 6.0, most: int = 5) -> DataFrame:
     """Tasks (agent, title, created_at, status) that are open: no repeat of a title within two hours, not expired, the last `most` of an agent."""
-    same = W.partitionBy("agent", "title").orderBy("created_at")
+    ties = ["id"] if "id" in tasks.columns else []
+    same = W.partitionBy("agent", "title").orderBy("created_at", *ties)
     fresh = tasks.withColumn("_before", F.lag("created_at").over(same)).where("_before IS NULL OR created_at - _before > 7200")
     live = fresh.where((F.col("status") == "open") & (F.col("created_at") >= now - hours * 3600)).drop("_before")
-    return live.withColumn("_r", F.row_number().over(W.partitionBy("agent").orderBy(F.desc("created_at"), "title"))).where(F.col("_r") <= most).drop("_r")
+    return live.withColumn("_r", F.row_number().over(W.partitionBy("agent").orderBy(F.desc("created_at"), "title", *ties))).where(F.col("_r") <= most).drop("_r")

@@ -64,14 +64,15 @@ def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFram
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Whole Markdown files whose name isn't a transcript's."""
+def read_notes(spark: SparkSession, path: str, days: tuple[str, ...] = ()) -> DataFrame:
+    """Whole Markdown files whose name isn't a transcript's; `days` (YYYY-MM-DD) keeps the notes of those days, whose names begin with them."""
     notes = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.md").load(path)
-    return notes.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.md$", 1).alias("name"), F.col("value").alias("text")).where(~F.lower("name").contains("transcript"))
+    notes = notes.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.md$", 1).alias("name"), F.col("value").alias("text")).where(~F.lower("name").contains("transcript"))
+    return notes.where(F.substring("name", 1, 10).isin(*days)) if days else notes
 
 
 def new_imports(arrivals: DataFrame, stored: DataFrame) -> DataFrame:
     """Import rows with a text whose id isn't stored; the first of repeated ids."""
-    first = W.partitionBy("id").orderBy("created_at")
+    first = W.partitionBy("id").orderBy("created_at", "text")
     rows = arrivals.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     return rows.join(stored.select("id"), "id", "left_anti")

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Tasks that an agent's rows are dealt to, so that no agent is one task.
+SPLITS = 8
+
 
 def write_memories(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One atomic job; agents are folders, types lie together for row-group skipping."""
-    df.repartition("agent").sortWithinPartitions("memory_type", "created_at").write.mode(mode).partitionBy("agent").parquet(path)
+    """One atomic job; agents are folders of up to SPLITS files, types lie together for row-group skipping."""
+    df.repartition("agent", F.pmod(F.xxhash64("id"), F.lit(SPLITS))).sortWithinPartitions("memory_type", "created_at").write.mode(mode).partitionBy("agent").parquet(path)
 
 
 def export_json(df: DataFrame, path: str, with_deleted: bool = False) -> None:

@@ -38,13 +38,10 @@ def request_metrics(requests: DataFrame, width: str = "1 minute") -> DataFrame:
 def rate_limited(requests: DataFrame, most: int = 120, seconds: int = 60) -> DataFrame:
     """Key, ts, accepted as requests come in: a sliding window of accepted requests a key; rejected ones are not recorded.
 
-    A key that is idle for the window's length leaves the state. By event time, with late input: ordered.rate_limited.
+    For streams that end, as the window of an idle key stays in the state; ordered.rate_limited goes by event time and lets idle keys go.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         kept = list(state.get[0]) if state.exists else []
         for pdf in batches:
             pdf = pdf.sort_values("ts")
@@ -57,9 +54,8 @@ def rate_limited(requests: DataFrame, most: int = 120, seconds: int = 60) -> Dat
                 out.append(ok)
             yield pd.DataFrame({"key": key[0], "ts": pdf["ts"].to_numpy(), "accepted": out})
         state.update((kept,))
-        state.setTimeoutDuration(int(seconds * 1000))
 
-    return requests.groupBy("key").applyInPandasWithState(run, "key long, ts timestamp, accepted boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("key").applyInPandasWithState(run, "key long, ts timestamp, accepted boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def accepted_in_batch(requests: DataFrame, most: int = 120, seconds: int = 60) -> DataFrame:
