@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hooks as H
 from ..functions import text as T
+from ..session import written
 from . import postings as PO
 
 DAY = 86400.0
@@ -112,13 +113,14 @@ def bm25(memories: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] =
     tokens = queries.select("query_id", F.explode(T.query_tokens(F.col("q"))).alias("w")).where(F.length("w") >= 3)
     words = memories.select("id", *by, F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+(?:[.-]\w+)*"), F.lit(0)).alias("ws"))
     words = words.withColumn("dl", F.size("ws"))
-    totals = words.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = tokens.select("w").distinct()
     few = [r["w"] for r in wanted.limit(WANTED_WORDS + 1).collect()]
-    if len(few) <= WANTED_WORDS:  # a text's words are sifted before they become rows
-        each = words.select("id", *by, "dl", F.explode(F.filter("ws", lambda w: w.isin(few))).alias("w"))
+    if len(few) <= WANTED_WORDS:  # texts are read once: their lengths and those of their words that are asked for are written
+        words = written(words.select("id", *by, "dl", F.filter("ws", lambda w: w.isin(few)).alias("ws")), "words")
+        each = words.select("id", *by, "dl", F.explode("ws").alias("w"))
     else:
         each = words.select("id", *by, "dl", F.explode("ws").alias("w")).join(wanted, "w")
+    totals = words.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = each.groupBy("w", *by, "id", "dl").agg(F.count("*").alias("tf"))
     return _bm25_top(tf, totals, tokens, k, by)
 
@@ -194,8 +196,9 @@ def hybrid(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10,
     own = searchable(memories)
     semantic = knn(own, queries.select("query_id", "vector"), pool_size, by=by).select(*key, F.lit("semantic").alias("lane"), "rank")
     keyword = bm25(own, queries.select("query_id", "q"), pool_size, by=by).select(*key, F.lit("keyword").alias("lane"), "rank")
-    hits = semantic.unionByName(keyword)
+    hits = written(semantic.unionByName(keyword), "hits")  # a bounded pool a query
     pool = hits.select(*key).distinct().join(own.select("id", *by, "memory_type", "created_at", "last_accessed_at", "strength", "importance"), [*by, "id"])
+    pool = written(pool, "pool")
     scores = fuse(hits.unionByName(pool_lanes(pool, now, by)), by=by)
     intents = queries.select("query_id", T.type_intent(F.col("q")).alias("intent"))
     scored = scores.join(pool.select(*key, "memory_type"), key).join(intents, "query_id")
@@ -326,7 +329,7 @@ def search(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10,
     normal = queries.withColumn("q", T.normalize_query(F.col("q")))
     semantic = knn(own, queries.where("vector IS NOT NULL").select("query_id", "vector"), most, by=by).select(*key, F.lit("semantic").alias("lane"), "rank")
     keyword = (bm25_substrings if substrings else bm25)(own, normal.select("query_id", "q"), most, by=by).select(*key, F.lit("keyword").alias("lane"), "rank")
-    hits = semantic.unionByName(keyword)
+    hits = written(semantic.unionByName(keyword), "hits")
     if time_range is not None:  # what lies outside gives up its rank
         hits = fitting(hits.join(inside.select("id", "created_at"), "id")).drop("created_at").withColumn("rank", F.row_number().over(W.partitionBy("query_id", *by, "lane").orderBy("rank")))
     columns = [*dict.fromkeys(("id", *by, "agent"))] + ["memory_type", "created_at", "last_accessed_at", "strength", "importance", "text"]
@@ -335,7 +338,7 @@ def search(memories: DataFrame, queries: DataFrame, now: float, limit: int = 10,
     extra += [] if graph is None else [graph_candidates(own, queries, *graph, most, by)]
     for found in extra:
         ids = ids.unionByName(found.select(*key))
-    pool = fitting(ids.distinct().join(inside.select(*columns), [*by, "id"]))
+    pool = written(fitting(ids.distinct().join(inside.select(*columns), [*by, "id"])), "pool")
     scores = fuse(hits.unionByName(pool_lanes(pool, now, by)), by=by)
     intent = F.lit(None).cast("string") if memory_type is not None else T.type_intent(F.col("q"))
     scored = scores.join(pool.select(*key, "memory_type", "text"), key).join(normal.select("query_id", "q", intent.alias("intent")), "query_id")

@@ -140,7 +140,7 @@ def q_kept_facts(s, d):
 
 
 _AGENT = "'agent-' || (query_id // 20 % 4)"
-_OVERLAP = """list_filter(list_distinct(regexp_extract_all(lower(q), '[\p{L}\p{M}\p{N}_]+')), lambda x: length(x) >= 3) AS a, list_filter(list_distinct(regexp_extract_all(lower(text[1:4000]), '[\p{L}\p{M}\p{N}_]+')), lambda x: length(x) >= 3) AS b"""
+_OVERLAP = r"""list_filter(list_distinct(regexp_extract_all(lower(q), '[\p{L}\p{M}\p{N}_]+')), lambda x: length(x) >= 3) AS a, list_filter(list_distinct(regexp_extract_all(lower(text[1:4000]), '[\p{L}\p{M}\p{N}_]+')), lambda x: length(x) >= 3) AS b"""
 
 
 @query(f""", {_ASKED.replace("WHERE item_id % 20 = 0", "")}, {_bm25(10)}, st AS (SELECT query_id, query_id % 3 < 2 AND {_AGENT} <> 'agent-1' AND query_id % 5 <> 4 AS known FROM qt),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import spread, table
 
 #: 2024-02-01 00:00:00 UTC; every operator takes the time as a parameter.
 NOW = 1706745600.0
@@ -57,7 +57,10 @@ TABLES = ("documents", "embeddings", "conversations", "orders", "customer", "eve
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
+    tables = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
+    if "documents" in tables:  # what is done with a text is heavy
+        tables["documents"] = spread(tables["documents"], "doc_id")
+    return spark.sql(text, **tables)
 
 
 def with_views(sql: str, *names: str) -> str:
