@@ -7,8 +7,10 @@ word's probability of being part of a toxic span; a document's score is a logist
 expected number of toxic words among those above one half, fitted to the labels of the training sample.
 
 Learning uses a bounded sample of the labelled rows whose crc32(doc_id as text) mod 3 is not 1: up to SAMPLE_TOXIC and
-SAMPLE_CLEAN documents by a digest of the id. The number of features is bounded, whatever the sample: each must be in
-1 % of the toxic sample. Scoring is a map over all whole texts; the model travels with the function.
+SAMPLE_CLEAN documents by a digest of the id. Words are counted, and the document's logistic is fitted, on all of it; the
+chain itself on CHAIN_DOCS toxic and as many clean documents of it, whose texts the driver holds. A feature has to stand in
+ENOUGH_SUPPORT toxic texts (20), in small samples in 1 % of them and in LEAST_SUPPORT at least: fewer would make chance words
+toxic. So the number of features is bounded by the sample. Scoring is a map over all whole texts; the model travels with the function.
 
 Null and word-less texts score the prior of no evidence. Very long texts are scored whole, in segments of bounded length;
 empty tables give no rows. Of several labels for an id the largest counts, of several texts the smallest; null labels and
@@ -32,7 +34,7 @@ from pyspark.sql.types import StructType
 from .common import table, written
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, CHAIN_DOCS = 3000, 6000, 600
-LEAST_SUPPORT, SUPPORT_SHARE, LEAST_LOG_ODDS = 3, 0.01, 3.0
+LEAST_SUPPORT, SUPPORT_SHARE, ENOUGH_SUPPORT, LEAST_LOG_ODDS = 3, 0.01, 20, 3.0
 SEGMENT, ROUNDS, RATE, L2 = 256, 60, 0.3, 1e-5
 THRESHOLD = 0.7
 #: Words that are scored together, about; known words a task remembers.
@@ -153,8 +155,8 @@ def toxic_features(sample: DataFrame) -> pd.DataFrame:
     texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
     counts = texts.mapInPandas(count, "feature binary, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = counts.where(F.length("feature") == 0).select("toxic", "clean").first() or (0, 0)
-    least = max(LEAST_SUPPORT, SUPPORT_SHARE * n[0])
-    found = counts.where((F.col("toxic") >= least) & (F.length("feature") > 0)).toPandas().sort_values("feature")  # at most 100 x the features of a mean toxic text
+    least = max(LEAST_SUPPORT, min(ENOUGH_SUPPORT, SUPPORT_SHARE * n[0]))
+    found = counts.where((F.col("toxic") >= least) & (F.length("feature") > 0)).toPandas().sort_values("feature")  # at most the features of the sample's toxic texts / 20
     found["odds"] = np.log((found["toxic"] + 0.5) / (n[0] + 1)) - np.log((found["clean"] + 0.5) / (n[1] + 1))
     return found
 
@@ -168,7 +170,7 @@ def fit(sample: DataFrame) -> Chain:
     vocabulary = {bytes(f): i for i, f in enumerate(found["feature"])}
     toxic = {bytes(f) for f in found.loc[found["odds"] >= LEAST_LOG_ODDS, "feature"]}
     digest = F.xxhash64("doc_id", F.lit("chain"))
-    few = sample.where("toxic").orderBy(digest).limit(CHAIN_DOCS).unionByName(sample.where("NOT toxic").orderBy(digest).limit(CHAIN_DOCS)).toPandas()  # 2 x CHAIN_DOCS texts
+    few = sample.where("toxic").orderBy(digest, "doc_id").limit(CHAIN_DOCS).unionByName(sample.where("NOT toxic").orderBy(digest, "doc_id").limit(CHAIN_DOCS)).toPandas()  # 2 x CHAIN_DOCS texts
     numbers, rows, y, lengths = {}, [], [], []
     for text, label in zip(few["text"], few["toxic"], strict=True):
         words = WORD.findall(text.encode().lower())
