@@ -301,10 +301,18 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"did": did[cuts[:-1]], "places": [code[a:b].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
 
 
+def between(docs: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """Rows with low < did <= high; a given id is its own did, rows without id have one from NO_ID on."""
+    inside = (F.lit(True) if low is None else F.col("doc_id") > low) & (F.lit(True) if high is None else F.col("doc_id") <= high)
+    docs = docs.where(inside if high is not None and high < NO_ID else inside | F.col("doc_id").isNull())
+    docs = docs if low is None else docs.where(F.col("did") > low)
+    return docs if high is None else docs.where(F.col("did") <= high)
+
+
 def matched_places(docs: DataFrame, cuts: list[int], buckets: int, parts: int, hot_least: int) -> tuple[DataFrame, np.ndarray]:
     """did, places: suffixes that stand more than once, from the family built over batches of ids; and the hot ones' fingerprints.
 
-    Reads `docs` (did, data) once a batch, with a filter on the id. Matches travel packed by parts of the ids. A merged
+    Reads `docs` (doc_id, did, data) once a batch; a filter on doc_id itself reaches the scan, rows without id are in the last batches. Matches travel packed by parts of the ids. A merged
     level replaces those it came from, which are deleted.
     """
     spark = docs.sparkSession
@@ -313,13 +321,11 @@ def matched_places(docs: DataFrame, cuts: list[int], buckets: int, parts: int, h
     read = lambda path, kind, put: spark.read.schema(rest).parquet(f"{path}/kind={kind}").where("bucket >= 0").select(F.lit(put).alias("kind"), "bucket", "did", "payload")
     matched = hot = None
     for i, high in enumerate([*cuts, None]):
-        batch = docs if i == 0 else docs.where(F.col("did") > cuts[i - 1])
-        batch = batch if high is None else batch.where(F.col("did") <= high)
         rank, merged = 0, []
         while levels and levels[-1][0] == rank:
             merged.append(levels.pop()[1])
             rank += 1
-        rows = batch_arrays(batch, buckets)
+        rows = batch_arrays(between(docs, None if i == 0 else cuts[i - 1], high).select("did", "data"), buckets)
         for put, paths in ((2, [p for _, p in levels]), (3, merged)):
             for path in paths:
                 rows = rows.unionByName(read(path, 2, put))
@@ -521,7 +527,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     buckets = max(16, -(-(size or 0) // (20 * BUCKET_ANCHORS)))  # two suffixes in 39 bytes
     compared = max(16, -(-(size or 0) // COMPARED_BYTES))
     hot_least = max(HOT_LEAST, (size or 0) // (20 * MOST_HOT))
-    places, hot = matched_places(rows.select("did", "data"), sorted(set(cuts or [])), buckets, compared, hot_least)
+    places, hot = matched_places(rows, sorted(set(cuts or [])), buckets, compared, hot_least)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.withColumn("tid", F.xxhash64("data")).repartition(parts, "did")
     cuts_out = texts.join(places, "did").mapInPandas(_cut_windows(compared, hot), "kind int, bucket int, payload binary")

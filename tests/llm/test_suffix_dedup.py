@@ -89,3 +89,21 @@ def test_repeated_ids_and_empty(spark):
     got = op.dedup(docs.unionAll(docs)).collect()  # the same place twice: nothing is earlier
     assert len(got) == 8 and {r.n_removed for r in got} == {0}
     assert op.dedup(empty(spark)).count() == 0
+
+
+def test_batches_hold_every_row_once_and_their_filter_reaches_the_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"t{i}") for i in range(40)] + [(None, f"n{i}") for i in range(10)] + [(5, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    data = F.col("text").cast("binary")
+    did = F.coalesce("doc_id", F.xxhash64(data).bitwiseAND(F.lit(op.NO_ID - 1)) + F.lit(op.NO_ID))
+    docs = docs.select("doc_id", did.alias("did"), data.alias("data"))
+    middle = sorted(r.did for r in docs.collect())[45]
+    for cuts in ([10, 20], [10, middle], [], [-5, 100]):
+        parts = [op.between(docs, a, b) for a, b in zip([None, *cuts], [*cuts, None])]
+        found = [r.data for p in parts for r in p.collect()]
+        assert sorted(found) == sorted(t.encode() for _, t in rows)
+    plan = op.between(docs, 10, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(doc_id,10), LessThanOrEqual(doc_id,20)" in plan
