@@ -184,8 +184,8 @@ def encode(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), ranks_path: str
     encoded = shuffled.mapInPandas(encode_words, "key string, bucket int, payload binary")
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     schema = StructType([*kept_schema.fields, *StructType.fromDDL(added).fields])
-    # Word rows don't enter the last step. A plain filter would sink below the exchange and cost a second scan; one with rand() stays.
-    chunks = shuffled.where((F.col("bucket") < 0) & (F.rand(0) >= 0))
+    # Word rows don't enter the last step. A plain filter would sink below the exchange and cost a second scan; one that numbers rows stays above.
+    chunks = shuffled.where(F.when(F.monotonically_increasing_id() >= 0, F.col("bucket")) < 0)
     return chunks.groupBy("key").cogroup(encoded.groupBy("key")).applyInPandas(reassemble, schema)
 
 
