@@ -126,6 +126,21 @@ def cooccurrence_links(memories: DataFrame) -> DataFrame:
     return pairs.select("id", F.col("a.key").alias("source_id"), F.col("b.key").alias("target_id"), F.when(tech, "uses").otherwise("mentioned_with").alias("relation_type"), F.when(tech, 0.6).otherwise(0.5).alias("confidence"), "context")
 
 
+def knowledge(memories: DataFrame, margin: float = 0.20, relations: bool = True) -> tuple[DataFrame, DataFrame]:
+    """T33 as one chain: the edges (source_id, target_id, relation_type, confidence, context, n) and the folded facts of the memories.
+
+    Links of a text's entities (T30, T32, J12) and, unless left out, its typed relations (T31) become edges, which every repeat
+    strengthens in order of time (A24). Typed relations are facts besides; exclusive ones meet conflicts in that order (L10).
+    """
+    at = memories.select("id", F.struct("created_at", "id").alias("_at"))
+    links = cooccurrence_links(memories).join(at, "id").select("source_id", "target_id", "relation_type", "confidence", "context", "_at")
+    typed = typed_relations(memories).join(memories.select("id", "created_at", F.substring("text", 1, 200).alias("context")), "id")
+    if relations:
+        links = links.unionByName(typed.select(F.lower("subject").alias("source_id"), F.lower("object").alias("target_id"), "relation_type", "confidence", "context", F.struct("created_at", "id").alias("_at")))
+    facts = typed.select(F.xxhash64("id", "subject", "relation_type", "object").alias("id"), F.lower("subject").alias("entity_id"), "relation_type", F.col("object").alias("object_value"), "confidence", F.timestamp_seconds("created_at").alias("valid_from"))
+    return strengthen(links, "_at"), fold_conflicts(facts, margin)
+
+
 def _relation(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), T.trimmed(x["s"]).alias("s"), T.trimmed(x["o"]).alias("o"))
 

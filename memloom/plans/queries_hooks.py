@@ -31,21 +31,27 @@ def q_route(s, d):
     return memories(s, d).select("id", RT.route(role, F.col("text")).alias("r")).where("r IS NOT NULL").select("id", "r.category", "r.importance")
 
 
-@query(f"SELECT id, 5::INT AS claimed, CASE WHEN n % 3 = 0 THEN 'a/b.py c.yaml d.json .env' ELSE 'a/b.py c.yaml .env' END AS files FROM memories")
+_FILES = rf"list_sort(list_filter(list_distinct(list_concat(regexp_extract_all(t, '{RT.FILE_NAME}'), regexp_extract_all(t, '{RT.DOT_FILE}', 1))), lambda f: regexp_matches(f, '{RT.KNOWN_FILE}')))"
+
+
+@query(f"SELECT id, claimed, array_to_string(files, ' ') AS files FROM (SELECT id, (n % 7)::INT AS claimed, {_FILES} AS files FROM (SELECT id, n, 'Updated ' || n % 7 || ' files: a/b.py, .env ' || text AS t FROM memories)) WHERE claimed > 0 AND len(files) BETWEEN 1 AND claimed - 1")
 def q_propagation(s, d):
-    """A claim of five files in front of every memory."""
-    claim = F.concat(F.lit("Updated 5 files: a/b.py, .env, x.txt, c.yaml "), F.when(F.col("n") % 3 == 0, "d.json").otherwise(""))
-    found = memories(s, d).select("id", RT.propagation(claim).alias("p"))
-    return found.select("id", "p.claimed", F.array_join("p.files", " ").alias("files"))
+    """A claim of up to six files in front of every text, whose own file names count."""
+    claim = F.concat(F.lit("Updated "), (F.col("n") % 7).cast("string"), F.lit(" files: a/b.py, .env "), "text")
+    found = memories(s, d).select("id", RT.propagation(claim).alias("p")).where("p IS NOT NULL")
+    return found.select("id", "p.claimed", F.array_join(F.array_sort("p.files"), " ").alias("files"))
 
 
-@query("""SELECT event_id, CASE tool WHEN 'exec' THEN 'service_check-nginx-service' WHEN 'read' THEN 'feature_check-max-rows' WHEN 'write' THEN 'tool_check-python3' END AS key,
-  CASE tool WHEN 'exec' THEN 'nginx.service' WHEN 'read' THEN 'max_rows''' ELSE 'python3' END || CASE WHEN event_id % 2 = 0 THEN ' not found/not available' ELSE ' exists/is available' END
-  || CASE tool WHEN 'exec' THEN ' (verified by service_check)' WHEN 'read' THEN ' (verified by feature_check)' ELSE ' (verified by tool_check)' END AS claim, event_id % 2 = 1 AS found FROM calls WHERE tool IN ('exec', 'read', 'write')""", ("calls",))
+@query("""SELECT event_id, CASE tool WHEN 'exec' THEN 'service_check-unit-' || session_id || '-service' WHEN 'read' THEN 'feature_check-key-' || event_id || CASE WHEN event_id % 3 = 0 THEN '' ELSE '-' || session_id END ELSE 'tool_check-tool' || event_id % 97 END AS key,
+  CASE tool WHEN 'exec' THEN 'unit-' || session_id || '.service' WHEN 'read' THEN 'key_' || event_id || CASE WHEN event_id % 3 = 0 THEN '' ELSE '.' || session_id END ELSE 'tool' || event_id % 97 END || CASE WHEN value > 50 THEN ' not found/not available' ELSE ' exists/is available' END
+  || CASE tool WHEN 'exec' THEN ' (verified by service_check)' WHEN 'read' THEN ' (verified by feature_check)' ELSE ' (verified by tool_check)' END AS claim, NOT (value > 50) AS found FROM calls WHERE tool IN ('exec', 'read', 'write')""", ("calls",))
 def q_verified_facts(s, d):
-    """Commands by tool."""
-    command = F.when(F.col("tool") == "exec", "systemctl status nginx.service").when(F.col("tool") == "read", "grep -rn 'max_rows' src").when(F.col("tool") == "write", "which python3").otherwise("ls")
-    output = F.when(F.col("event_id") % 2 == 0, "no such file").otherwise("fine")
+    """Checks of the events' own services, keys and tools; large values stand for output that found nothing."""
+    n, user = F.col("event_id").cast("string"), F.col("session_id").cast("string")
+    key = F.concat(F.lit("grep -rn key_"), n, F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("."), user)), F.lit(" src"))
+    command = F.when(F.col("tool") == "exec", F.concat(F.lit("systemctl status unit-"), user, F.lit(".service"))).when(F.col("tool") == "read", key)
+    command = command.when(F.col("tool") == "write", F.concat(F.lit("which tool"), (F.col("event_id") % 97).cast("string"))).otherwise("ls")
+    output = F.when(F.col("value") > 50, "no such file").otherwise(F.concat(F.lit("fine: "), F.col("value").cast("string")))
     rows = view(s, d, "calls").select("event_id", RT.verified_fact(command, output).alias("f"))
     return rows.where("f IS NOT NULL").select("event_id", "f.key", "f.claim", "f.found")
 

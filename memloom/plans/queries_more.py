@@ -395,6 +395,14 @@ def q_cooccur_all(s, d):
     return G.cooccurrences(all_entities(s, d)).select("id", "source_id", "target_id")
 
 
+@query(f"""{_ENTITIES}, c AS (SELECT id, label, CASE key WHEN 'wp' THEN 'whatsapp' WHEN 'gh' THEN 'github' ELSE key END AS key FROM ent),
+  p AS (SELECT n, created_at, a.key AS source_id, b.key AS target_id, a.label = 'tech' AND b.label = 'tech' AS tech FROM c a JOIN c b ON a.id = b.id AND (a.label < b.label OR (a.label = b.label AND a.key < b.key)) JOIN memories m ON m.id = a.id)
+  SELECT source_id, target_id, CASE WHEN tech THEN 'uses' ELSE 'mentioned_with' END AS relation_type, round(least(1, CASE WHEN tech THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END + 0.1::DOUBLE * (count(*) - 1)), 6) AS confidence, count(*) AS n FROM p GROUP BY source_id, target_id, tech""")
+def q_graph_edges(s, d):
+    """The links of all texts as edges that repeats strengthen (typed relations and conflicts follow in graph.knowledge)."""
+    return G.knowledge(memories(s, d), relations=False)[0].drop("context")
+
+
 @query("SELECT source_id, target_id, relation_type, round(least(1, arg_min(confidence, seq) + 0.1::DOUBLE * (count(*) - 1)), 6) AS confidence, arg_max(context, seq) AS context, count(*) AS n FROM edges GROUP BY 1, 2, 3", ("edges",))
 def q_edges(s, d):
     """A24, D5."""
@@ -407,11 +415,11 @@ def q_degree(s, d):
     return G.degrees(view(s, d, "edges"))
 
 
-@query("SELECT source_id, target_id, seq FROM edges WHERE source_id IN ('c1', 'n3', 'c7') UNION ALL SELECT target_id, source_id, seq FROM edges WHERE target_id IN ('c1', 'n3', 'c7')", ("edges",))
+@query(""", w AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT 'n3'), e AS (SELECT source_id, target_id, seq FROM edges UNION ALL SELECT target_id, source_id, seq FROM edges) SELECT source_id, target_id, seq FROM e WHERE source_id IN (SELECT id FROM w)""", ("edges",))
 def q_neighbours(s, d):
-    """J10, H2."""
-    ids = s.createDataFrame([("c1",), ("n3",), ("c7",)], "id string")
-    return G.neighbours(view(s, d, "edges"), ids).select("source_id", "target_id", "seq")
+    """The edges of every 20th customer and of a nation, which has many."""
+    ids = table(s, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    return G.neighbours(view(s, d, "edges"), ids.unionByName(s.createDataFrame([("n3",)], "id string"))).select("source_id", "target_id", "seq")
 
 
 @query("SELECT id, entity_id, object_value FROM facts WHERE valid_from <= DATE '1996-06-01' AND (valid_to IS NULL OR valid_to > DATE '1996-06-01')", ("facts",))
@@ -434,11 +442,13 @@ def q_conflict_fold(s, d):
     return G.fold_conflicts(view(s, d, "facts"))
 
 
-@query("SELECT t.term, 'c' || c_custkey AS id FROM customer, (VALUES ('0001'), ('99')) t(term) WHERE contains(lower(c_name), t.term)", ())
+@query("SELECT t.term, 'c' || c_custkey AS id FROM customer, (SELECT DISTINCT substr(c_name, 1 + length(c_name) - 2 - c_custkey % 3) AS term FROM customer WHERE c_custkey % 20 = 0 UNION SELECT 'MER#0000000') t WHERE contains(lower(c_name), lower(t.term))", ())
 def q_match_names(s, d):
-    """F8, J8."""
-    terms = s.createDataFrame([(1, "0001"), (2, "99")], "query_id int, term string")
-    names = table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"))
+    """The last two to four characters of every 20th name, and a term that is in all short ones, against all names."""
+    c = table(s, d, "customer")
+    tail = F.expr("substr(c_name, 1 + length(c_name) - 2 - c_custkey % 3)").alias("term")
+    terms = c.where("c_custkey % 20 = 0").select(tail).unionByName(s.createDataFrame([("MER#0000000",)], "term string")).distinct().withColumn("query_id", F.col("term"))
+    names = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"))
     return G.match_names(terms, names).select("term", "id")
 
 
@@ -470,11 +480,13 @@ def q_similar_links(s, d):
     return C.similar_links(C.candidates(near_copies(s, d)), 0.82, 0.92)
 
 
-@query(f"""{_NEAR}, g AS (SELECT least(a, b) AS root, unnest([a, b]) AS id FROM l), u AS (SELECT DISTINCT root, id FROM g)
-  SELECT root, count(*) AS members, string_agg(text, chr(10) || '• ' ORDER BY created_at, id) AS text, max(CASE WHEN coalesce(importance, 0) = 0 THEN 0.5 ELSE importance END) AS importance, round(least(max(coalesce(strength, 1)) + 0.2::DOUBLE, 5), 6) AS strength FROM u JOIN c USING (id) GROUP BY root""")
+@query(f"""{_NEAR}, g AS (SELECT least(a, b) AS root, unnest([a, b]) AS id FROM l), u AS (SELECT DISTINCT root, id FROM g), x AS (SELECT root, i, round(avg(embedding[i]::DOUBLE), 4) AS v FROM u JOIN c USING (id), range(1, 65) t(i) GROUP BY root, i)
+  SELECT root, count(*) AS members, string_agg(text, chr(10) || '• ' ORDER BY created_at, id) AS text, max(CASE WHEN coalesce(importance, 0) = 0 THEN 0.5 ELSE importance END) AS importance, round(least(max(coalesce(strength, 1)) + 0.2::DOUBLE, 5), 6) AS strength,
+    max_by(id, (coalesce(importance, 0), -created_at, id)) AS keeper, max(last_accessed_at) AS last_accessed_at, any_value(m.mean) AS mean FROM u JOIN c USING (id) JOIN (SELECT root, list(v ORDER BY i) AS mean FROM x GROUP BY root) m USING (root) GROUP BY root""")
 def q_consolidate(s, d):
     """V5, A14 (components of these tables are pairs, which the twin relies on)."""
-    return C.consolidate(near_copies(s, d)).select("root", "members", "text", "importance", F.round("strength", 6).alias("strength"))
+    mean = F.transform("embedding", lambda v: F.round(v.cast("double"), 4))
+    return C.consolidate(near_copies(s, d)).select("root", "members", "text", "importance", F.round("strength", 6).alias("strength"), "keeper", "last_accessed_at", mean.alias("mean"))
 
 
 @query()
@@ -508,10 +520,11 @@ def q_export_workspace(s, d):
     return writers.workspace_export(memories(s, d), G.entity_table(all_entities(s, d)), NOW)
 
 
-@query("SELECT id, text, category, round(importance, 4) AS importance, namespace, agent, created_at FROM memories WHERE deleted_at IS NULL")
+@query("""SELECT id, text, category, round(importance, 4) AS importance, strength, NULL::VARCHAR AS source_session, namespace, memory_type, created_at, NULL::DOUBLE AS updated_at, last_accessed_at, deleted_at, pinned, source,
+  NULL::VARCHAR AS trust_level, lesson_status, NULL::VARCHAR AS lesson_scope, NULL::DOUBLE AS resolved_at FROM memories WHERE deleted_at IS NULL""")
 def q_export(s, d):
-    """W8, F16."""
-    return L.live(memories(s, d)).select("id", "text", "category", F.round("importance", 4).alias("importance"), "namespace", "agent", "created_at")
+    """The 18 columns of an export (those that the table lacks are null)."""
+    return writers.export_rows(memories(s, d))
 
 
 @query("SELECT source, substr(md5(string_agg(tag, ',' ORDER BY tag)), 1, 16) AS digest, count(*) AS n FROM (SELECT DISTINCT source, category AS tag FROM memories) GROUP BY source")
@@ -536,10 +549,14 @@ def s_metrics(s, d):
     return rows.select("event_type", F.col("start").cast(dict(view(s, d, "calls").dtypes)["ts"]).alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""SELECT key, ts, list_contains(kept, i) AS accepted FROM (SELECT session_id AS key, ts, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS i FROM calls)
+  JOIN (SELECT key, list_transform(list_reduce(list([{'i': i, 't': t}] ORDER BY i), lambda a, x: CASE WHEN len(a) < 3 OR x[1].t - a[len(a) - 2].t >= 3600000000 THEN list_concat(a, x) ELSE a END), lambda y: y.i) AS kept
+    FROM (SELECT session_id AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS i FROM calls) GROUP BY key) USING (key)""", ("calls",))
 def s_rate_limit(s, d):
-    """X3's batch twin: 3 requests an hour (held by tests against the stream)."""
-    return ST.accepted_in_batch(view(s, d, "calls").select(F.col("session_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), 3, 3600)
+    """X3's batch twin: 3 requests an hour."""
+    kind = dict(view(s, d, "calls").dtypes)["ts"]
+    rows = ST.accepted_in_batch(view(s, d, "calls").select(F.col("session_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), 3, 3600)
+    return rows.withColumn("ts", F.col("ts").cast(kind))
 
 
 @query("SELECT session_id, min(ts) AS start, count(*) AS messages FROM (SELECT *, sum(g) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS g FROM calls)) GROUP BY session_id, k", ("calls",))
@@ -620,18 +637,25 @@ def q_questions(s, d):
     return memories(s, d).select("id", H.is_question(x).alias("asks"), F.array_join(H.keywords(x), " ").alias("words"))
 
 
-@query("""SELECT event_id, CASE WHEN command = 'git push' THEN 'deployment' END AS category,
-  CASE command WHEN 'git push' THEN 0.8::DOUBLE WHEN 'cat config' THEN 0.75::DOUBLE WHEN 'deploy api' THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS importance FROM calls""", ("calls",))
+_DONE = "systemctl restart |docker compose up |git push |cp a.txt |ufw allow |"  # commands in front of the texts, in turn
+
+
+@query(rf"""SELECT id, CASE WHEN regexp_matches(c, '(?:sed\s+-i|cp|mv|rm|edit|write)\s.*(?:\.env|\.conf|\.service|config)', 'i') THEN 'config_change' WHEN regexp_matches(c, 'systemctl\s+(?:restart|stop|start|enable|disable)', 'i') THEN 'operational_event'
+    WHEN regexp_matches(c, 'docker\s+(?:compose\s+)?(?:up|down|restart|stop|start|build)', 'i') THEN 'operational_event' WHEN regexp_matches(c, 'git\s+push|npm\s+publish', 'i') THEN 'deployment' WHEN regexp_matches(c, 'ufw\s+(?:allow|deny|enable|disable)|iptables|certbot', 'i') THEN 'operational_event' END AS category,
+  greatest(CASE WHEN regexp_matches(text, 'error|fail|denied|crash|killed|refused', 'i') THEN 0.85::DOUBLE ELSE 0 END, CASE WHEN regexp_matches(l, 'ufw|iptables|certbot|chmod|chown') THEN 0.8::DOUBLE WHEN regexp_matches(l, 'git\s+(push|merge|tag)') THEN 0.8::DOUBLE WHEN regexp_matches(l, '\.env|\.conf|\.service|config') THEN 0.75::DOUBLE
+    WHEN regexp_matches(l, 'deploy|push|publish|release') THEN 0.9::DOUBLE WHEN regexp_matches(l, 'systemctl|service\s|docker') THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END) AS importance
+  FROM (SELECT *, lower(c) AS l FROM (SELECT id, text, string_split('{_DONE}', '|')[n % 6 + 1] || text AS c FROM memories))""")
 def q_tool_capture(s, d):
-    """T41."""
-    c = F.col("command")
-    output = F.when(c == "systemctl status", "unit failed").otherwise("fine")
-    return view(s, d, "calls").select("event_id", H.tool_category(c).alias("category"), H.tool_importance(c, output).alias("importance"))
+    """Every text as what was done, behind one of five commands or none, and as its output."""
+    done = F.array(*map(F.lit, _DONE.split("|")))
+    c = F.concat(F.element_at(done, (F.col("n") % 6 + 1).cast("int")), "text")
+    return memories(s, d).select("id", H.tool_category(c).alias("category"), H.tool_importance(c, F.col("text")).alias("importance"))
 
 
-@query()
+@query(f"""SELECT session_id, CASE WHEN {Q.any_match('t', H.FRUSTRATED)} THEN 'frustrated' WHEN {Q.any_match('t', H.POSITIVE)} THEN 'positive' ELSE 'neutral' END AS mood
+  FROM (SELECT session_id, string_agg(text, ' ' ORDER BY seq, text) AS t FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM messages WHERE role = 'user') WHERE r <= 3 GROUP BY session_id)""", ("messages",))
 def q_moods(s, d):
-    """T44 (held by tests)."""
+    """T44."""
     return H.moods(view(s, d, "messages"))
 
 

@@ -18,7 +18,7 @@ from ..operators import solved as SV
 from ..session import table, written
 from . import sqltext as Q
 from .queries import memories, query
-from .queries_more import _ASKED, _ENTITIES, _bm25, asked, both_queries
+from .queries_more import _ASKED, _ENTITIES, _STOP, _bm25, asked, both_queries
 from .views import NOW, view
 
 
@@ -55,15 +55,19 @@ def q_fact_memories(s, d):
     return R.fact_memories(found.select(F.lit(0).alias("query_id"), "entity_id").distinct(), facts, 40).select("entity_id", "id", "rank")
 
 
-@query(r""", q AS (SELECT item_id AS query_id, CASE WHEN item_id % 40 = 0 THEN 'any lessons on the policy' WHEN item_id % 60 = 0 THEN 'what do I prefer' ELSE 'nothing named' END AS q FROM benchmark WHERE item_id % 20 = 0),
-  k AS (SELECT query_id, unnest(CASE WHEN item = 1 THEN ['lesson', 'rule'] WHEN item = 2 THEN ['preference'] ELSE [] END) AS kind FROM (SELECT query_id, CASE WHEN query_id % 40 = 0 THEN 1 WHEN query_id % 60 = 0 THEN 2 ELSE 0 END AS item FROM q)),
+def _names(kind: str) -> str:
+    return f"regexp_matches(' ' || lower(q) || ' ', '[^a-zçğıöşü0-9](?:{'|'.join(P.TYPE_KEYWORDS[kind])})[^a-zçğıöşü0-9]')"
+
+
+@query(rf""", q AS (SELECT item_id AS query_id, text || CASE item_id % 3 WHEN 0 THEN ' any lessons on the policy' WHEN 1 THEN ' what do I prefer' ELSE '' END AS q FROM benchmark),
+  k AS ({" UNION ALL ".join(f"SELECT query_id, '{k}' AS kind FROM q WHERE {_names(k)}" for k in P.TYPE_KEYWORDS)}),
   b AS (SELECT memory_type AS kind, id, row_number() OVER (PARTITION BY memory_type ORDER BY importance DESC, created_at DESC, id) AS r FROM memories WHERE deleted_at IS NULL AND importance >= 0.05 AND (memory_type <> 'lesson' OR lesson_status = 'active'))
   SELECT DISTINCT query_id, id FROM k JOIN b USING (kind) WHERE r <= 40""")
 def q_type_candidates(s, d):
-    """H3 by the types that a query names."""
-    n = F.col("query_id")
-    asks = asked(s, d).select("query_id", F.when(n % 40 == 0, "any lessons on the policy").when(n % 60 == 0, "what do I prefer").otherwise("nothing named").alias("q"))
-    return R.type_candidates(memories(s, d), asks, 40)
+    """H3 by the types that a query names: every benchmark text, two of three with words that name some."""
+    n = F.col("item_id")
+    named = F.when(n % 3 == 0, " any lessons on the policy").when(n % 3 == 1, " what do I prefer").otherwise("")
+    return R.type_candidates(memories(s, d), table(s, d, "benchmark").select(n.alias("query_id"), F.concat("text", named).alias("q")), 40)
 
 
 @query(f", {_ASKED}, {_bm25(1)} SELECT id FROM memories WHERE id NOT IN (SELECT id FROM kw)")
@@ -133,12 +137,17 @@ def q_keyword_index(s, d):
     return SV.keyword_index(problems(s, d).withColumn("title", F.replace("title", F.lit("_"), F.lit("-")))).groupBy(F.when(F.col("keyword") == "qa-pair", "qa_pair").otherwise(F.col("keyword")).alias("keyword")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-@query("""SELECT k.kw AS query_id, id, 1::BIGINT AS hits FROM memories, (VALUES ('docker'), ('lesson'), ('hooks')) k(kw)
-  WHERE contains(lower(category || ' ' || namespace || ' ' || source || ' ' || agent || ' ' || text || ' ' || source || ' ' || coalesce(memory_type, 'none')), kw) OR len(list_filter([source, coalesce(memory_type, 'none'), replace(category, '_', ''), namespace], lambda x: contains(x, kw) OR contains(kw, x))) > 0""")
+@query(rf""", w AS (SELECT query_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT item_id AS query_id, string_split_regex(lower(regexp_replace(text, '[?!.,;:''\x22()\[\]{{}}]', ' ', 'g')), '\s+') AS ws FROM benchmark WHERE item_id % 20 = 0)),
+  f AS (SELECT query_id, w, min(i) AS i FROM w WHERE length(w) > 2 AND NOT list_contains({_STOP}, w) GROUP BY 1, 2),
+  k AS (SELECT query_id, w AS kw FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM f) WHERE r <= 5 UNION ALL SELECT -1, unnest(['docker', 'lesson', 'hooks'])),
+  h AS (SELECT query_id, id, any_value(created_at) AS created_at, count(*) AS hits FROM memories, k
+    WHERE contains(lower(category || ' ' || namespace || ' ' || source || ' ' || agent || ' ' || text || ' ' || source || ' ' || coalesce(memory_type, 'none')), kw) OR len(list_filter([source, coalesce(memory_type, 'none'), replace(category, '_', ''), namespace], lambda x: contains(x, kw) OR contains(kw, x))) > 0 GROUP BY 1, 2)
+  SELECT query_id, id, hits, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id) AS place FROM h) WHERE place <= 20""")
 def q_search_solved(s, d):
-    """K7."""
-    words = s.createDataFrame([(w, w) for w in ("docker", "lesson", "hooks")], "query_id string, keyword string")
-    return SV.search_solved(problems(s, d), words)
+    """K7: the newest 20 for the keywords of every 20th benchmark text, and for three common words."""
+    asks = asked(s, d).select("query_id", F.explode(H.keywords(F.col("q"))).alias("keyword"))
+    words = s.createDataFrame([(-1, w) for w in ("docker", "lesson", "hooks")], "query_id long, keyword string")
+    return SV.search_solved(problems(s, d), asks.unionByName(words), 20)
 
 
 @query(f"""SELECT session_id, seq, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, seq) AS place FROM (

@@ -15,6 +15,21 @@ def write_memories(df: DataFrame, path: str, mode: str = "append") -> None:
     df.repartition("agent", F.pmod(F.xxhash64("id"), F.lit(SPLITS))).sortWithinPartitions("memory_type", "created_at").write.mode(mode).partitionBy("agent").parquet(path)
 
 
+#: The columns of an export and their types.
+EXPORT = {
+    "id": "string", "text": "string", "category": "string", "importance": "double", "strength": "double", "source_session": "string", "namespace": "string", "memory_type": "string",
+    "created_at": "double", "updated_at": "double", "last_accessed_at": "double", "deleted_at": "double", "pinned": "boolean", "source": "string", "trust_level": "string",
+    "lesson_status": "string", "lesson_scope": "string", "resolved_at": "double",
+}
+
+
+def export_rows(df: DataFrame, with_deleted: bool = False) -> DataFrame:
+    """F16: the columns of an export, importance rounded; columns that the frame lacks are null."""
+    rows = df if with_deleted else df.where("deleted_at IS NULL")
+    column = lambda c, t: F.round(c, 4).alias(c) if c == "importance" else F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c)
+    return rows.select(*(column(c, t) for c, t in EXPORT.items()))
+
+
 def export_json(df: DataFrame, path: str, with_deleted: bool = False) -> None:
     """JSON lines ordered by creation."""
     rows = df if with_deleted else df.where("deleted_at IS NULL")
