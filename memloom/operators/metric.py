@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Rows that a pivot stands for and most pivots for one length of vectors.
-CELL_ROWS, MOST_PIVOTS = 256, 256
+CELL_ROWS, MOST_PIVOTS = 64, 512
 SLACK = 1 + 1e-6
 
 
