@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import hooks as H
 from memloom.operators import aggregates as A
 from memloom.operators import bootstrap as B
+from memloom.operators import graph as G
 from memloom.operators import results as RS
 from memloom.operators import retrieval as R
 from memloom.operators import sessions as S
@@ -159,3 +160,14 @@ def test_session_tier_suffices_at_six(spark):
     assert got["thin", "lessons"] == got["full", "lessons"] == ["l"] and got["thin", "shared"][0] == "s" and ("full", "shared") not in got
     whole = B.bootstrap(frame(spark, *rows), contexts, B.whole_recall(NOW)).where("section = 'memories' AND context_id = 'full'")
     assert sorted(r.id for r in whole.collect()) == [f"n{i}" for i in range(6)]
+
+
+def test_knowledge_chain(spark):
+    """Links and typed relations become edges that repeats strengthen; facts of exclusive relations meet conflicts in order of time."""
+    df = frame(spark, memory("1", text="docker and redis", created_at=1.0), memory("2", text="redis with docker", created_at=2.0), memory("3", text="Ada lives in berlin", created_at=3.0), memory("4", text="gh status is open", created_at=4.0), memory("5", text="nothing"))
+    edges, facts = G.knowledge(df)
+    got = {(r.source_id, r.target_id, r.relation_type): (r.confidence, r.n, r.context) for r in edges.collect()}
+    assert got["docker", "redis", "uses"] == (0.7, 2, "redis with docker")
+    assert any(s == "ada" and t == "berlin" and r != "mentioned_with" for s, t, r in got)
+    assert {(r.entity_id, r.object_value) for r in facts.where("active").collect()} >= {("github", "open")}
+    assert all(r[2] in ("uses", "mentioned_with") for r in {(x.source_id, x.target_id, x.relation_type) for x in G.knowledge(df, relations=False)[0].collect()})
