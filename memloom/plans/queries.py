@@ -203,9 +203,21 @@ def q_compress(s, d):
     return L.compress(memories(s, d), NOW, most=None)
 
 
-@query()
+def _stripped(text: str) -> str:
+    """T1 in RE2's terms: what a look ahead only sees is taken and put back."""
+    for e in P.WRAPPERS:
+        flags = "".join(f for f in "ims" if f in e[: e.index(")")])
+        body, back = e[e.index(")") + 1 :].replace("'", "''"), ""
+        if "(?=" in body:
+            body, back = body.replace(r"(?=\n\n|$)", r"(\n\n|$)"), r"\1"
+        text = f"regexp_replace({text}, '{body}', '{back}', 'g{flags}')"
+    return Q.trimmed(f"regexp_replace({text}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(f"""SELECT id, CASE WHEN deleted_at IS NULL AND length(c) > 10 THEN c ELSE t END AS text, embedding IS NULL OR (deleted_at IS NULL AND length(c) > 10) AS vectorless
+  FROM (SELECT *, {_stripped("replace(t, chr(13) || chr(10), chr(10))")} AS c FROM (SELECT *, '[Subagent Context] internal' || chr(10) || chr(10) || text AS t FROM memories))""")
 def q_envelope(s, d):
-    """L7, T1 (lookahead, which RE2 lacks: held by tests)."""
+    """L7, T1."""
     wrapped = memories(s, d).withColumn("text", F.concat(F.lit("[Subagent Context] internal\n\n"), "text"))
     return L.clean_envelopes(wrapped).select("id", "text", F.col("embedding").isNull().alias("vectorless"))
 
