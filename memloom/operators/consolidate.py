@@ -14,8 +14,9 @@ from ..session import shared_checkpoints, written
 from . import metric
 from .lifecycle import is_free, live
 
-#: Rows of a block and of a chunk that meet in one task.
+#: Rows of a block and of a chunk that meet in one task; rows compared at once.
 BLOCK_ROWS = 4096
+STEP_ROWS = 256
 
 
 def candidates(df: DataFrame) -> DataFrame:
@@ -34,27 +35,42 @@ def similar_links(rows: DataFrame, same: float, other: float, neighbours: int =
     first = slim.withColumn("_r", F.row_number().over(W.partitionBy("embedding").orderBy("id"))).where(F.col("_r") <= neighbours)
     vectors = first.groupBy("embedding").agg(F.min("id").alias("id"), F.sort_array(F.collect_list(F.struct("id", "category"))).alias("held"))
     vectors = written(vectors, "vectors")
-    dealt = metric.blocks(vectors.withColumns({"asks": F.lit(True), "answers": F.lit(True)}), similar_radius(same, other), block_rows=BLOCK_ROWS)
+    dealt = metric.blocks(vectors.withColumns({"asks": F.lit(True), "answers": F.lit(True)}), similar_radius(same, other), block_rows=BLOCK_ROWS, tile_rows=4 * BLOCK_ROWS)
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"key": [], "b": [], "sim": [], "category": []})
         x, y = np.array(a["embedding"].tolist(), float), np.array(b["embedding"].tolist(), float)
+        keys = a["id"].to_numpy()
         times = b["held"].str.len().to_numpy()
         ids = np.array([h["id"] for held in b["held"] for h in held], object)
         kinds = np.array([h["category"] for held in b["held"] for h in held], object)
-        order = np.argsort(ids, kind="stable")
-        of = np.repeat(np.arange(len(b)), times)[order]
-        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
-        sim = np.round(1 - d / 2, 4)
+        start, place = np.cumsum(times) - times, np.empty(len(ids), np.int64)
+        place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        yy, reach = (y * y).sum(1), similar_radius(same, other)
         out = []
-        for i, key in enumerate(a["id"]):
-            mine = sim[i][of]
-            at = np.flatnonzero(mine >= min(same, other))
-            at = at[np.argsort(-mine[at], kind="stable")[:neighbours]]
-            out += [(key, ids[order[j]], mine[j], kinds[order[j]]) for j in at]
-        return pd.DataFrame(out, columns=["key", "b", "sim", "category"])
+        for at in range(0, len(x), STEP_ROWS):
+            part = x[at : at + STEP_ROWS]
+            xx = (part * part).sum(1)
+            d2 = part @ y.T
+            d2 *= -2
+            d2 += yy
+            row, col = np.divmod(np.flatnonzero(d2 <= (reach * reach + 1e-9 * (1 + xx + yy.max()) - xx)[:, None]), len(y))
+            sim = np.empty(len(row))
+            for lo in range(0, len(row), 65536):  # what is near is compared again, by differences
+                s = slice(lo, lo + 65536)
+                sim[s] = np.round(1 - np.sqrt(((part[row[s]] - y[col[s]]) ** 2).sum(1)) / 2, 4)
+            near = sim >= min(same, other)
+            row, col, sim = row[near], col[near], sim[near]
+            n = times[col]
+            row, sim, j = np.repeat(row, n), np.repeat(sim, n), np.repeat(start[col] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            order = np.lexsort((place[j], -sim, row))
+            row, sim, j = row[order], sim[order], j[order]
+            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+            first = np.arange(len(row)) - np.repeat(begin, np.diff(np.r_[begin, len(row)])) < neighbours
+            out.append(pd.DataFrame({"key": keys[at + row[first]], "b": ids[j[first]], "sim": sim[first], "category": kinds[j[first]]}))
+        return pd.concat(out)
 
     pairs = dealt.groupBy("cell", "ring", "sub", "chunk").applyInPandas(nearest, "key string, b string, sim double, category string")
     best = pairs.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= neighbours)
@@ -85,8 +101,13 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
+def neighbourhoods(links: DataFrame) -> DataFrame:
+    """node, root: each row with the rows linked to it that have larger ids; components where these are pairs."""
+    return links.select(F.least("a", "b").alias("root"), F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def merge_clusters(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """A row a component: keeper, members, merged text, importance, strength, last access and mean vector."""
+    """A row a component or neighbourhood: keeper, members, merged text, importance, strength, last access and mean vector (in doubles)."""
     own = rows.join(roots, rows["id"] == roots["node"]).select("root", "id", "text", "created_at", "importance", "strength", "last_accessed_at", "embedding")
     ordered = F.array_sort(F.collect_list(F.struct("created_at", "id", "text")))
     keeper = F.max_by("id", F.struct(F.coalesce("importance", F.lit(0.0)), -F.col("created_at"), F.col("id")))
@@ -96,7 +117,7 @@ def merge_clusters(rows: DataFrame, roots: DataFrame) -> DataFrame:
         F.least(F.max(F.coalesce("strength", F.lit(1.0))) + 0.2, F.lit(5.0)).alias("strength"), F.max("last_accessed_at").alias("last_accessed_at"),
     )
     mean = own.select("root", F.posexplode("embedding")).groupBy("root", "pos").agg(F.avg("col").alias("x"))
-    mean = mean.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"].cast("float")).alias("embedding"))
+    mean = mean.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("embedding"))
     return merged.join(mean, "root")
 
 
@@ -145,7 +166,7 @@ def possible_partners(rows: DataFrame, radius: float) -> DataFrame:
     asks = ~F.col("_old") & (F.coalesce("memory_type", F.lit("")) != "lesson")
     answers = asks | (F.coalesce("importance", F.lit(1.0)) >= 0.05)
     slim = rows.select(F.xxhash64(F.coalesce("agent", F.lit("")), F.coalesce("namespace", F.lit(""))).alias("g"), "id", "embedding", asks.alias("asks"), answers.alias("answers"))
-    dealt = metric.blocks(slim.where("asks OR answers"), radius, ("g",), BLOCK_ROWS)
+    dealt = metric.blocks(slim.where("asks OR answers"), radius, ("g",), BLOCK_ROWS, 2 * BLOCK_ROWS)
     return dealt.groupBy("g", "cell", "ring", "sub", "chunk").applyInPandas(lambda pdf: _grouped(pdf, radius), "a string, b string")
 
 

@@ -60,3 +60,12 @@ def test_links_of_clustered_rows_and_a_hot_vector(spark, monkeypatch):
     dealt = metric.blocks(frame(spark, *distinct).select("id", "embedding", F.lit(True).alias("asks"), F.lit(True).alias("answers")), C.similar_radius(0.82, 0.92))
     assert metric.compared(dealt) < 0.5 * len(distinct) ** 2
     assert C.similar_links(frame(spark), 0.82, 0.92).count() == 0
+
+
+def test_rows_without_near_pivots_are_dealt_in_tiles(spark):
+    """Evenly spread vectors: each row is sent once a block, not to every cell."""
+    x = np.random.default_rng(5).normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = vectors(spark, x).withColumns({"asks": F.lit(True), "answers": F.lit(True)})
+    assert metric.blocks(rows, 0.36, block_rows=500, tile_rows=1000).count() <= 2 * 2 * 2000
+    assert metric.blocks(rows, 0.36, ("g",), 500).count() <= 4000 * 3
