@@ -45,6 +45,19 @@ def test_query(spark, con, name):
     assert sorted(([zone(x) for x in r] for r in rows), key=key) == sorted(([zone(x) for x in r] for r in want), key=key)
 
 
+def test_consolidation_of_more_than_pairs(spark, con, tmp_path):
+    """Threes of near vectors: the twin's groups are not components there."""
+    for name, sql in (("documents", "SELECT * FROM documents"), ("embeddings", "SELECT e.vec_id, list_transform(f.embedding, lambda x, i: CASE WHEN i = 1 THEN (x + 0.013 * (e.vec_id % 3))::FLOAT ELSE x END) AS embedding FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id - e.vec_id % 3")):
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+    near = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        near.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    columns = ["root", "members", "text", "importance", "strength", "keeper", "last_accessed_at", "mean"]
+    want = sorted(map(str, near.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()['q_consolidate']})").fetchall()))
+    got = registry.queries()["q_consolidate"](spark, str(tmp_path)).select(columns).collect()
+    assert max(r.members for r in got) > 2 and sorted(str(tuple(r)) for r in got) == want
+
+
 def test_entry_module_without_the_optional_parts(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/memloom", tmp_path / "memloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
