@@ -14,6 +14,7 @@ from memloom.operators import kept_index as K
 from memloom.operators import postings as PO
 from memloom.operators import retrieval as R
 from memloom.operators import solved as SV
+from memloom.plans import registry
 
 from .test_operators import NOW, frame, memory
 from .test_search import QUERIES, graph, ids
@@ -148,3 +149,10 @@ def test_sessions_without_a_shared_folder(tmp_path):
     code = "from memloom.session import *; s = local_session('t', '1', 1); assert s.conf.get('spark.checkpoint.dir', None) is None; shared_checkpoints(s); assert written(s.range(3).checkpoint(), 'x').count() == 3; assert work_path(s, 'a').startswith(shared_folder(s))"
     (tmp_path / "conf").mkdir()
     subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root, "SPARK_CONF_DIR": str(tmp_path / "conf")}, check=True, timeout=200)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_names_of_one_small_file_are_dealt(spark):
+    """One split of names has many terms each: they are dealt by id."""
+    plan = registry.queries()["q_match_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
