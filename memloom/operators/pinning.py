@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hooks as H
+from ..session import written
 from . import postings as PO
 from . import retrieval as R
 from .lifecycle import is_free
@@ -52,6 +53,7 @@ def message_recall(messages: DataFrame, memories: DataFrame, now: float, most: i
     messages: query_id, text. Only questions are searched, by up to five keywords; the two searches have their own least scores.
     """
     asked = messages.where(H.is_question(F.col("text"))).select("query_id", F.array_join(H.keywords(F.col("text")), " ").alias("q"), F.lit(None).cast("array<float>").alias("vector")).where("q <> ''")
+    asked = written(asked, "asked")
     lessons = R.search(memories, asked, now, most, lesson_score, memory_type="lesson").select("query_id", F.lit(0).alias("part"), "id", "rank")
     general = R.search(memories, asked, now, most, general_score).select("query_id", F.lit(1).alias("part"), "id", "rank")
     place = W.partitionBy("query_id").orderBy("part", "rank")
