@@ -161,20 +161,28 @@ FILES = r"/(?:opt|root|home|etc|var|tmp)/[^\s\])\x22',]{5,80}"
 
 def capture_score(text: Column) -> Column:
     """T37."""
+    return T.bound(T.folded(text), lambda low: _capture_score(text, low))
+
+
+def _capture_score(text: Column, low: Column) -> Column:
     add = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
-    base = F.when(T.any_match(text, CAPTURE_DECISIONS), F.lit(0.9)).when(T.any_match(text, FEEDBACK), F.lit(0.85)).otherwise(F.lit(0.45))
+    base = F.when(T.any_match_in(text, low, CAPTURE_DECISIONS), F.lit(0.9)).when(T.any_match_in(text, low, FEEDBACK), F.lit(0.85)).otherwise(F.lit(0.45))
     n = F.length(text)
-    score = base + add(n > 80, 0.05) + add(n > 200, 0.05) + add((n > 30) & T.any_match(text, CONFIRMATIONS), 0.10) + add(T.any_match(text, TROUBLE), 0.10)
-    dropped = (n < 10) | T.any_match(text, CAPTURE_CRON, "(?i)") | T.any_match(text, CAPTURE_LOW_SIGNAL, "(?i)")
+    score = base + add(n > 80, 0.05) + add(n > 200, 0.05) + add((n > 30) & T.any_match_in(text, low, CONFIRMATIONS), 0.10) + add(T.any_match_in(text, low, TROUBLE), 0.10)
+    dropped = (n < 10) | T.any_match_in(text, low, CAPTURE_CRON, "(?i)") | T.any_match_in(text, low, CAPTURE_LOW_SIGNAL, "(?i)")
     return F.when(dropped, F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
 
 def compaction_score(text: Column, least_chars: int = 15) -> Column:
     """T40."""
+    return T.bound(T.folded(text), lambda low: _compaction_score(text, low, least_chars))
+
+
+def _compaction_score(text: Column, low: Column, least_chars: int) -> Column:
     add = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
-    score = F.when(T.any_match(text, COMPACTION_DECISIONS), F.lit(0.9)).otherwise(F.lit(0.4)) + add(T.any_match(text, COMPACTION_ERRORS), 0.15)
-    score = score + add(T.any_match(text, COMPACTION_PREFERENCES), 0.2) + add(F.length(text) > 100, 0.05) + add(F.length(text) > 300, 0.05)
-    return F.when((F.length(text) < least_chars) | T.any_match(text, COMPACTION_LOW_SIGNAL, "(?i)"), F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
+    score = F.when(T.any_match_in(text, low, COMPACTION_DECISIONS), F.lit(0.9)).otherwise(F.lit(0.4)) + add(T.any_match_in(text, low, COMPACTION_ERRORS), 0.15)
+    score = score + add(T.any_match_in(text, low, COMPACTION_PREFERENCES), 0.2) + add(F.length(text) > 100, 0.05) + add(F.length(text) > 300, 0.05)
+    return F.when((F.length(text) < least_chars) | T.any_match_in(text, low, COMPACTION_LOW_SIGNAL, "(?i)"), F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
 
 def _around(text: Column, at: Column, match: Column, chars: int) -> Column:
