@@ -67,23 +67,31 @@ LEAST_INTERVAL_MS, MOST_TIMEOUT_S = 1_800_000, 1800
 
 def feedback_tags(text: Column) -> Column:
     """Tags in the order of the list; feedback without a tag counts as verification."""
-    tags = F.array_compact(F.array(*(F.when(T.any_match(text, e), F.lit(tag)) for tag, e in FEEDBACK_TAGS.items())))
+    return T.bound(T.folded(text), lambda low: _feedback_tags(text, low))
+
+
+def _feedback_tags(text: Column, low: Column) -> Column:
+    tags = F.array_compact(F.array(*(F.when(T.any_match_in(text, low, e), F.lit(tag)) for tag, e in FEEDBACK_TAGS.items())))
     return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("verification")))
 
 
 def route(role: Column, text: Column) -> Column:
     """Struct (category, importance, prefix) under which a message is kept; null if it is dropped."""
+    return T.bound(T.folded(text), lambda low: _route(role, text, low))
+
+
+def _route(role: Column, text: Column, low: Column) -> Column:
     kept = lambda category, importance, prefix="": F.struct(F.lit(category).alias("category"), F.round(importance, 4).alias("importance"), (prefix if isinstance(prefix, Column) else F.lit(prefix)).alias("prefix"))
-    dropped = text.isNull() | (text == "") | text.startswith("/") | T.any_match(text, H.CAPTURE_CRON, "(?i)") | T.any_match(text, LOW_SIGNAL_CAPTURE, "(?i)")
-    decides, score, n = T.any_match(text, H.CAPTURE_DECISIONS), H.capture_score(text), F.length(text)
-    tags = F.array_join(F.transform(feedback_tags(text), lambda t: F.concat(F.lit("[tag="), t, F.lit("]"))), "")
+    dropped = text.isNull() | (text == "") | text.startswith("/") | T.any_match_in(text, low, H.CAPTURE_CRON, "(?i)") | T.any_match_in(text, low, LOW_SIGNAL_CAPTURE, "(?i)")
+    decides, score, n = T.any_match_in(text, low, H.CAPTURE_DECISIONS), H._capture_score(text, low), F.length(text)
+    tags = F.array_join(F.transform(_feedback_tags(text, low), lambda t: F.concat(F.lit("[tag="), t, F.lit("]"))), "")
     user = (
-        F.when(T.any_match(text, FEEDBACK), kept("lesson", F.lit(0.95), F.concat(F.lit("[Feedback]"), tags, F.lit(" "))))
+        F.when(T.any_match_in(text, low, FEEDBACK), kept("lesson", F.lit(0.95), F.concat(F.lit("[Feedback]"), tags, F.lit(" "))))
         .when(decides, kept("decision", F.lit(0.9), "[Decision] "))
         .when((n > 15) & (score >= 0.3), kept("user", score))
     )
-    worth = (n >= 60) & (decides | (n >= 80) | T.any_match(text, RESULTS))
-    assistant = F.when((n > 30) & T.any_match(text, SELF_CORRECTIONS), kept("lesson", F.lit(0.85), "[Self-Correction] ")).when(
+    worth = (n >= 60) & (decides | (n >= 80) | T.any_match_in(text, low, RESULTS))
+    assistant = F.when((n > 30) & T.any_match_in(text, low, SELF_CORRECTIONS), kept("lesson", F.lit(0.85), "[Self-Correction] ")).when(
         worth, kept("assistant", F.when(decides, F.lit(0.85)).otherwise(F.greatest(F.lit(0.45), score)))
     )
     return F.when(dropped, F.lit(None)).when(role == "user", user).when(role == "assistant", assistant)

@@ -28,7 +28,8 @@ _CLASSES = f"""SELECT *, {_SCORE} AS score, {Q.any_match('text', RT.FEEDBACK)} A
 def q_route(s, d):
     """Memories in turn as a user's and an agent's messages."""
     role = F.when(F.col("n") % 2 == 0, "user").otherwise("assistant")
-    return memories(s, d).select("id", RT.route(role, F.col("text")).alias("r")).where("r IS NOT NULL").select("id", "r.category", "r.importance")
+    kept = F.array_compact(F.array(RT.route(role, F.col("text"))))  # exploded, not filtered: a filter would work it out a second time
+    return memories(s, d).select("id", F.explode(kept).alias("r")).select("id", "r.category", "r.importance")
 
 
 _FILES = rf"list_sort(list_filter(list_distinct(list_concat(regexp_extract_all(t, '{RT.FILE_NAME}'), regexp_extract_all(t, '{RT.DOT_FILE}', 1))), lambda f: regexp_matches(f, '{RT.KNOWN_FILE}')))"

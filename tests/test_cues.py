@@ -38,3 +38,10 @@ def test_answers_stay(spark):
     pairs += [(F.when(distinct(P.PERSON, 1) != "", named("person")), F.when(distinct(P.PERSON, 1) != "", distinct(P.PERSON, 1))), (named("phone"), distinct(P.PHONE, 0))]
     for got, want in zip(rows.select(*[a.alias(f"c{i}") for i, (a, _) in enumerate(pairs)]).collect(), rows.select(*[b.alias(f"c{i}") for i, (_, b) in enumerate(pairs)]).collect(), strict=True):
         assert got == want
+
+
+def test_a_route_is_worked_out_once(spark):
+    from memloom.plans import registry
+
+    plan = registry.queries()["q_route"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "Filter isnotnull(transform" not in plan
