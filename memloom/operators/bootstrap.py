@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import routing as RT
+from ..session import written
 from . import retrieval as R
 from . import sessions as S
 
@@ -68,35 +69,43 @@ def bootstrap(memories: DataFrame, contexts: DataFrame, recall: Recall, main: st
     """
     ask = lambda *texts: memories.sparkSession.createDataFrame(list(enumerate(texts)), "query_id long, q string")
     said = lambda n, tail="": F.concat(F.lit("- "), F.substring("text", 1, n), tail if isinstance(tail, Column) else F.lit(tail))
-    texts = memories.select("id", "text", "category")
     both = ("agent", "namespace")
-    own = contexts.where("namespace <> 'default'").join(recall(memories, ask(*RECENT), 20, both), list(both)).select("context_id", "id", F.lit(0).alias("tier"), "query_id", "rank")
-    wide = contexts.join(recall(memories, ask(*RECENT), 20, ("agent",)), "agent").select("context_id", "id", F.lit(1).alias("tier"), "query_id", "rank")
+    lessons = memories.where("memory_type = 'lesson' AND coalesce(lesson_status, 'active') = 'active'")
+    asks = {
+        "own": (memories, ask(*RECENT), 20, both), "wide": (memories, ask(*RECENT), 20, ("agent",)), "lessons": (lessons, ask(LESSONS), 20, ("agent",)), "shared": (memories, ask(SHARED), 6, both),
+        "main": (memories.where(F.col("agent") == main), ask(MAIN), FEW, ("agent",)), "decided": (memories, ask(DECISIONS), 8, ("agent",)),
+        "typed": (memories.where("coalesce(memory_type, 'other') = 'other'"), ask(*(q for q, _ in EVENTS)), 5, ("agent",)), "any": (memories, ask(*(q for q, _ in EVENTS)), 5, ("agent",)),
+    }
+    hits = {name: written(recall(*a), f"recall-{name}") for name, a in asks.items()}  # bounded results of each agent or namespace
+    recalled = R.by_ids(memories.select("id", "agent", "text", "category", "importance", "created_at"), _union([h.select("id") for h in hits.values()]).distinct())
+    recalled = written(recalled, "recalled")  # texts are read once, not shuffled for each section
+    texts = recalled.select("id", "text", "category")
+    own = contexts.where("namespace <> 'default'").join(hits["own"], list(both)).select("context_id", "id", F.lit(0).alias("tier"), "query_id", "rank")
+    wide = contexts.join(hits["wide"], "agent").select("context_id", "id", F.lit(1).alias("tier"), "query_id", "rank")
     found = _once(own.unionByName(wide).join(texts, "id"), "tier", "query_id", "rank", "id")
     found = found.withColumn("_own", F.count_if(F.col("tier") == 0).over(W.partitionBy("context_id"))).where((F.col("tier") == 0) | (F.col("_own") < ENOUGH))
     label = F.coalesce(F.concat(F.lit(" ["), F.col("category"), F.lit("]")), F.lit(""))
     parts = [_lines(found, "memories", said(300, label), ["tier", "query_id", "rank", "id"], chars=MEMORY_CHARS)]
 
-    lessons = memories.where("memory_type = 'lesson' AND coalesce(lesson_status, 'active') = 'active'")
-    best = recall(lessons, ask(LESSONS), 20, ("agent",)).select("id").join(memories.select("id", "agent", "text", "importance", "created_at"), "id")
+    best = hits["lessons"].select("id").join(recalled.select("id", "agent", "text", "importance", "created_at"), "id")
     kept = contexts.join(S.contained_dedup(best, stripped=True).withColumnRenamed("place", "_order"), "agent").join(texts, "id")
     parts.append(_lines(kept.withColumn("text", RT.without_low_signal(F.col("text"))), "lessons", said(400), ["_order"], chars=LESSON_CHARS))
 
     seen = contexts.select("context_id", F.col("agent").alias("_agent"), F.posexplode("shared").alias("_order", "namespace"))
-    shared = seen.join(recall(memories, ask(SHARED), 6, both).withColumnRenamed("agent", "_agent"), ["_agent", "namespace"]).join(texts, "id")
+    shared = seen.join(hits["shared"].withColumnRenamed("agent", "_agent"), ["_agent", "namespace"]).join(texts, "id")
     parts.append(_lines(_once(shared, "_order", "rank", "id"), "shared", said(220, F.concat(F.lit(" ["), F.col("namespace"), F.lit("]"))), ["_order", "rank", "id"], 5, SHARED_CHARS))
 
     counts = found.groupBy("context_id").agg(F.count("*").alias("_n"))
     poor = contexts.where(F.col("agent") != main).join(counts, "context_id", "left").where(F.coalesce("_n", F.lit(0)) < FEW).select("context_id")
-    first = recall(memories.where(F.col("agent") == main), ask(MAIN), FEW, ("agent",)).select("id", "rank").join(texts, "id")
+    first = hits["main"].select("id", "rank").join(texts, "id")
     parts.append(_lines(poor.withColumn("agent", F.lit(main)).join(first.withColumn("agent", F.lit(main)), "agent"), "main", said(200, " [from main]"), ["rank", "id"], 3, SHARED_CHARS))
 
-    decided = contexts.join(recall(memories, ask(DECISIONS), 8, ("agent",)), "agent").join(texts, "id").withColumn("_start", F.substring("text", 1, 100))
+    decided = contexts.join(hits["decided"], "agent").join(texts, "id").withColumn("_start", F.substring("text", 1, 100))
     known = found.select("context_id", F.substring("text", 1, 100).alias("_start"))
     parts.append(_lines(decided.join(known, ["context_id", "_start"], "left_anti"), "decisions", said(250), ["rank", "id"], 5))
 
     most = F.element_at(F.array(*(F.lit(n) for _, n in EVENTS)), (F.col("query_id") + 1).cast("int"))
-    typed, any_type = (recall(rows, ask(*(q for q, _ in EVENTS)), 5, ("agent",)).where(F.col("rank") <= most) for rows in (memories.where("coalesce(memory_type, 'other') = 'other'"), memories))
+    typed, any_type = (hits[name].where(F.col("rank") <= most) for name in ("typed", "any"))
     others = any_type.join(typed.select("agent", "query_id").distinct(), ["agent", "query_id"], "left_anti")
     events = contexts.join(typed.unionByName(others), "agent").join(texts, "id")
     return _union(parts).unionByName(_lines(events, "events", said(300), ["query_id", "rank", "id"], quiet=True))
