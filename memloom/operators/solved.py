@@ -27,7 +27,7 @@ def search_solved(problems: DataFrame, keywords: DataFrame, most: int | None = N
     asked = keywords.select("query_id", F.lower("keyword").alias("_kw"))
     words, index = asked.select(F.col("_kw").alias("term")).distinct(), keyword_index(problems)
     keys = index.select(F.col("keyword").alias("id"), F.col("keyword").alias("text")).distinct()
-    whole = PO.containing(problems.select("id", text.alias("text")), words).select(F.col("term").alias("_kw"), "id")
+    whole = PO.holders(problems.select("id", text.alias("text")), words).select(F.col("term").alias("_kw"), "id")
     inside = PO.containing(keys, words).select(F.col("term").alias("_kw"), F.col("id").alias("keyword"))
     around = PO.containing(words.select(F.col("term").alias("id"), F.col("term").alias("text")), keys.select(F.col("text").alias("term"))).select(F.col("id").alias("_kw"), F.col("term").alias("keyword"))
     by_key = inside.unionByName(around).distinct().join(index, "keyword").select("_kw", "id")
