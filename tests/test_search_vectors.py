@@ -44,3 +44,17 @@ def test_texts_of_the_tables_are_not_joined_with_vectors(spark, monkeypatch, nam
         monkeypatch.setattr(module, "written", written)
     assert getattr(Q, name)(spark, "/root/testdata/sf0.001").count() > 0
     assert len(plans) >= 2 and not any("Join" in p for p in plans)
+
+
+def test_entities_are_looked_through_once(spark, monkeypatch):
+    plans = {}
+
+    def written(df, label, write=R.written):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    for module in (R, Q):
+        monkeypatch.setattr(module, "written", written)
+    assert Q.q_search(spark, "/root/testdata/sf0.001").count() > 0
+    runs = {label: sum(p.count("(?s)(?=(.{") for p in ps) for label, ps in plans.items()}
+    assert runs["chosen"] > 0 and sum(runs.values()) == runs["chosen"]
