@@ -77,8 +77,9 @@ def _alive(entries: DataFrame, path: str, segments: list[int], n: int = 0) -> Da
     return dealt.join(void.repartition(_tasks(n), "id", "seg"), ["id", "seg"], "left_anti")
 
 
-def _write_segment(path: str, seg: int, postings: DataFrame, docs: DataFrame, gone: DataFrame, n: int) -> None:
-    """postings: bucket, term, id, tf, dl, about n of them. A bucket is dealt to SPLITS tasks and files, or more as the index grows, so that what a task sorts doesn't."""
+def _write_segment(path: str, seg: int, postings: DataFrame, docs: DataFrame, gone: DataFrame, n: int | None = None) -> None:
+    """postings: bucket, term, id, tf, dl, about n of them (counted if not told). A bucket is dealt to SPLITS tasks and files, or more as the index grows, so that what a task sorts doesn't."""
+    n = postings.count() if n is None else n
     tasks, buckets = _tasks(n), F.pmod(F.xxhash64("id"), F.lit(max(SPLITS, -(-4 * n // (TASK_POSTINGS * BUCKETS)))))
     dealt = postings.repartition(tasks, "bucket", buckets).sortWithinPartitions("bucket", "term", "id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/seg={seg}")
